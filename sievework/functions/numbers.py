@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 
 def clamp(x: Column, low: float = 0.0, high: float = 100.0) -> Column:
-    return F.greatest(F.lit(low), F.least(F.lit(high), x))
+    """x within low and high; null stays null (greatest and least alone would skip it)."""
+    return F.when(x.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), x)))
 
 
 def sigmoid(x: Column, bound: float = 30.0) -> Column:

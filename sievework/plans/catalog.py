@@ -1,6 +1,6 @@
 """All queries of the library's own operators and their SQL twins."""
 
-from . import catalog_data, catalog_people, catalog_rank
+from . import catalog_data, catalog_decide, catalog_people, catalog_rank
 
-QUERIES = catalog_rank.QUERIES | catalog_people.QUERIES | catalog_data.QUERIES
-ORACLE = catalog_rank.SQLS | catalog_people.SQLS | catalog_data.SQLS
+QUERIES = catalog_rank.QUERIES | catalog_people.QUERIES | catalog_data.QUERIES | catalog_decide.QUERIES
+ORACLE = catalog_rank.SQLS | catalog_people.SQLS | catalog_data.SQLS | catalog_decide.SQLS
