@@ -25,8 +25,8 @@ def top_folder(path: Column) -> Column:
 
 
 def file_sequence(name: Column) -> Column:
-    """The last run of three or more digits of a name, -1 if there is none."""
-    found = F.regexp_extract(name, r"(\d{3,})\D*$", 1)
+    """The last run of digits of a name where it has three or more, else -1; of P and seven digits the last four."""
+    found = F.coalesce(F.nullif(F.regexp_extract(name, r"^[Pp]\d{3}(\d{4})$", 1), F.lit("")), F.regexp_extract(name, r"(\d{3,})\D*$", 1))
     return F.when(found == "", F.lit(-1)).otherwise(F.substring(found, -9, 9).try_cast("int"))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import BLOCKING_ISSUES
+from ..functions.numbers import finite
 
 
 def _steps(area: Column, confidence: Column, steps: list[tuple[float, float]]) -> Column:
@@ -24,9 +25,12 @@ def reliable_face(person: Column, area: Column, confidence: Column) -> Column:
     return person.isNotNull() & _steps(area, confidence, [(0.0007, 0.90), (0.0018, 0.78), (0.0035, 0.65)])
 
 
-def quality_faces(faces: DataFrame, photo: str, area: str, confidence: str) -> DataFrame:
-    """Faces whose quality counts: of the passable ones those not dwarfed by the largest; none where two or more are all tiny."""
-    passable = faces.filter(_steps(F.col(area), F.col(confidence), [(0.0006, 0.82), (0.0010, 0.65), (0.0025, 0.55)]))
+def quality_faces(faces: DataFrame, photo: str, area: str, confidence: str, roll: str) -> DataFrame:
+    """Faces whose quality counts, largest first: of the passable ones those not dwarfed by the largest.
+
+    A photo whose two or more passable faces are all tiny has none.
+    """
+    passable = faces.filter(_steps(F.col(area), F.col(confidence), [(0.0006, 0.82), (0.0010, 0.70)]) & (F.abs(roll) <= 42))
     w = Window.partitionBy(photo)
     sized = passable.select("*", F.max(area).over(w).alias("_largest"), F.count(F.lit(1)).over(w).alias("_faces"))
     kept = sized.filter(~((F.col("_faces") >= 2) & (F.col("_largest") < 0.0025)))
@@ -39,10 +43,15 @@ def quality_eligible(width: Column, height: Column, score: Column, issues: Colum
     return (width > 0) & (height > 0) & score.isNotNull() & ~F.isnan(score) & (F.abs(score) < float("inf")) & (score >= least) & clear
 
 
-def seed_face(embedding: Column, confidence: Column, area: Column, sharpness: Column, yaw: Column, pitch: Column, occlusion: Column) -> Column:
-    """Whether a face may found an identity."""
-    sound = embedding.isNotNull() & ~F.exists(embedding, lambda x: x.isNull() | F.isnan(x))
-    return sound & (confidence >= 0.65) & (area >= 0.0010) & (sharpness >= 8) & (F.abs(yaw) <= 55) & (F.abs(pitch) <= 40) & (occlusion <= 0.70)
+def seed_face(confidence: Column, area: Column, sharpness: Column, yaw: Column, pitch: Column, roll: Column, occlusion: Column, profile: Column, learned: Column) -> tuple[Column, Column]:
+    """(may the face found an identity, its strength); learned quality may be null, any other unknown measure rules it out."""
+    sound = F.lit(True)
+    for x in (confidence, area, sharpness, yaw, pitch, roll, occlusion):
+        sound = sound & finite(x).isNotNull()
+    good = F.coalesce(learned >= 35, F.lit(True))
+    firm = (confidence >= 0.82) & (area >= 0.001) & (sharpness >= 45) & (F.abs(yaw) <= 35) & (F.abs(pitch) <= 30) & (F.abs(roll) <= 35) & ~profile & (occlusion < 0.45) & good
+    strength = confidence + F.least(area, F.lit(0.10)) + F.least(sharpness, F.lit(200.0)) / 1000 - F.abs(yaw) / 180 - 0.25 * occlusion
+    return F.coalesce(sound & firm, F.lit(False)), F.when(sound, strength).otherwise(-1.0)
 
 
 def workspace(rows: DataFrame, stars: list[int], person: str | None = None, stage: str | None = None) -> DataFrame:

@@ -26,7 +26,7 @@ def face_flags(spark, sf):
 
 
 def quality_faces(spark, sf):
-    kept = filters.quality_faces(P.faces(spark, sf), "photo", "area", "confidence")
+    kept = filters.quality_faces(P.faces(spark, sf).withColumn("roll", F.col("line") * 7.0), "photo", "area", "confidence", "roll")
     return kept.groupBy("photo").agg(F.count(F.lit(1)).alias("faces"), F.min("area").alias("smallest"))
 
 
@@ -158,13 +158,22 @@ def semantic_errors(spark, sf):
 
 def eye_evidence(spark, sf):
     f = P.faces(spark, sf)
-    e = quality.eye_evidence(F.col("area"), F.col("confidence"), F.col("line") * 8.0, F.col("line") * 4.0, F.col("line") * 6.0, F.col("occlusion"), F.col("sharp") / 10, F.col("confidence"))
-    return f.select("photo", e["reliability"].alias("r"), F.size(e["reasons"]).alias("k")).groupBy("photo").agg(F.round(F.max("r") + 1e-10, 6).alias("reliability"), F.sum("k").alias("reasons"))
+    state = F.when(F.col("line") % 3 == 0, "Open").when(F.col("line") % 3 == 1, "Closed").otherwise("Odd")
+    face = {"state": state, "area": F.col("area"), "confidence": F.col("confidence"), "yaw": F.col("line") * 4.0, "pitch": F.col("line") * 1.5, "roll": F.col("line") * 5.0, "sharpness": F.col("sharp") / 10, "occlusion": F.col("occlusion"), "probability": (1 - F.col("confidence")) / 2}
+    e = quality.eye_evidence(face)
+    held = f.select("photo", e["reliability"].alias("r"), e["open_score"].alias("s"), e["decisive"].alias("d"), e["uncertain"].alias("u"), F.size(e["reasons"]).alias("k"))
+    return held.groupBy("photo").agg(F.round(F.max("r") + 1e-10, 6).alias("reliability"), F.round(F.min("s") + 1e-9, 4).alias("open_score"), F.count_if("d").alias("decisive"), F.count_if("u").alias("uncertain"), F.sum("k").alias("reasons"))
+
+
+def seed_faces(spark, sf):
+    f = P.faces(spark, sf)
+    firm, strength = filters.seed_face(F.col("confidence"), F.col("area"), F.col("sharp"), F.col("line") * 4.0, F.col("line") * 5.0, F.col("line") * 6.0, F.col("occlusion"), F.lit(False), F.lit(None).cast("double"))
+    return f.groupBy("photo").agg(F.count_if(firm).alias("seeds"), F.round(F.max(strength) + 1e-9, 5).alias("strength"))
 
 
 SQLS = {
     "face_flags": with_("faces") + f" select photo, count(distinct person) filter (where {SIG}) as significant, count(distinct person) filter (where {REL}) as reliable, max(area) as largest from faces group by 1",
-    "quality_faces": with_("faces") + f", p as (select *, max(area) over (partition by photo) as m, count(*) over (partition by photo) as n from faces where {SIG}) select photo, count(*) as faces, min(area) as smallest from p where not (n >= 2 and m < 0.0025) and (m < 0.0035 or area >= 0.24 * m) group by 1",
+    "quality_faces": with_("faces") + ", p as (select *, max(area) over (partition by photo) as m, count(*) over (partition by photo) as n from faces where ((area >= 0.0006 and confidence >= 0.82) or (area >= 0.0010 and confidence >= 0.70)) and line <= 6) select photo, count(*) as faces, min(area) as smallest from p where not (n >= 2 and m < 0.0025) and (m < 0.0035 or area >= 0.24 * m) group by 1",
     "eligible_people": with_("faces") + f" select person, photos from (select person, count(distinct photo) as photos, bool_or({REL} and area >= 0.008) as large from faces where {SIG} and photo % 10 = 0 group by 1) where photos >= 2 or large",
     "dominant_people": with_("photos", "faces") + ", f as (select distinct p.grp, f.photo, f.person from faces f join photos p on p.id = f.photo), n as (select grp, count(distinct photo) as n from f group by 1), s as (select grp, person, count(*) as k from f group by 1, 2) select grp, person, k >= greatest(2, round_even(0.45::double * n, 0)) as dominant, k >= greatest(1, ceil(0.35::double * n)) as stable from s join n using (grp) where k >= greatest(2, round_even(0.45::double * n, 0)) or k >= greatest(1, ceil(0.35::double * n))",
     "repeated_people": with_("faces") + " select person, count(distinct photo) as photos from faces group by 1 having count(distinct photo) >= 2",
@@ -186,7 +195,12 @@ select photo, round(g + 1e-9, 5) as generic, round(case when k > 1 then 0.72 * g
     "workspace_filter": with_("photos", "faces") + " select p.id, cast(floor(p.score / 26) as int) as stars, count(distinct f.person) as people from photos p join faces f on f.photo = p.id where floor(p.score / 26) between 1 and 3 group by 1, 2 having bool_or(f.person = 7)",
     "public_projection": with_("photos") + " select id, round_even(score, 2) as score, round_even(score * 1.2345, 3) as price, round_even(score / 100, 4) as confidence from photos",
     "semantic_errors": with_("photos") + " select stars, rating_tier, count(*) as n from (select cast(floor(score / 26) as int) as stars, case when id % 2 = 0 then 'primary' else 'valuable' end as rating_tier from photos) where not coalesce((stars = 1 and rating_tier = 'valuable') or (stars = 3 and rating_tier = 'primary'), false) group by 1, 2",
-    "eye_evidence": with_("faces") + """, x as (select photo, list_transform([(area - 0.0007::double) / (0.0035::double - 0.0007::double), (confidence - 0.55::double) / (0.85::double - 0.55::double), 1 - (line * 8.0 - 30) / 30, 1 - (line * 4.0 - 15) / 20, 1 - (line * 6.0 - 25) / 25, 1 - (occlusion - 0.35::double) / (0.75::double - 0.35::double), (sharp / 10 - 8) / 52, (abs(confidence - 0.5) - 0.05::double) / (0.3::double - 0.05::double)], lambda v: greatest(0.0, least(1.0, v))) as v from faces)
-select photo, round(max(list_min(v)) + 1e-10, 6) as reliability, cast(sum(len(list_filter(v, lambda q: q < 0.5))) as bigint) as reasons from x group by 1""",
+    "eye_evidence": with_("faces") + """, x as (select photo, line % 3 as st, area, confidence as c, line * 4.0::double as y, line * 1.5::double as p, line * 5.0::double as r, sharp / 10 as s, occlusion as o, (1 - confidence) / 2 as q from faces),
+t as (select *, case when st = 2 then 0.0::double else list_min(list_transform([(area - 0.0012::double) / (0.0030::double - 0.0012::double), (c - 0.70::double) / (0.82::double - 0.70::double), 1 - (y - 20) / 15, 1 - (p - 10) / 5, 1 - (r - 20) / 15, (s - 20) / 15, 1 - (o - 0.25::double) / (0.55::double - 0.25::double), abs(q - 0.5) / 0.5], lambda v: greatest(0.0::double, least(1.0::double, v)))) end as rel,
+ (area < 0.0030)::int + (c < 0.82)::int + (y > 35)::int + (p > 15)::int + (r > 35)::int + (s < 35)::int + (o >= 0.55)::int as bad, p >= 15 and y <= 45 as down from x),
+u as (select *, case when st = 0 then 100.0::double when down then 58.0::double else 5.0::double end as b, st = 1 and bad = 0 and q <= 0.18 as d from t),
+w as (select *, case when down then b else 0.68::double * b + 32 * q end as m from u)
+select photo, round(max(rel) + 1e-10, 6) as reliability, round(min(case when st = 2 then 72.0::double else greatest(0.0::double, least(100.0::double, rel * m + (1 - rel) * 72)) end) + 1e-9, 4) as open_score, count(*) filter (where d) as decisive, count(*) filter (where (st = 1 and not d) or (st = 0 and rel < 0.5)) as uncertain, cast(sum(case when st = 2 then 1 else bad end) as bigint) as reasons from w group by 1""",
+    "seed_faces": with_("faces") + " select photo, count(*) filter (where confidence >= 0.82 and area >= 0.001 and sharp >= 45 and line * 4 <= 35 and line * 5 <= 30 and line * 6 <= 35 and occlusion < 0.45) as seeds, round(max(confidence + least(area, 0.10) + least(sharp, 200.0) / 1000 - line * 4 / 180 - 0.25 * occlusion) + 1e-9, 5) as strength from faces group by 1",
 }
 QUERIES = {k: globals()[k] for k in [*SQLS, "coverage_greedy", "primary_budget", "delivery_reserve", "nms_boxes", "match_bodies"]}
