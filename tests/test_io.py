@@ -141,3 +141,39 @@ def test_decide_invariants(spark):
     assert (p.loc[p["origin"] == "manual", "stars"] == 3).all()
     assert set(zip(p["stars"], p["tier"], strict=True)) <= {(0, "waste"), (1, "valuable"), (2, "coverage"), (3, "primary")}
     assert d.report.agg(F.sum("photos")).first()[0] == len(p)
+
+
+def test_models_and_operations(spark, tmp_path):
+    from sievework.sinks import operations as ops
+    from sievework.sources import models
+
+    m = models.LogisticModel(("a", "b"), (0.0, 1.0), (1.0, 2.0), (0.5, -1.0), 0.1)
+    path = str(tmp_path / "m.json")
+    m.save(path)
+    assert models.load_model(path, ("a", "b")) == m and models.load_model_or_none(path, ("a",)) is None and models.load_model_or_none(str(tmp_path / "none"), ("a",)) is None
+    d = spark.createDataFrame([(1.0, None), (0.0, 3.0)], "a double, b double")
+    assert [round(r[0], 6) for r in d.select(m.score()).collect()] == [round(1 / (1 + 2.718281828459045 ** -(0.1 + 0.5 + 0.5)), 6), round(1 / (1 + 2.718281828459045 ** -(0.1 - 1.0)), 6)]
+    with pytest.raises(ValueError):
+        models.LogisticModel(("a",), (0.0,), (0.0,), (1.0,), 0.0)
+    (tmp_path / "iqa.json").write_text(json.dumps({"d": {"p1": 1.5, "p2": 2.0}}))
+    rows_ = spark.createDataFrame([("p1", 1), ("p2", 2), ("p3", 2)], "photo_id string, b int")
+    got = {r["photo_id"]: r["iqa"] for r in models.with_scores(rows_, models.score_table(spark, str(tmp_path / "iqa.json"), "d"), "b").collect()}
+    assert got == {"p1": 1.5, "p2": None, "p3": None}
+    assert models.provenance(rows_, {"x": 1}).first()["sources"] == 3
+    op = "ab" * 16
+    for n in (1, 2, 10):
+        assert ops.append_journal(str(tmp_path / "j"), op, n, {"n": n})
+    r = ops.latest_journals(spark, str(tmp_path / "j")).first()
+    assert (r["operation"], r["revision"], json.loads(r["value"])) == (op, 10, {"n": 10})
+    with pytest.raises(ValueError):
+        ops.append_journal(str(tmp_path / "j"), "../x", 1, {})
+    inbox, out, arch = (str(tmp_path / x) for x in ("in", "out", "arch"))
+    queue.write_once(inbox, "q", {"a": 1})
+    for _ in range(2):
+        ops.publish_receipt(inbox, out, arch, "q", {"ok": True})
+    assert os.listdir(arch) == ["q.json"] and os.listdir(inbox) == []
+    queue.write_once(str(tmp_path / "work"), "w", {"a": 1})
+    ops.recover(str(tmp_path / "work"), inbox, str(tmp_path / "bad"))
+    assert os.listdir(inbox) == ["w.json"]
+    ops.beat(str(tmp_path / "beat.json"), busy=False)
+    assert ops.fresh(spark.read.json(str(tmp_path / "beat.json")), __import__("time").time()).count() == 1
