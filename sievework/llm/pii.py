@@ -91,8 +91,14 @@ def disclosing_terms(docs: DataFrame, radius: int = 3, support: int = 3, general
     if joint.isEmpty():
         return docs.sparkSession.createDataFrame([], schema)
     total = docs.select("_key").distinct().count()
+    # a pair reaches generalise_at only if n_t <= n_te (N / n_e)^(1 - generalise_at); the texts with entities alone rule
+    # out most common words, since n_t is no less than their count there
+    most = F.max(F.col("n_te") * F.pow(float(total) / F.col("n_e"), F.lit(1 - generalise_at)))
+    limits = joint.groupBy("term").agg(most.alias("most"))
+    here = texts.select("_key", F.explode(_terms(F.col("_text"))).alias("term")).join(limits, "term").groupBy("term").agg(F.count(F.lit(1)).alias("least"), F.first("most").alias("most"))
+    rare = cut(here.filter(F.col("least") <= F.col("most")).select("term"), "pii-rare")
     words = docs.select("_key", F.explode(_terms(F.col("_text"))).alias("term"))
-    of_term = words.join(joint.select("term").distinct(), "term", "left_semi").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
+    of_term = words.join(rare, "term", "left_semi").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
     pmi = F.log2(F.col("n_te") * float(total) / (F.col("n_t").cast("double") * F.col("n_e")))
     content = -F.log2(F.col("n_e") / F.lit(float(total)))
     share = F.when(content > 0, pmi / content).otherwise(0.0)
