@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import safe_ratio
+from .ranking import running_total
 
 
 def confusion(predicted: Column, expected: Column) -> list[Column]:
@@ -58,9 +59,9 @@ def pair_audit(pairs: DataFrame, clusters: DataFrame, key: str, cluster: str) ->
 def roc_auc(rows: DataFrame, score: str, positive: Column) -> DataFrame:
     """One row: auc, ties counting half; scores are counted by value, so equal ones cost one row."""
     by = rows.groupBy(score).agg(F.count_if(positive).alias("p"), F.count_if(~positive).alias("n"))
-    below = F.coalesce(F.sum("n").over(Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    held = by.select("p", "n", below.alias("below"))
-    return held.agg(F.bround(F.sum(F.col("p") * (F.col("below") + 0.5 * F.col("n"))) / (F.sum("p") * F.sum("n")), 6).alias("auc"), F.sum("p").alias("positives"), F.sum("n").alias("negatives"))
+    held = running_total(by, [F.col(score)], F.col("n"), "upto")
+    right = F.sum(F.col("p") * (F.col("upto") - F.col("n") + 0.5 * F.col("n")))
+    return held.agg(F.bround(right / (F.sum("p") * F.sum("n")), 6).alias("auc"), F.sum("p").alias("positives"), F.sum("n").alias("negatives"))
 
 
 def pairwise_accuracy(rows: DataFrame, group: str, score: str, positive: Column) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import sigmoid
+from .ranking import running_total
 
 
 def logistic(features: list[Column], mean: list[float], scale: list[float], weights: list[float], bias: float) -> Column:
@@ -58,9 +59,9 @@ def fit_pairwise(rows: DataFrame, group: str, features: list[str], positive: Col
 
 def cv_folds(groups: DataFrame, group: str, size: str, folds: int) -> DataFrame:
     """fold of each group: contiguous blocks of groups with about equal numbers of rows."""
-    upto = groups.select("*", F.sum(size).over(Window.orderBy(group)).alias("_upto"), F.sum(size).over(Window.partitionBy()).alias("_all"))
+    total = groups.agg(F.sum(size)).first()[0] or 1
     middle = F.col("_upto") - F.col(size) / 2
-    return upto.select(group, size, F.least(F.lit(folds - 1), F.floor(middle * folds / F.col("_all"))).cast("long").alias("fold"))
+    return running_total(groups, [F.col(group)], F.col(size), "_upto").select(group, size, F.least(F.lit(folds - 1), F.floor(middle * folds / total)).cast("long").alias("fold"))
 
 
 def hardest_negatives(rows: DataFrame, group: str, positive: Column, rank: str, score: str, name: str, most: int) -> DataFrame:

@@ -73,17 +73,27 @@ def folder_stages(rows: DataFrame, path: str, order: str) -> DataFrame:
     return named.join(stages, "folder")
 
 
-def numbered(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
-    """Number all rows from 1 in a total order without gathering them: sorted partitions plus the counts before them."""
-    held = rows.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()).persist(StorageLevel.MEMORY_AND_DISK)
+def running_total(rows: DataFrame, order: list[Column], value: Column, name: str) -> DataFrame:
+    """Sum of value over all rows up to each row in a total order, without gathering them in one task.
+
+    Rows are sorted into partitions; totals of partitions (one number each) come to the driver, and each row adds the
+    total before its partition to the sum inside it. The sorted rows stay persisted while the result is in use.
+    """
+    held = rows.orderBy(*order).select("*", F.monotonically_increasing_id().alias("_at"), value.cast("long").alias("_v")).persist(StorageLevel.MEMORY_AND_DISK)
     part = F.shiftright("_at", 33)
-    counts = {r["p"]: r["n"] for r in held.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    before, total = {}, 0
-    for p in sorted(counts):  # one entry a partition
-        before[p] = total
-        total += counts[p]
+    totals = {r["p"]: r["n"] for r in held.groupBy(part.alias("p")).agg(F.sum("_v").alias("n")).collect()}
+    before, upto = {}, 0
+    for p in sorted(totals):
+        before[p] = upto
+        upto += totals[p] or 0
     offset = F.element_at(F.create_map(*[F.lit(x) for kv in before.items() for x in kv]), part) if before else F.lit(0)
-    return held.select(*rows.columns, (offset + F.col("_at").bitwiseAND((1 << 33) - 1) + 1).cast("long").alias(name))
+    inside = F.sum("_v").over(Window.partitionBy(part).orderBy("_at").rowsBetween(Window.unboundedPreceding, 0))
+    return held.select(*rows.columns, (offset + inside).cast("long").alias(name))
+
+
+def numbered(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """Number all rows from 1 in a total order; see running_total."""
+    return running_total(rows, order, F.lit(1), name)
 
 
 def rotated(rows: DataFrame, group: str, salt: Column, key: str, offset: int) -> DataFrame:

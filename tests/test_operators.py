@@ -133,6 +133,8 @@ def test_identities_cannot_link(spark):
     got = dict(rows(folds.identities(d, "part", "photo", "id", "v", "s", "seed").select("id", "identity"), "id"))
     assert got[1] != got[2] or 0 in (got[1], got[2])
     assert got[4] == 0 and got[5] == 0
+    many = spark.createDataFrame([(2, "p1"), (2, "p2"), (1, "p1"), (1, "p1"), (0, "p9"), (3, "p1"), (3, "p2")], "identity int, photo string")
+    assert rows(folds.identity_names(many, "identity", "photo").select("identity", "name"), "name") == [(2, "person-001"), (3, "person-002"), (1, "person-003")]
 
 
 def test_suppress(spark):
