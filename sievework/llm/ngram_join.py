@@ -147,7 +147,8 @@ def similarity_classes(docs: DataFrame, n: int = 5, threshold: float = 0.8, reca
     text_id is the least doc_id with the same text. n_links counts the other texts whose shingle sets have a Jaccard
     similarity of threshold or more. class_id is the least doc_id that such links, in any number of steps, and equal
     texts lead to. A null text, and a text without words other than its equal copies, has no links; a null text is
-    its own class. Rows that repeat a doc_id are kept; an empty table gives an empty result.
+    its own class. Rows that repeat a doc_id are kept; a text that only rows with a null doc_id have is compared with
+    none; an empty table gives an empty result.
     """
     bands, rows = choose_bands(threshold, recall)
     signed = cut(signatures(docs, n, bands, rows), "bands")
@@ -200,7 +201,11 @@ def report(docs: DataFrame, **params) -> DataFrame:
 def keep_one(docs: DataFrame, **params) -> DataFrame:
     """The rows of docs that stand for their class: those whose doc_id is the class's least, and rows with a null doc_id.
 
-    Repeated rows of that doc_id count as copies: those with the class's text stay once.
+    Rows that repeat both doc_id and text stay once; rows of one doc_id with different texts all stay if it is kept.
     """
-    kept = similarity_classes(docs, **params).filter("doc_id = class_id or doc_id is null").select(F.col("doc_id").alias("_sw_id")).distinct()
-    return docs.join(kept.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(kept["_sw_id"]), "left_semi").select(docs.columns)
+    own = cut(similarity_classes(docs, **params).filter("doc_id = class_id or doc_id is null").select(F.col("doc_id").alias("_sw_id")), "kept")
+    held = docs.join(own.distinct().hint("shuffle_hash"), docs["doc_id"].eqNullSafe(F.col("_sw_id")), "left_semi").select(docs.columns)
+    again = own.filter("_sw_id is not null").groupBy("_sw_id").count().filter("count > 1")
+    if again.isEmpty():
+        return held
+    return held.filter("doc_id is not null").dropDuplicates(["doc_id", "text"]).unionByName(held.filter("doc_id is null"))

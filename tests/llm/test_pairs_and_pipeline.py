@@ -74,6 +74,12 @@ def test_ngram_join(spark):
     check(spark, texts)
 
 
+def test_ngram_join_repeated_rows(spark):
+    d = spark.createDataFrame([(1, "a b c d e f g"), (1, "a b c d e f g"), (2, "a b c d e f g"), (None, "x y"), (3, None), (3, None)], "doc_id long, text string")
+    assert sorted(map(tuple, ngram_join.keep_one(d).collect()), key=repr) == sorted([(1, "a b c d e f g"), (None, "x y"), (3, None)], key=repr)
+    assert ngram_join.report(d).count() == 6
+
+
 def test_ngram_join_in_blocks(spark):
     check(spark, near_copies(2, 3, 40), block=8)
 
