@@ -377,5 +377,17 @@ SQLS = {
     "merged_people": with_("faces") + " select case when person % 5 = 1 then person - 1 else person end as person, count(distinct photo) as photos from faces group by 1",
     "face_moments": with_("photos", "faces") + ", f as (select photo, person, max(occlusion) < 0.4 as open from faces group by 1, 2), p as (select min(id) as l, max(id) as r from photos group by grp having min(id) < max(id)) select distinct l as \"left\", r as \"right\" from p join f a on a.photo = p.l join f b on b.photo = p.r and b.person = a.person where a.open != b.open",
     "activity_sessions": "with e as (select user_id, epoch_us(ts) as t from events), s as (select *, sum(n) over (partition by user_id order by t rows unbounded preceding) as k from (select *, case when t - lag(t) over (partition by user_id order by t) >= 10800000000 then 1 else 0 end as n from e)) select user_id, min(t) as first, max(t) as last, count(*) as \"rows\" from s group by user_id, k",
+    "corrections_replay": """with x as (select l_orderkey as photo, l_linenumber::bigint as face_index, max(l_quantity) as q, min(l_suppkey)::varchar as person from lineitem group by 1, 2),
+f as (select photo, face_index, person, (q % 9)::double as a from x), n as (select photo, face_index as anchor, 'fixed-' || person as person, (q % 9)::double as b from x where photo % 4 = 0 and face_index <= 2),
+o as (select f.photo, f.face_index, n.anchor, n.person, greatest(0.0, least(a + 5, b + 6) - greatest(a, b)) * 5 as common from f join n using (photo)),
+met as (select *, count(*) over (partition by photo, anchor) as na, count(*) over (partition by photo, face_index) as nf from o where common / (55 - common) >= 0.8),
+once as (select photo, person, min(face_index) as face_index from met where na = 1 and nf = 1 group by 1, 2)
+select f.photo, f.face_index, case when once.person is not null then once.person when m.photo is not null then null else f.person end as person, m.photo is not null and once.person is null as warning
+from f left join once on once.photo = f.photo and once.face_index = f.face_index left join (select distinct photo, face_index from met) m on m.photo = f.photo and m.face_index = f.face_index""",
+    "state_machine": "with recursive step(s, e, n) as (values " + ", ".join(f"('{a}', '{b}', '{c}')" for (a, b), c in operations.STEPS.items()) + """),
+r as (select user_id, row_number() over (partition by user_id order by ts, event_id) as i, ['submit', 'claim', 'receipt', 'confirm', 'progress', 'fail', 'retry'][event_id % 7 + 1] as e from events),
+f as (select user_id, 0::bigint as i, 'new' as state, 0::bigint as applied from (select distinct user_id from events) union all
+ select f.user_id, r.i, coalesce(step.n, f.state), f.applied + (step.n is not null)::int from f join r on r.user_id = f.user_id and r.i = f.i + 1 left join step on step.s = f.state and step.e = r.e)
+select user_id, arg_max(state, i) as state, max(applied) as applied from f group by 1""",
 }
-QUERIES = {k: globals()[k] for k in [*SQLS, "strict_clusters", "online_groups", "identity_clusters", "corrections_replay", "fitted_preference", "state_machine"]}
+QUERIES = {k: globals()[k] for k in [*SQLS, "strict_clusters", "online_groups", "identity_clusters", "fitted_preference"]}
