@@ -41,13 +41,13 @@ class Profiles:
 
     def of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(profiles, whether the text has a letter)."""
-        raw = " ".join(["", *[t.lower() for t in texts], ""])
-        codes = self._code(np.frombuffer(raw.encode("utf-32-le", "surrogatepass"), np.uint32)).astype(np.int64)
-        ends = np.cumsum([len(t.lower()) + 1 for t in texts])
-        keep = np.flatnonzero((codes[:-1] != 0) | (codes[1:] != 0))  # one gap of each run of gaps
-        keep = keep[(codes[keep] != 0) | (codes[keep + 1] != 0)]
-        c, where = codes[keep], np.searchsorted(ends, keep, "left")
-        where = np.minimum(where, len(texts) - 1)
+        padded = [f" {t.lower()} " for t in texts]  # every text brings its own edges, so neighbours don't matter
+        codes = self._code(np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), np.uint32)).astype(np.int64)
+        ends = np.cumsum([len(t) for t in padded])
+        after = np.concatenate([[1], codes[:-1]])
+        after[ends[:-1]] = 1
+        keep = np.flatnonzero((codes != 0) | (after != 0))  # one gap of each run of gaps
+        c, where = codes[keep], np.searchsorted(ends, keep, "right")
         gram = np.zeros(max(0, len(c) - self.n + 1), np.int64)
         full = np.ones(len(gram), bool)
         for k in range(self.n):

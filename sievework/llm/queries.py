@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from . import ann, bpe, langid, license, line_dedup, ngram_join, packing, pii, quality, toxicity
 from .common import fold, table
