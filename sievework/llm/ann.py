@@ -3,7 +3,8 @@
 Vectors are scaled to one norm by an extra component (which leaves inner products with queries alone), so a graph over
 them serves inner products. Equal vectors are indexed once: each keeps its smallest ids, as many as a query can use.
 Vectors are dealt to shards by hash; each shard's graph is a flat array of neighbours a level. All queries search every
-shard, in blocks; the best of each shard meet in a grouped merge, and the scores are computed anew in double precision.
+shard; a task has one shard and a block of queries, so its memory is bounded (a shard with several blocks builds its
+graph for each, less work than the block's searches). The best of each shard meet in a grouped merge, and the scores are computed anew in double precision.
 """
 
 from __future__ import annotations
@@ -162,7 +163,7 @@ def usable(table: DataFrame, vector: str = "embedding") -> DataFrame:
     return rows.select("vec_id", "v", _norm2(v).alias("norm2")).filter("norm2 > 0")
 
 
-def search(table: DataFrame, queries: Column, k: int = 20, m: int = 16, ef_build: int = 64, ef: int = 96) -> DataFrame:
+def search(table: DataFrame, queries: Column, k: int = 20, m: int = 16, ef_build: int = 64, ef: int = 96, shard_rows: int = SHARD_ROWS, min_shards: int = MIN_SHARDS, query_block: int = 65_536) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest others found for every row where queries holds.
 
     Rows that don't take part (see usable) neither ask nor answer. Rows with equal vectors are all found, the smaller
@@ -174,10 +175,14 @@ def search(table: DataFrame, queries: Column, k: int = 20, m: int = 16, ef_build
     first = held.select("*", nth.alias("_n")).filter(F.col("_n") <= k + 1)
     distinct = cut(first.groupBy("v", "norm2").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")), "distinct-vectors")
     n, longest = distinct.agg(F.count(F.lit(1)), F.max("norm2")).first()
-    shards = max(MIN_SHARDS, -(-n // SHARD_ROWS))
+    shards = max(min_shards, -(-n // shard_rows))
     asks = held.filter(queries).select(F.col("vec_id").alias("query_id"), "v")
-    base = distinct.select(F.pmod(F.xxhash64("v"), F.lit(shards)).cast("int").alias("shard"), "v", "norm2", "ids", F.lit(None).cast("long").alias("query_id"))
-    to_all = asks.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), "v", F.lit(None).cast("double").alias("norm2"), F.lit(None).cast("array<long>").alias("ids"), "query_id")
+    blocks = max(1, -(-asks.count() // query_block))
+    shard, block = F.pmod(F.xxhash64("v"), F.lit(shards)).cast("int"), F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")
+    every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    none = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    base = distinct.select(shard.alias("shard"), every(blocks).alias("block"), "v", "norm2", "ids", none("long", "query_id"))
+    to_all = asks.select(every(shards).alias("shard"), block.alias("block"), "v", none("double", "norm2"), none("array<long>", "ids"), "query_id")
 
     def shard_search(group: pd.DataFrame) -> pd.DataFrame:
         base = group[group["query_id"].isna()]
@@ -203,7 +208,7 @@ def search(table: DataFrame, queries: Column, k: int = 20, m: int = 16, ef_build
                 out += [(query, i, -s) for s, i in best]
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]) if out else empty
 
-    found = base.unionByName(to_all).groupBy("shard").applyInPandas(shard_search, "query_id long, vec_id long, score double")
+    found = base.unionByName(to_all).groupBy("shard", "block").applyInPandas(shard_search, "query_id long, vec_id long, score double")
     return rank(found, k)
 
 

@@ -143,6 +143,8 @@ def test_ann(spark):
         assert all(abs(s - np.dot(np.array(vectors[q]), np.array(vectors[i]))) < 1e-9 for _, i, s in found)
         hit += len({i for _, i, _ in found} & {i for _, i in want[q]})
     assert hit / (20 * len(got)) >= 0.9
+    again = sorted(map(tuple, ann.search(d, ann.every_20th(), query_block=7, min_shards=2).collect()))
+    assert len(again) == 20 * len(got) and len({r[:2] for r in again}) == len(again)
     few = spark.createDataFrame(rows[:3], "vec_id long, embedding array<float>")
     assert ann.search(few, ann.every_20th()).count() == 2
     assert ann.search(d.limit(0), ann.every_20th()).count() == 0
