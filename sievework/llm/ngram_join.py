@@ -92,12 +92,15 @@ def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import xxhash
 
-        for batch in batches:
-            tids, found = [], []
-            for text in batch["text"]:
-                tids.append(None if text is None else xxhash.xxh3_128_digest(text.encode("utf-8", "surrogatepass")))
-                found.append(minhash_bands(_FIND(text or ""), n, bands, rows, factors, shifts))
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "tid": tids, "bands": found})
+        try:
+            for batch in batches:
+                tids, found = [], []
+                for text in batch["text"]:
+                    tids.append(None if text is None else xxhash.xxh3_128_digest(text.encode("utf-8", "surrogatepass")))
+                    found.append(minhash_bands(_FIND(text or ""), n, bands, rows, factors, shifts))
+                yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "tid": tids, "bands": found})
+        finally:
+            _WORDS.clear()  # a worker outlives its tasks
 
     return docs.select("doc_id", "text").mapInPandas(sign, "doc_id long, tid binary, bands array<long>")
 

@@ -64,6 +64,10 @@ class WordIds:
                 free += 1
         self.coder = tiktoken.Encoding("words", pat_str=r"[^ ]+ ", mergeable_ranks=ranks, special_tokens={})
 
+    def forget(self) -> None:
+        """Empty the caches: a worker outlives its tasks, and the next ones need its memory."""
+        self.tokens, self.parts = {}, {}
+
     def _learn(self, tokens: list[str]) -> None:
         split = [_PART.findall(t.lower()) for t in tokens]
         new = list(dict.fromkeys(p for s in split for p in s if p not in self.parts))
@@ -132,15 +136,18 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = 0, vocabular
 
     def cut_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         make, end = coder(path), np.array([end_id], "<u4").tobytes()
-        for batch in batches:
-            rows = []
-            again = batch.groupby("doc_id", dropna=False).cumcount()
-            for doc, raw, salt in zip(batch["doc_id"].array, make.encode(batch["text"].fillna("").tolist()), again, strict=True):
-                raw += end
-                for k, at in enumerate(range(0, len(raw), 4 * capacity)):
-                    part = raw[at : at + 4 * capacity]
-                    rows.append((doc, k, at // 4, len(part) // 4, zlib.crc32(part), salt, *([np.frombuffer(part, "<u4").astype("int32")] * with_ids)))
-            yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", "_again", *["ids"] * with_ids]).astype({"doc_id": "Int64"})
+        try:
+            for batch in batches:
+                rows = []
+                again = batch.groupby("doc_id", dropna=False).cumcount()
+                for doc, raw, salt in zip(batch["doc_id"].array, make.encode(batch["text"].fillna("").tolist()), again, strict=True):
+                    raw += end
+                    for k, at in enumerate(range(0, len(raw), 4 * capacity)):
+                        part = raw[at : at + 4 * capacity]
+                        rows.append((doc, k, at // 4, len(part) // 4, zlib.crc32(part), salt, *([np.frombuffer(part, "<u4").astype("int32")] * with_ids)))
+                yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", "_again", *["ids"] * with_ids]).astype({"doc_id": "Int64"})
+        finally:
+            make.forget()
 
     return docs.select("doc_id", "text").mapInPandas(cut_up, PIECES + ", _again int" + (", ids array<int>" if with_ids else ""))
 

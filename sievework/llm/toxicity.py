@@ -55,7 +55,7 @@ class _Scores(dict):
         self.scores = scores
 
     def __missing__(self, word: str) -> float:
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
             self.update(self.scores)
         got = self[word] = self.scores.get(f"{word[:STEM]}*", 0.0) if len(word) > STEM else 0.0
