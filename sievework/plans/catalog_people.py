@@ -36,6 +36,13 @@ def eligible_people(spark, sf):
     return selection.eligible_people(f.filter(sig & (F.col("photo") % 10 == 0)), "photo", "person", "area", rel)
 
 
+def eligible_people_all(spark, sf):
+    """Over the faces of all photos; eligible_people and its SQL take the tenth with photo % 10 = 0."""
+    f = P.faces(spark, sf)
+    sig, rel = _flags(f)
+    return selection.eligible_people(f.filter(sig), "photo", "person", "area", rel)
+
+
 def dominant_people(spark, sf):
     f = P.faces(spark, sf).join(P.photos(spark, sf).select(F.col("id").alias("photo"), "grp"), "photo").select("grp", "photo", "person").distinct()
     sizes = f.groupBy("grp").agg(F.countDistinct("photo").alias("n"))
@@ -175,6 +182,7 @@ SQLS = {
     "face_flags": with_("faces") + f" select photo, count(distinct person) filter (where {SIG}) as significant, count(distinct person) filter (where {REL}) as reliable, max(area) as largest from faces group by 1",
     "quality_faces": with_("faces") + ", p as (select *, max(area) over (partition by photo) as m, count(*) over (partition by photo) as n from faces where ((area >= 0.0006 and confidence >= 0.82) or (area >= 0.0010 and confidence >= 0.70)) and line <= 6) select photo, count(*) as faces, min(area) as smallest from p where not (n >= 2 and m < 0.0025) and (m < 0.0035 or area >= 0.24 * m) group by 1",
     "eligible_people": with_("faces") + f" select person, photos from (select person, count(distinct photo) as photos, bool_or({REL} and area >= 0.008) as large from faces where {SIG} and photo % 10 = 0 group by 1) where photos >= 2 or large",
+    "eligible_people_all": with_("faces") + f" select person, photos from (select person, count(distinct photo) as photos, bool_or({REL} and area >= 0.008) as large from faces where {SIG} group by 1) where photos >= 2 or large",
     "dominant_people": with_("photos", "faces") + ", f as (select distinct p.grp, f.photo, f.person from faces f join photos p on p.id = f.photo), n as (select grp, count(distinct photo) as n from f group by 1), s as (select grp, person, count(*) as k from f group by 1, 2) select grp, person, k >= greatest(2, round_even(0.45::double * n, 0)) as dominant, k >= greatest(1, ceil(0.35::double * n)) as stable from s join n using (grp) where k >= greatest(2, round_even(0.45::double * n, 0)) or k >= greatest(1, ceil(0.35::double * n))",
     "repeated_people": with_("faces") + " select person, count(distinct photo) as photos from faces group by 1 having count(distinct photo) >= 2",
     "quality_rollup": with_("faces") + """, a as (select *, case when occlusion < 0.3 then 1 when occlusion < 0.6 then 2 else 3 end as st, line > 5 as down from faces),
