@@ -62,6 +62,12 @@ def cosine_pairs(spark, sf):
     return both.filter("c >= 0.3").select("l", "r", F.round("c", 5).alias("cosine"))
 
 
+def cosine_pairs_all(spark, sf):
+    """Over all labels, in blocks; cosine_pairs and its SQL take three labels."""
+    found = pairs.cosine_pairs(read(spark, sf, "embeddings").filter("label is not null"), "label", "vec_id", "embedding", 0.3)
+    return found.select("l", "r", F.round("c", 5).alias("cosine"))
+
+
 def nearest_two_centroids(spark, sf):
     e = read(spark, sf, "embeddings").select("vec_id", "label", "embedding")
     mean = e.select("label", F.posexplode("embedding").alias("k", "v")).groupBy("label", "k").agg(F.avg(F.col("v").cast("double")).alias("v")).groupBy("label").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "v"))), lambda s: s["v"]).alias("c"))
@@ -339,6 +345,7 @@ SQLS = {
     "latest_by_key": with_("photos") + " select grp, us, id, status from (select *, row_number() over (partition by grp order by us desc, id desc) as r from photos) where r = 1",
     "set_hash": "select n_regionkey, sha256(string_agg(n_name, ',' order by n_name)) as h from nation group by 1",
     "cosine_pairs": "with e as (select vec_id, label, embedding::double[] as x, sqrt(list_sum(list_transform(embedding::double[], lambda v: v * v))) as n from embeddings where label < 3) select a.vec_id as l, b.vec_id as r, round(list_dot_product(a.x, b.x) / (a.n * b.n), 5) as cosine from e a join e b on a.label = b.label and a.vec_id < b.vec_id where list_dot_product(a.x, b.x) / (a.n * b.n) >= 0.3",
+    "cosine_pairs_all": "with e as (select vec_id, label, embedding::double[] as x, sqrt(list_sum(list_transform(embedding::double[], lambda v: v * v))) as n from embeddings) select a.vec_id as l, b.vec_id as r, round(list_dot_product(a.x, b.x) / (a.n * b.n), 5) as cosine from e a join e b on a.label = b.label and a.vec_id < b.vec_id where list_dot_product(a.x, b.x) / (a.n * b.n) >= 0.3",
     "nearest_two_centroids": "with x as (select label, k, avg(v::double) as v from (select label, unnest(embedding) as v, generate_subscripts(embedding, 1) as k from embeddings) group by 1, 2), c as (select label, list(v order by k) as c from x group by 1), s as (select e.vec_id, c.label, round(list_dot_product(e.embedding::double[], c.c), 6) as s from embeddings e cross join c), r as (select *, row_number() over (partition by vec_id order by s desc, label) as r from s) select vec_id, max(label) filter (where r = 1) as best, max(s) filter (where r = 1) as score, round(max(s) filter (where r = 1) - max(s) filter (where r = 2), 6) as margin from r where r <= 2 group by 1",
     "vector_norms": "select vec_id, round(sqrt(list_dot_product(embedding::double[], embedding::double[])), 5) as norm, round(sqrt(list_dot_product(embedding::double[], embedding::double[])), 5) as self from embeddings",
     "near_duplicate_pairs": "with d as (select doc_id, doc_id // 4 as tb, md5(text) as fp, ('0x' || sha256(text)[1:16])::ubigint as h from documents), p as (select a.doc_id as l, b.doc_id as r, a.h as x, b.h as y from d a join d b on a.doc_id < b.doc_id and a.fp = b.fp union select a.doc_id, b.doc_id, a.h, b.h from d a join d b on a.doc_id < b.doc_id and b.tb between a.tb - 1 and a.tb + 1) select l as \"left\", r as \"right\", round(1 - bit_count(xor(x, y)) / 64, 6) as similarity from p where round(1 - bit_count(xor(x, y)) / 64, 6) >= 0.6",
