@@ -88,9 +88,11 @@ def _covered(window: np.ndarray) -> int:
 
 
 def distance(p: np.ndarray, q: np.ndarray) -> float:
-    """Jensen-Shannon distance of two histograms; 0 where either is empty."""
-    if not p.sum() or not q.sum():
+    """Jensen-Shannon distance of a histogram to a reference; 0 where the reference is empty, 1 where only the other is."""
+    if not q.sum():
         return 0.0
+    if not p.sum():
+        return 1.0
     p, q = p / p.sum(), q / q.sum()
     m = (p + q) / 2
     part = lambda x: float((x[x > 0] * np.log2(x[x > 0] / m[x > 0])).sum())

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sievework.functions import vectors
+from sievework.llm import quality
 from sievework.operators import pairs
 from sievework.plans import catalog
 
@@ -36,3 +37,12 @@ def test_cosine_pairs_blocks(spark):
     want = rows(a.join(b, "g").filter("l < r").select("l", "r", F.round(vectors.cosine(F.col("x"), F.col("y")), 9).alias("c")).filter("c >= 0.3"), "l", "r", "c")
     got = rows(pairs.cosine_pairs(d, "g", "id", "v", 0.3, block=7).select("l", "r", F.round("c", 9).alias("c")), "l", "r", "c")
     assert got == want and want
+
+
+def test_quality_text_without_short_words(spark):
+    usual = " ".join(f"the cat and {a}{b} sat on it" for a in "abcdefgh" for b in "klmnopqr")
+    junk = " | ".join("extraordinary incomprehensible" + a + b for a in "abcdefgh" for b in "klmnopqr")
+    d = spark.createDataFrame([(1, usual, "en"), (2, junk, "en"), (3, junk, "xx"), (4, "extraordinary words", "en")], "doc_id long, text string, lang string")
+    got = {r["doc_id"]: (r["word_distance"], r["kept"]) for r in quality.judge(d, class_limit=1.0).collect()}
+    assert got[2] == (1.0, False) and got[1][0] < 0.57
+    assert got[3][0] == 0.0 and got[4][0] is None
