@@ -1,8 +1,8 @@
 """Personal data: fixed patterns, and terms whose co-occurrence with them discloses them (DataFrame functions only).
 
 Base patterns find emails, IP addresses, card and phone numbers. The values found are the protected entities. A term
-(a run of at least three letters) within ``radius`` tokens of an entity is a suspect. Over distinct texts, with
-p(e), p(t) and p(t, e) as shares of texts, its disclosure of entity e is PMI(t; e) / IC(e), where
+(a run of at least three letters outside them) that stands anywhere in a text with an entity is a suspect. Over
+distinct texts, with p(e), p(t) and p(t, e) as shares of texts, its disclosure of entity e is PMI(t; e) / IC(e), where
 PMI = log2(p(t, e) / (p(t) p(e))) and IC = -log2 p(e). At ``generalise_at`` or more the term is replaced by a
 placeholder, at ``remove_at`` or more removed, wherever it stands in the corpus. Pairs seen in fewer than ``support``
 distinct texts give no estimate, and copies of a text count once.
@@ -76,29 +76,43 @@ def _terms(text: Column) -> Column:
     return F.array_distinct(F.filter(F.split(F.lower(text), r"[^\p{L}]+"), lambda w: F.length(w) >= 3))
 
 
-def disclosing_terms(docs: DataFrame, radius: int = 3, support: int = 3, generalise_at: float = 0.6, remove_at: float = 0.9) -> DataFrame:
+def _outside(text: Column, spans: Column) -> Column:
+    """The text with a blank for every span."""
+
+    def step(acc: Column, s: Column) -> Column:
+        gap = F.substr(text, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
+        return F.struct(F.array_append(acc["out"], gap).alias("out"), F.greatest(acc["at"], s["end"]).alias("at"))
+
+    none = F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).alias("at"))
+    rest = lambda acc: F.array_join(F.array_append(acc["out"], F.substr(text, acc["at"] + 1, F.length(text))), " ")
+    return F.when(F.size(spans) > 0, F.aggregate(spans, none, step, rest)).otherwise(text)
+
+
+def disclosing_terms(docs: DataFrame, support: int = 3, generalise_at: float = 0.6, remove_at: float = 0.9) -> DataFrame:
     """(term, action) of the terms that disclose an entity of docs (_key, _text, _spans); see the module."""
-    texts = docs.select("_key", "_text", "_spans").filter(F.size("_spans") > 0).dropDuplicates(["_key"])
-    one = texts.select("_key", "_text", F.explode("_spans").alias("s"))
-    left = F.split(F.substr(F.col("_text"), F.greatest(F.col("s.start") - 199, F.lit(1)), F.least(F.col("s.start"), F.lit(200))), r"[ \t-\r]+")
-    right = F.split(F.substr(F.col("_text"), F.col("s.end") + 1, F.lit(200)), r"[ \t-\r]+")
-    near = F.concat(F.slice(F.reverse(left), 1, radius), F.slice(right, 1, radius))
-    seen = one.select("_key", F.concat_ws(":", "s.kind", F.lower("s.value")).alias("entity"), F.explode(_terms(F.array_join(near, " "))).alias("term"))
-    joint = seen.distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_te")).filter(F.col("n_te") >= support)
-    of_entity = one.select("_key", F.concat_ws(":", "s.kind", F.lower("s.value")).alias("entity")).distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
-    joint = cut(joint.join(of_entity, "entity"), "pii-joint")
     schema = "term string, action string"
-    if joint.isEmpty():
+    plain = _outside(F.col("_text"), F.col("_spans"))
+    texts = docs.select("_key", "_text", "_spans").filter(F.size("_spans") > 0).dropDuplicates(["_key"])
+    of_text = F.array_distinct(F.transform("_spans", lambda s: F.concat_ws(":", s["kind"], F.lower(s["value"]))))
+    one = cut(texts.select("_key", F.explode(of_text).alias("entity")), "pii-entities")
+    of_entity = one.groupBy("entity").agg(F.count(F.lit(1)).alias("n_e")).filter(F.col("n_e") >= support)
+    held = cut(one.join(of_entity, "entity"), "pii-held")
+    if held.isEmpty():
         return docs.sparkSession.createDataFrame([], schema)
     total = docs.select("_key").distinct().count()
-    # a pair reaches generalise_at only if n_t <= n_te (N / n_e)^(1 - generalise_at); the texts with entities alone rule
-    # out most common words, since n_t is no less than their count there
-    most = F.max(F.col("n_te") * F.pow(float(total) / F.col("n_e"), F.lit(1 - generalise_at)))
-    limits = joint.groupBy("term").agg(most.alias("most"))
-    here = texts.select("_key", F.explode(_terms(F.col("_text"))).alias("term")).join(limits, "term").groupBy("term").agg(F.count(F.lit(1)).alias("least"), F.first("most").alias("most"))
-    rare = cut(here.filter(F.col("least") <= F.col("most")).select("term"), "pii-rare")
-    words = docs.select("_key", F.explode(_terms(F.col("_text"))).alias("term"))
-    of_term = words.join(rare, "term", "left_semi").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
+    # a pair reaches generalise_at only if n_t <= n_te (N / n_e)^(1 - generalise_at), and n_te <= n_e; the texts with
+    # entities alone rule out most common words, since n_t is no less than their count there
+    ratio = F.pow(float(total) / F.col("n_e"), F.lit(1 - generalise_at)) * (1 + 1e-9)
+    words = cut(texts.join(held.select("_key").distinct(), "_key", "left_semi").select("_key", F.explode(_terms(plain)).alias("term")), "pii-words")
+    here = words.groupBy("term").agg(F.count(F.lit(1)).alias("least")).filter(F.col("least") >= support)
+    both = held.join(words.join(here, "term"), "_key").filter(F.col("least") <= F.col("n_e") * ratio)
+    joint = both.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_te"), F.first("n_e").alias("n_e"), F.first("least").alias("least"))
+    joint = cut(joint.filter((F.col("n_te") >= support) & (F.col("least") <= F.col("n_te") * ratio)).drop("least"), "pii-joint")
+    if joint.isEmpty():
+        return docs.sparkSession.createDataFrame([], schema)
+    rare = cut(joint.select("term").distinct(), "pii-rare")
+    everywhere = docs.select("_key", F.explode(_terms(plain)).alias("term"))
+    of_term = everywhere.join(rare, "term", "left_semi").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
     pmi = F.log2(F.col("n_te") * float(total) / (F.col("n_t").cast("double") * F.col("n_e")))
     content = -F.log2(F.col("n_e") / F.lit(float(total)))
     share = F.when(content > 0, pmi / content).otherwise(0.0)

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sievework.functions import vectors
-from sievework.llm import quality
+from sievework.llm import pii, quality
 from sievework.operators import pairs
 from sievework.plans import catalog
 
@@ -46,3 +46,12 @@ def test_quality_text_without_short_words(spark):
     got = {r["doc_id"]: (r["word_distance"], r["kept"]) for r in quality.judge(d, class_limit=1.0).collect()}
     assert got[2] == (1.0, False) and got[1][0] < 0.57
     assert got[3][0] == 0.0 and got[4][0] is None
+
+
+def test_pii_terms_far_from_the_entity(spark):
+    mail, far = "joe@example.com", " ".join(f"w{'abcdefghij'[i % 10]}{'abcdefghij'[i // 10]}" for i in range(100))
+    texts = [f"Quintus {far} {chr(97 + i)}{chr(97 + i)}{chr(97 + i)} {mail} {far}" for i in range(4)] + [f"{far} plain {chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(200)] + ["then quintus came", "only joe came"]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in pii.sanitise(d).collect()}
+    assert [got[i].startswith((" wa", "<TERM> wa")) for i in range(4)] == [True] * 4 and "quintus" not in got[204]
+    assert got[205] == texts[205] and got[7] == texts[7]
