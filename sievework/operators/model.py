@@ -76,6 +76,12 @@ def training_record(prompt: Column, answer: Column) -> Column:
     return F.to_json(F.struct(F.array(turn("user", prompt), turn("assistant", answer)).alias("messages")))
 
 
+def conversation_record(turns: Column) -> Column:
+    """A fine-tuning record as JSON of sorted (turn, role, text) structs; null roles and texts stay as nulls."""
+    message = lambda t: F.struct(t["role"].alias("role"), t["text"].alias("content"))
+    return F.to_json(F.struct(F.transform(turns, message).alias("messages")), {"ignoreNullFields": "false"})
+
+
 def sound_decision(ids: Column, ranks: Column, best: Column, rejected: Column, candidates: Column) -> Column:
     """Whether an outside ranking is whole: ids once each and just the candidates, ranks 1 to n, the best first, rejected ones known."""
     n = F.size(candidates)

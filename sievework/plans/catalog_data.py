@@ -224,6 +224,13 @@ def training_records(spark, sf):
     return c.select("conv_id", F.sha2(model.training_record(F.col("role"), F.lit("ok")), 256).alias("record"))
 
 
+def conversation_records(spark, sf):
+    """A record of all turns and texts of each conversation; training_records and its SQL take the role of turn 0."""
+    turns = F.sort_array(F.collect_list(F.struct("turn", "role", "text")))
+    c = read(spark, sf, "conversations").groupBy("conv_id").agg(turns.alias("turns"))
+    return c.select("conv_id", F.size("turns").cast("long").alias("turns"), F.sha2(model.conversation_record(F.col("turns")), 256).alias("record"))
+
+
 def cv_folds(spark, sf):
     return model.cv_folds(P.labelled(spark, sf).groupBy("source").agg(F.count(F.lit(1)).alias("n")), "source", "n", 5)
 
@@ -255,6 +262,11 @@ def export_plan(spark, sf):
     return delivery.export_plan(p, f, e, 2).select("id", "stars", "path", "action")
 
 
+def export_plan_hash(spark, sf):
+    """The hash of the whole export plan; set_hash and its SQL hash the names of nation."""
+    return delivery.plan_hash(export_plan(spark, sf))
+
+
 def plan_counts(spark, sf):
     return export_plan(spark, sf).groupBy("stars").pivot("action", ["copy", "skip", "conflict", "invalid"]).agg(F.count(F.lit(1))).fillna(0)
 
@@ -397,4 +409,4 @@ f as (select user_id, 0::bigint as i, 'new' as state, 0::bigint as applied from
  select f.user_id, r.i, coalesce(step.n, f.state), f.applied + (step.n is not null)::int from f join r on r.user_id = f.user_id and r.i = f.i + 1 left join step on step.s = f.state and step.e = r.e)
 select user_id, arg_max(state, i) as state, max(applied) as applied from f group by 1""",
 }
-QUERIES = {k: globals()[k] for k in [*SQLS, "strict_clusters", "online_groups", "identity_clusters", "fitted_preference"]}
+QUERIES = {k: globals()[k] for k in [*SQLS, "strict_clusters", "online_groups", "identity_clusters", "fitted_preference", "conversation_records", "export_plan_hash"]}

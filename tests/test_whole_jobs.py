@@ -1,5 +1,8 @@
 """Queries over whole tables, on small tables whose rows a sampled form would leave out."""
 
+import hashlib
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -55,3 +58,20 @@ def test_pii_terms_far_from_the_entity(spark):
     got = {r["doc_id"]: r["text"] for r in pii.sanitise(d).collect()}
     assert [got[i].startswith((" wa", "<TERM> wa")) for i in range(4)] == [True] * 4 and "quintus" not in got[204]
     assert got[205] == texts[205] and got[7] == texts[7]
+
+
+def test_conversation_records(spark, given):
+    sf = given("conversations", [(1, 1, "assistant", "b \"q\""), (1, 0, "user", "a"), (2, 3, "user", None)], "conv_id long, turn long, role string, text string")
+    got = {r["conv_id"]: (r["turns"], r["record"]) for r in catalog.QUERIES["conversation_records"](spark, sf).collect()}
+    record = lambda *m: hashlib.sha256(json.dumps({"messages": [{"role": r, "content": t} for r, t in m]}, separators=(",", ":")).encode()).hexdigest()
+    assert got == {1: (2, record(("user", "a"), ("assistant", 'b "q"'))), 2: (1, record(("user", None)))}
+
+
+def test_export_plan_hash(spark):
+    sf = "/root/testdata/sf0.001"
+    plan = [json.dumps(r.asDict(), separators=(",", ":"), sort_keys=True) for r in catalog.QUERIES["export_plan"](spark, sf).collect()]
+    parts = {}
+    for d in (hashlib.sha256(p.encode()).hexdigest() for p in plan):
+        parts.setdefault(d[:2], []).append(d)
+    whole = "".join(sorted(p + hashlib.sha256("".join(sorted(ds)).encode()).hexdigest() for p, ds in parts.items()))
+    assert rows(catalog.QUERIES["export_plan_hash"](spark, sf)) == [(len(plan), hashlib.sha256(whole.encode()).hexdigest())]
