@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, discard
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -34,7 +34,8 @@ def connected_components(edges: DataFrame, name: str = "cc", rounds: int = 50) -
     now = cut(edges.filter("u is not null and v is not null and u != v").select("u", "v").distinct(), name)
     seen = None
     for _ in range(rounds):
-        now = cut(_star(_star(now, True), False), name)
+        before, now = now, cut(_star(_star(now, True), False), name)
+        discard(before)
         state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == seen:
             break

@@ -1,11 +1,16 @@
 """Personal data: fixed patterns, and terms whose co-occurrence with them discloses them (DataFrame functions only).
 
-Base patterns find emails, IP addresses, card and phone numbers. The values found are the protected entities. A term
-(a run of at least three letters outside them) that stands anywhere in a text with an entity is a suspect. Over
-distinct texts, with p(e), p(t) and p(t, e) as shares of texts, its disclosure of entity e is PMI(t; e) / IC(e), where
-PMI = log2(p(t, e) / (p(t) p(e))) and IC = -log2 p(e). At ``generalise_at`` or more the term is replaced by a
-placeholder, at ``remove_at`` or more removed, wherever it stands in the corpus. Pairs seen in fewer than ``support``
-distinct texts give no estimate, and copies of a text count once.
+Base patterns find emails, IP addresses, card and phone numbers. The values found are the protected entities. An entity
+stands on three levels: its value, its domain (mail domain, first two parts of an IP address, first six digits of a card,
+all but the last four digits of a phone number) and its kind. A term is a run of at least three letters outside the
+spans; words of more than STEM letters also count as their stem (``quin*``). With p as shares of all rows, a term t
+discloses of an entity e, through a level g that e belongs to, PMI(t; g) / IC(e), where PMI = log2(p(t, g) / (p(t) p(g)))
+and IC = -log2 p(e): the part of e's information that t gives away. So an entity of one text is estimated by its domain
+and kind, as far as these tell anything of it. A pair (t, g) counts only if ``support`` distinct texts hold both, so
+that copies of one text are no evidence, and with every term anywhere in those texts.
+
+In every text with an entity, each word that discloses ``generalise_at`` or more of one of its entities is generalised to
+its stem, or to <TERM> where the stem itself discloses that much; one that discloses ``remove_at`` or more is removed.
 """
 
 from __future__ import annotations
@@ -13,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, text_or_empty
+from .common import cut, discard, text_or_empty
 
 KINDS = ("email", "ip", "card", "phone")
 # Same matches as the contract's patterns, written so that Java's engine neither recurses nor starts in mid-run.
@@ -27,6 +32,7 @@ PATTERNS = {
 _TRIGGER = {"email": r"@", "ip": r"[0-9]\.[0-9]++\.[0-9]", "card": PATTERNS["card"], "phone": r"\+[0-9]"}
 _SPAN = "struct<start:int,rank:int,end:int,kind:string,value:string>"
 TERM_RANK = len(KINDS)
+STEM = 4
 
 
 def _luhn(digits: Column) -> Column:
@@ -71,9 +77,19 @@ def spans_text(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def _terms(text: Column) -> Column:
+def _words(text: Column) -> Column:
     """Distinct runs of three or more letters, lower case."""
-    return F.array_distinct(F.filter(F.split(F.lower(text), r"[^\p{L}]+"), lambda w: F.length(w) >= 3))
+    return F.array_distinct(F.transform(F.filter(F.split(text, r"[^\p{L}]+"), lambda w: F.length(w) >= 3), F.lower))
+
+
+def _stem(word: Column) -> Column:
+    return F.concat(F.substr(word, F.lit(1), F.lit(STEM)), F.lit("*"))
+
+
+def _terms(text: Column) -> Column:
+    """Distinct words and stems of a text."""
+    words = _words(text)
+    return F.concat(words, F.array_distinct(F.transform(F.filter(words, lambda w: F.length(w) > STEM), _stem)))
 
 
 def _outside(text: Column, spans: Column) -> Column:
@@ -88,68 +104,109 @@ def _outside(text: Column, spans: Column) -> Column:
     return F.when(F.size(spans) > 0, F.aggregate(spans, none, step, rest)).otherwise(text)
 
 
-def disclosing_terms(docs: DataFrame, support: int = 3, generalise_at: float = 0.6, remove_at: float = 0.9) -> DataFrame:
-    """(term, action) of the terms that disclose an entity of docs (_key, _text, _spans); see the module."""
-    schema = "term string, action string"
-    plain = _outside(F.col("_text"), F.col("_spans"))
-    texts = docs.select("_key", "_text", "_spans").filter(F.size("_spans") > 0).dropDuplicates(["_key"])
-    of_text = F.array_distinct(F.transform("_spans", lambda s: F.concat_ws(":", s["kind"], F.lower(s["value"]))))
-    one = cut(texts.select("_key", F.explode(of_text).alias("entity")), "pii-entities")
-    of_entity = one.groupBy("entity").agg(F.count(F.lit(1)).alias("n_e")).filter(F.col("n_e") >= support)
-    held = cut(one.join(of_entity, "entity"), "pii-held")
-    if held.isEmpty():
-        return docs.sparkSession.createDataFrame([], schema)
-    total = docs.select("_key").distinct().count()
-    # a pair reaches generalise_at only if n_t <= n_te (N / n_e)^(1 - generalise_at), and n_te <= n_e; the texts with
-    # entities alone rule out most common words, since n_t is no less than their count there
-    ratio = F.pow(float(total) / F.col("n_e"), F.lit(1 - generalise_at)) * (1 + 1e-9)
-    words = cut(texts.join(held.select("_key").distinct(), "_key", "left_semi").select("_key", F.explode(_terms(plain)).alias("term")), "pii-words")
-    here = words.groupBy("term").agg(F.count(F.lit(1)).alias("least")).filter(F.col("least") >= support)
-    both = held.join(words.join(here, "term"), "_key").filter(F.col("least") <= F.col("n_e") * ratio)
-    joint = both.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_te"), F.first("n_e").alias("n_e"), F.first("least").alias("least"))
-    joint = cut(joint.filter((F.col("n_te") >= support) & (F.col("least") <= F.col("n_te") * ratio)).drop("least"), "pii-joint")
-    if joint.isEmpty():
-        return docs.sparkSession.createDataFrame([], schema)
-    rare = cut(joint.select("term").distinct(), "pii-rare")
-    everywhere = docs.select("_key", F.explode(_terms(plain)).alias("term"))
-    of_term = everywhere.join(rare, "term", "left_semi").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
-    pmi = F.log2(F.col("n_te") * float(total) / (F.col("n_t").cast("double") * F.col("n_e")))
-    content = -F.log2(F.col("n_e") / F.lit(float(total)))
-    share = F.when(content > 0, pmi / content).otherwise(0.0)
-    worst = joint.join(of_term, "term").select("term", share.alias("share")).groupBy("term").agg(F.max("share").alias("share"))
-    return cut(worst.filter(F.col("share") >= generalise_at).select("term", F.when(F.col("share") >= remove_at, "remove").otherwise("generalise").alias("action")), "pii-terms")
+def _groups(span: Column) -> Column:
+    """The three levels of the entity of a span: value, domain, kind."""
+    kind, value = span["kind"], F.lower(span["value"])
+    digits = F.regexp_replace(value, "[^0-9]", "")
+    parts = F.split(value, "[.]")
+    domain = (
+        F.when(kind == "email", F.substring_index(value, "@", -1))
+        .when(kind == "ip", F.concat_ws(".", F.get(parts, F.lit(0)), F.get(parts, F.lit(1))))
+        .when(kind == "card", F.substr(digits, F.lit(1), F.lit(6)))
+        .otherwise(F.substr(digits, F.lit(1), F.length(digits) - 4))
+    )
+    same = F.when(kind.isin("email", "ip"), value).otherwise(digits)
+    return F.struct(F.concat_ws(":", kind, F.lit("value"), same).alias("value"), F.concat_ws(":", kind, F.lit("domain"), domain).alias("domain"), kind.alias("kind"))
 
 
-def find_personal_data(docs: DataFrame, **limits) -> DataFrame:
-    """Spans of personal data of every row: doc_id, _key (hash of the text), base, spans (arrays of structs).
+def _key(text: Column) -> Column:
+    """128 bits that stand for a whole text."""
+    return F.unhex(F.md5(text.cast("binary")))
 
-    Null text counts as empty; rows with a null doc_id are kept; rows that repeat doc_id and text get equal results;
-    a same doc_id with other text is another document; an empty table gives an empty result; other columns are left out.
-    limits: see disclosing_terms.
+
+def disclosing_terms(docs: DataFrame, support: int = 2, generalise_at: float = 0.6, remove_at: float = 0.9) -> DataFrame | None:
+    """(_key, _text, _spans, actions) of the texts of docs (_text) with disclosing words; actions maps a word to its substitute.
+
+    None where no pair of a term and an entity has support. See the module for the measure.
     """
-    held = docs.select("doc_id", text_or_empty().alias("_text")).select("*", F.xxhash64("_text").alias("_key"), base_spans(F.col("_text")).alias("_spans"))
-    terms = disclosing_terms(held, **limits)
-    base = held.select("doc_id", "_key", F.col("_spans").alias("base"))
-    if terms.isEmpty():
-        return base.select("*", F.col("base").alias("spans"))
-    # texts that hold a disclosing term, then its places: one-character separators make places a running sum
-    of = held.select("_key", F.explode(_terms(F.col("_text"))).alias("term")).join(terms, "term").select("_key").distinct()
-    texts = held.join(of, "_key", "left_semi").select("_key", "_text", "_spans").dropDuplicates(["_key"])
-    runs = texts.select("_key", "_spans", F.posexplode(F.split(F.col("_text"), r"[^\p{L}]", -1)).alias("i", "w"))
+    total = float(docs.count())
+    held = docs.select(_key(F.col("_text")).alias("_key"), "_text", base_spans(F.col("_text")).alias("_spans")).filter(F.size("_spans") > 0)
+    texts = cut(held.groupBy("_key").agg(F.count(F.lit(1)).alias("copies"), F.first("_text").alias("_text"), F.first("_spans").alias("_spans")), "pii-texts")
+    of = F.explode(F.array_distinct(F.transform("_spans", _groups)))
+    entities = cut(texts.select("_key", "copies", of.alias("e")).select("_key", "copies", "e.*"), "pii-entities")
+    of_value = entities.groupBy("value").agg((-F.log2(F.sum("copies") / total)).alias("ic"))
+    level = F.explode(F.array("value", "domain", "kind")).alias("g")
+    asked = entities.join(of_value, "value").select("_key", "copies", "ic", level).groupBy("_key", "copies", "g").agg(F.min("ic").alias("ic"))
+    # PMI(t; g) is IC(g) at most: levels that can't disclose enough of any entity leave here, exactly
+    of_group = asked.groupBy("g").agg(F.sum("copies").alias("n_g"), F.count(F.lit(1)).alias("texts"), F.min("ic").alias("ic_g"))
+    of_group = of_group.filter((F.col("texts") >= support) & (-F.log2(F.col("n_g") / total) >= generalise_at * F.col("ic_g") - 1e-9)).drop("texts")
+    asked = cut(asked.join(of_group, "g"), "pii-asked")
+    words = cut(texts.select("_key", "copies", F.explode(_terms(_outside(F.col("_text"), F.col("_spans")))).alias("term")), "pii-words")
+    twice = words.groupBy("term").agg(F.count(F.lit(1)).alias("texts"), F.sum("copies").alias("least")).filter(F.col("texts") >= support).drop("texts")
+    # a pair reaches generalise_at only if n_t <= N 2^(-generalise_at IC(e)); n_t is no less than its count in these texts
+    most = total * F.pow(2.0, -generalise_at * F.col("ic_g")) * (1 + 1e-9)
+    near = words.join(twice, "term").drop("copies").join(asked, "_key").filter(F.col("least") <= most)
+    pairs = near.groupBy("g", "term").agg(F.sum("copies").alias("n_tg"), F.count(F.lit(1)).alias("texts"), F.first("n_g").alias("n_g")).filter(F.col("texts") >= support).drop("texts")
+    pairs = cut(pairs, "pii-pairs")
+    rare = cut(pairs.select("term").distinct(), "pii-rare")
+    if rare.isEmpty():
+        discard(texts, entities, asked, words, pairs, rare)
+        return None
+    everywhere = docs.select(F.explode(_terms(_outside(F.col("_text"), base_spans(F.col("_text"))))).alias("term"))
+    of_term = everywhere.join(rare, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
+    pmi = F.log2(F.col("n_tg") * total / (F.col("n_t").cast("double") * F.col("n_g")))
+    told = cut(pairs.join(of_term, "term").select("g", "term", pmi.alias("pmi")).filter("pmi > 0"), "pii-told")
+    share = words.drop("copies").join(told.select("term").distinct(), "term", "left_semi").join(asked.filter("ic > 0").select("_key", "g", "ic"), "_key").join(told, ["g", "term"])
+    share = share.groupBy("_key", "term").agg(F.max(F.col("pmi") / F.col("ic")).alias("share")).filter(F.col("share") >= generalise_at)
+    stems = share.filter(F.col("term").endswith("*")).select("_key", F.col("term").alias("stem"), F.lit(True).alias("stem_too"))
+    own = share.filter(~F.col("term").endswith("*")).withColumn("stem", _stem(F.col("term")))
+    action = F.when(F.col("share") >= remove_at, "").when(F.col("stem_too") | (F.length("term") <= STEM), "<TERM>").otherwise(F.col("stem"))
+    one = own.join(stems, ["_key", "stem"], "left").select("_key", F.struct("term", action.alias("action")).alias("a"))
+    actions = cut(one.groupBy("_key").agg(F.map_from_entries(F.collect_list("a")).alias("actions")), "pii-actions")
+    discard(entities, asked, words, pairs, rare, told)
+    return actions.join(texts.select("_key", "_text", "_spans"), "_key")
+
+
+def term_spans(docs: DataFrame, **limits) -> DataFrame | None:
+    """(_key, added): the spans of disclosing terms of each text of docs (_text) that has one; None where there are none."""
+    marks = disclosing_terms(docs, **limits)
+    if marks is None:
+        return None
+    # one-character separators make the places of words a running sum
+    runs = marks.select("_key", "_spans", "actions", F.posexplode(F.split(F.col("_text"), r"[^\p{L}]", -1)).alias("i", "w"))
     end = F.expr("cast(sum(length(w) + 1) over (partition by _key order by i) as int)") - 1
-    placed = runs.select("_key", "_spans", F.lower("w").alias("term"), end.alias("end"), (end - F.length("w")).alias("start")).filter("term != ''").join(terms, "term")
+    placed = runs.select("_key", "_spans", F.element_at("actions", F.lower("w")).alias("action"), end.alias("end"), (end - F.length("w")).alias("start")).filter("action is not null")
     clear = ~F.exists("_spans", lambda s: (s["start"] < F.col("end")) & (s["end"] > F.col("start")))
     span = F.struct("start", F.lit(TERM_RANK).alias("rank"), "end", F.lit("term").alias("kind"), F.col("action").alias("value")).cast(_SPAN)
-    added = placed.filter(clear).groupBy("_key").agg(F.collect_list(span).alias("added"))
-    spans = F.array_sort(F.concat("base", F.coalesce("added", F.array().cast(f"array<{_SPAN}>"))))
-    return base.join(added, "_key", "left").select("doc_id", "_key", "base", spans.alias("spans"))
+    return cut(placed.filter(clear).groupBy("_key").agg(F.collect_list(span).alias("added")), "pii-places")
+
+
+def _with_added(rows: DataFrame, added: DataFrame | None) -> DataFrame:
+    """rows (_sw_key, _sw_base) with _sw_spans: the base spans and, joined by the text's hash, those of terms."""
+    none = F.array().cast(f"array<{_SPAN}>")
+    if added is None:
+        return rows.withColumn("_sw_spans", F.col("_sw_base"))
+    joined = rows.join(added.select(F.col("_key").alias("_sw_key"), F.col("added").alias("_sw_added")), "_sw_key", "left")
+    return joined.withColumn("_sw_spans", F.array_sort(F.concat("_sw_base", F.coalesce("_sw_added", none)))).drop("_sw_added")
+
+
+def find_personal_data(docs: DataFrame, **limits) -> DataFrame:
+    """Spans of personal data of every row: doc_id, base, spans (arrays of structs; a term's value is what replaces it).
+
+    Null text counts as empty; rows with a null doc_id are kept; rows that repeat doc_id and text get equal results;
+    a same doc_id with other text is another document; an empty table gives an empty result; other columns are left out;
+    a text of any length is searched whole. limits: see disclosing_terms.
+    """
+    added = term_spans(docs.select(text_or_empty().alias("_text")), **limits)
+    rows = docs.select("doc_id", _key(text_or_empty()).alias("_sw_key"), base_spans(text_or_empty()).alias("_sw_base"))
+    return _with_added(rows, added).select("doc_id", F.col("_sw_base").alias("base"), F.col("_sw_spans").alias("spans"))
 
 
 def _sanitised(text: Column, spans: Column) -> Column:
-    """The text with every span replaced: <EMAIL> and so on, <TERM> where generalised, nothing where removed."""
+    """The text with every span replaced: <EMAIL> and so on, a stem or <TERM> where generalised, nothing where removed."""
 
     def step(acc: Column, s: Column) -> Column:
-        mask = F.when(s["kind"] != "term", F.concat(F.lit("<"), F.upper(s["kind"]), F.lit(">"))).when(s["value"] == "remove", F.lit("")).otherwise(F.lit("<TERM>"))
+        mask = F.when(s["kind"] == "term", s["value"]).otherwise(F.concat(F.lit("<"), F.upper(s["kind"]), F.lit(">")))
         gap = F.substr(text, acc["at"] + 1, s["start"] - acc["at"])
         new = F.struct(F.concat(acc["out"], F.array(gap, mask)).alias("out"), s["end"].alias("at"))
         widened = F.struct(acc["out"].alias("out"), F.greatest(acc["at"], s["end"]).alias("at"))
@@ -165,11 +222,10 @@ def sanitise(docs: DataFrame, **limits) -> DataFrame:
 
     n_chars, where there is one, follows the new text. Internal columns start with _sw_; no column of docs may.
     """
-    found = find_personal_data(docs, **limits).filter(F.size("spans") > 0).select(F.col("_key").alias("_sw_key"), F.col("spans").alias("_sw_spans")).dropDuplicates(["_sw_key"])
-    keyed = docs.select("*", F.xxhash64(text_or_empty()).alias("_sw_key"))
-    joined = keyed.join(found.hint("shuffle_hash"), "_sw_key", "left")
-    new = F.when(F.col("_sw_spans").isNull(), F.col("text")).otherwise(_sanitised(F.col("text"), F.col("_sw_spans")))
-    out = joined.withColumn("text", new)
+    added = term_spans(docs.select(text_or_empty().alias("_text")), **limits)
+    rows = docs.withColumns({"_sw_key": _key(text_or_empty()), "_sw_base": base_spans(text_or_empty())})
+    out = _with_added(rows, added)
+    out = out.withColumn("text", F.when(F.col("text").isNull(), F.col("text")).otherwise(_sanitised(F.col("text"), F.col("_sw_spans"))))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(docs.columns)

@@ -74,17 +74,98 @@ def test_pii_base_random(spark, texts):
         assert r["base_sha256"] == hashlib.sha256(",".join(plain_spans(texts[r["doc_id"]])).encode()).hexdigest()
 
 
+def plain_disclosure(texts, support=2, at=(0.6, 0.9)):
+    """{text: {word: substitute}} by the definition: every pair of a term and a level of an entity, counted over all rows."""
+    from collections import defaultdict
+    from math import log2
+
+    def levels(span, text):
+        kind, a, b = span.split(":")
+        value = text[int(a) : int(b)].lower()
+        digits = re.sub("[^0-9]", "", value)
+        domain = {"email": value.rpartition("@")[2], "ip": ".".join(value.split(".")[:2]), "card": digits[:6], "phone": digits[:-4]}[kind]
+        return [f"{kind}:value:{value if kind in ('email', 'ip') else digits}", f"{kind}:domain:{domain}", kind]
+
+    def terms(text, spans):
+        for _, a, b in sorted((s.split(":") for s in spans), key=lambda s: -int(s[1])):
+            text = text[: int(a)] + " " * (int(b) - int(a)) + text[int(b) :]
+        words = {w.lower() for w in re.findall(r"[^\W\d_]+", text) if len(w) >= 3}
+        return words | {w[:4] + "*" for w in words if len(w) > 4}
+
+    rows = ["" if t is None else t for t in texts]
+    spans = {t: plain_spans(t) for t in rows}
+    entity = {t: [levels(s, t) for s in spans[t]] for t in rows}
+    has = {t: terms(t, spans[t]) for t in rows}
+    n, n_t, n_g, n_tg, seen = len(rows), Counter(), Counter(), Counter(), defaultdict(set)
+    for t in rows:
+        groups = {g for e in entity[t] for g in e}
+        n_t.update(has[t])
+        n_g.update(groups)
+        for g in groups:
+            for w in has[t]:
+                n_tg[g, w] += 1
+                seen[g, w].add(t)
+    out = {}
+    for t in set(rows):
+        share = Counter()
+        for e in entity[t]:
+            ic = -log2(n_g[e[0]] / n)
+            for g in e:
+                for w in has[t]:
+                    if len(seen[g, w]) >= support and ic > 0:
+                        share[w] = max(share[w], log2(n_tg[g, w] * n / (n_t[w] * n_g[g])) / ic)
+        hit = {w: s for w, s in share.items() if s >= at[0]}
+        out[t] = {w: "" if s >= at[1] else "<TERM>" if len(w) <= 4 or w[:4] + "*" in hit else w[:4] + "*" for w, s in hit.items() if w[-1] != "*"}
+    return out
+
+
+def with_terms(text, actions):
+    """(all spans, masked text) by the definition."""
+    base = [(int(a), int(b), k) for k, a, b in (s.split(":") for s in plain_spans(text))]
+    added = [(m.start(), m.end(), actions[m[0].lower()]) for m in re.finditer(r"[^\W\d_]+", text) if m[0].lower() in actions and not any(a < m.end() and b > m.start() for a, b, _ in base)]
+    spans = sorted([(a, list(PII).index(k), b, k, f"<{k.upper()}>") for a, b, k in base] + [(a, 4, b, "term", x) for a, b, x in added])
+    out, at = "", 0
+    for a, _, b, _, mask in spans:
+        out += text[at:a] + mask if a >= at else ""
+        at = max(at, b)
+    return ",".join(f"{k}:{a}:{b}" for a, _, b, k, _ in spans), out + text[at:]
+
+
+def check_pii(spark, texts):
+    actions = plain_disclosure(texts)
+    d = docs(spark, texts)
+    got = {r["doc_id"]: r["spans"] for r in pii.report(d).collect()}
+    clean = pii.sanitise(d)
+    assert clean.columns == d.columns
+    rows = {r["doc_id"]: r for r in clean.collect()}
+    assert len(got) == len(rows) == len(texts)
+    for i, t in enumerate(texts):
+        spans, masked = with_terms(t or "", actions[t or ""])
+        assert got[i] == spans, t
+        assert rows[i]["text"] == (None if t is None else masked) and (t is None or rows[i]["n_chars"] == len(masked))
+    return actions
+
+
 def test_pii_disclosing_terms(spark):
     texts = [f"filler{chr(97 + i)} words here Quintus writes joe@example.com often number{chr(97 + i)}" for i in range(6)]
-    texts += [f"the plain text {chr(97 + i % 26)}{chr(97 + i // 26)} writes often here" for i in range(200)] + ["later quintus came alone", None, ""]
-    got = {r["doc_id"]: r["spans"] for r in pii.report(docs(spark, texts)).collect()}
-    at = texts[206].index("quintus")
-    assert got[206] == f"term:{at}:{at + 7}" and got[50] == "" and "term" in got[0] and "email" in got[0]
-    clean = {r["doc_id"]: r["text"] for r in pii.sanitise(docs(spark, texts)).collect()}
-    assert clean[206].split() == ["later", "came", "alone"] or clean[206] == "later <TERM> came alone"
-    assert "<EMAIL>" in clean[0] and clean[207] is None and clean[50] == texts[50]
-    out = pii.sanitise(docs(spark, texts))
-    assert out.columns == docs(spark, texts).columns and out.count() == len(texts)
+    texts += [f"Quintessence of call +1 (234) 555-{1000 + i} by Aurelia, quintus, and Bo{chr(97 + i)}" for i in range(4)]
+    texts += [f"the plain text {chr(97 + i % 26)}{chr(97 + i // 26)} writes often here" for i in range(200)] + ["later quintus came alone", None, ""] + ["x"] * 3
+    actions = check_pii(spark, texts + texts[:2])
+    assert actions[texts[0]]["quintus"] == "<TERM>" and actions[texts[0]]["words"] == "" and actions[texts[6]]["quintessence"] == "quin*" and not actions[texts[210]]
+
+
+def test_pii_terms_on_table(spark):
+    texts = [r["text"] for r in table(spark, SF1, "documents").collect()]
+    assert sum(map(len, check_pii(spark, texts).values())) > 0
+
+
+def test_pii_long_and_empty(spark):
+    text = " ".join(f"name{k} user{k}@mail{k % 7}.example.org" for k in range(4000))
+    d = docs(spark, [text, text + " end"])
+    assert [r["n_email"] for r in pii.report(d).collect()] == [4000, 4000]
+    assert pii.report(docs(spark, [])).count() == 0 and pii.sanitise(docs(spark, [])).count() == 0
+    gone = spark.createDataFrame([(None, "a@b.cd by Ann"), (None, "a@b.cd by Ann")], "doc_id long, text string")
+    assert pii.sanitise(gone).count() == 2 and pii.report(gone).filter("n_email = 1").count() == 2
 
 
 # ---- op2 and op10 encoders
