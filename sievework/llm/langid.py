@@ -18,61 +18,86 @@ from pyspark.sql import functions as F
 from .common import hashed_sample
 
 DIMENSIONS = 1024
-ALPHABET = 256
-BATCH_CHARS = 2_000_000
+BATCH_CHARS = 1 << 18
+BATCH_TEXTS = 128
+_BITS = 21  # of a code point
 
 
 class Profiles:
-    """Profiles of texts. Letters share ALPHABET - 1 vectors by code point; anything else is a gap (code 0)."""
+    """Profiles of texts. Every letter has a vector of its own, drawn from its code point; anything else is a gap (code 0)."""
 
     def __init__(self, dimensions: int = DIMENSIONS, n: int = 3) -> None:
         self.d, self.n = dimensions, n
-        rng = np.random.default_rng(8)
-        self.letters = rng.choice(np.array([-1, 1], np.int8), (ALPHABET, dimensions))
-        self.codes = np.zeros(0x110000, np.uint8)
+        self.letter = np.zeros(0x110000, bool)
         self.known = np.zeros(0x110000, bool)
 
-    def _code(self, points: np.ndarray) -> np.ndarray:
+    def _codes(self, text: str) -> np.ndarray:
+        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
         new = np.unique(points[~self.known[points]])
-        for p in new.tolist():
-            self.codes[p] = 1 + p * 2654435761 % 4294967296 % (ALPHABET - 1) if unicodedata.category(chr(p))[0] == "L" else 0
-            self.known[p] = True
-        return self.codes[points]
-
-    def of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(profiles, whether the text has a letter)."""
-        padded = [f" {t.lower()} " for t in texts]  # every text brings its own edges, so neighbours don't matter
-        codes = self._code(np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), np.uint32)).astype(np.int64)
-        ends = np.cumsum([len(t) for t in padded])
-        after = np.concatenate([[1], codes[:-1]])
-        after[ends[:-1]] = 1
-        keep = np.flatnonzero((codes != 0) | (after != 0))  # one gap of each run of gaps
-        c, where = codes[keep], np.searchsorted(ends, keep, "right")
+        self.letter[new] = [unicodedata.category(chr(p))[0] == "L" for p in new.tolist()]
+        self.known[new] = True
+        return np.where(self.letter[points], points, 0).astype(np.int64)
+
+    def vectors(self, codes: np.ndarray) -> np.ndarray:
+        """The vector of +1 and -1 of each code: mixed bits of (code, word), the same in every process."""
+        kinds, at = np.unique(codes, return_inverse=True)
+        words = -(-self.d // 64)
+        x = (kinds.astype(np.uint64)[:, None] * np.uint64(words) + np.arange(words, dtype=np.uint64) + np.uint64(8)) * np.uint64(0x9E3779B97F4A7C15)
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+        bits = np.unpackbits((x ^ (x >> np.uint64(31))).view(np.uint8), axis=1)[:, : self.d]
+        return (2 * bits.astype(np.int8) - 1)[at]
+
+    def _add(self, total: np.ndarray, c: np.ndarray, where: np.ndarray, block: int = 4096) -> None:
+        """Add the vectors of the n-grams of codes c, each within one row of total; a block of kinds at a time."""
         gram = np.zeros(max(0, len(c) - self.n + 1), np.int64)
-        full = np.ones(len(gram), bool)
+        inside = np.ones(len(gram), bool)
         for k in range(self.n):
-            part = c[k : k + len(gram)]
-            gram = gram * ALPHABET + part
-            full &= where[k : k + len(gram)] == where[: len(gram)]
-        full &= gram != 0
-        gram, row = gram[full], where[: len(gram)][full]
-        kinds, gram = np.unique(gram, return_inverse=True)
-        counts = np.bincount(row * len(kinds) + gram, minlength=len(texts) * len(kinds)).reshape(len(texts), len(kinds)).astype(np.float32)
-        vectors = np.ones((len(kinds), self.d), np.int8)
-        rest = kinds
-        for k in range(self.n):
-            vectors *= np.roll(self.letters, k, 1)[rest % ALPHABET]
-            rest = rest // ALPHABET
-        some = np.zeros(len(texts), bool)
-        some[where[c != 0]] = True
-        return counts @ vectors.astype(np.float32), some
+            gram = (gram << _BITS) + c[k : k + len(gram)]
+            inside &= where[k : k + len(gram)] == where[: len(gram)]
+        row = where[: len(gram)][inside]
+        kinds, gram = np.unique(gram[inside], return_inverse=True)
+        order = np.argsort(gram, kind="stable")
+        row, gram = row[order], gram[order]
+        for lo in range(0, len(kinds), block):
+            part = kinds[lo : lo + block]
+            a, b = np.searchsorted(gram, (lo, lo + len(part)))
+            counts = np.bincount(row[a:b] * len(part) + gram[a:b] - lo, minlength=len(total) * len(part)).reshape(len(total), len(part))
+            bound = np.ones((len(part), self.d), np.int8)
+            for k in range(self.n):  # the last letter isn't rotated, those before it by one place more each
+                bound *= np.roll(self.vectors((part >> (_BITS * k)) & ((1 << _BITS) - 1)), k, 1)
+            total += counts.astype(np.float32) @ bound.astype(np.float32)
+
+    def of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(profiles, whether the text has a letter). Runs of gaps count as one; a text has a gap at both ends.
+
+        Texts longer than BATCH_CHARS go slice by slice, with the codes that n-grams across the cut need.
+        """
+        total, some = np.zeros((len(texts), self.d), np.float32), np.zeros(len(texts), bool)
+        short = [k for k, t in enumerate(texts) if len(t) <= BATCH_CHARS]
+        padded = [f" {texts[k].lower()} " for k in short]
+        codes, where = self._codes("".join(padded)), np.repeat(np.array(short, np.int64), np.array(list(map(len, padded)), np.int64))
+        keep = codes != 0
+        some[where[keep]] = True
+        keep[:1] = True
+        keep[1:] |= (codes[:-1] != 0) | (where[1:] != where[:-1])
+        self._add(total, codes[keep], where[keep])
+        for k in (k for k, t in enumerate(texts) if len(t) > BATCH_CHARS):
+            text, before, carry = f" {texts[k].lower()} ", 1, np.zeros(0, np.int64)
+            for at in range(0, len(text), BATCH_CHARS):
+                codes = self._codes(text[at : at + BATCH_CHARS])
+                some[k] |= bool(codes.any())
+                c = np.concatenate([carry, codes[(codes != 0) | (np.append(before, codes[:-1]) != 0)]])
+                before, carry = codes[-1], c[len(c) - self.n + 1 :] if len(c) >= self.n else c
+                self._add(total[k : k + 1], c, np.zeros(len(c), np.int64))
+        return total, some
 
 
 def _batches(texts: list[str]) -> Iterator[tuple[int, int]]:
     start, held = 0, 0
     for k, t in enumerate(texts):
         held += len(t)
-        if held >= BATCH_CHARS or k - start >= 511:
+        if held >= BATCH_CHARS or k - start >= BATCH_TEXTS - 1:
             yield start, k + 1
             start, held = k + 1, 0
     if start < len(texts):
@@ -94,7 +119,10 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 
 def fit(labelled: DataFrame, at_most: int = 20_000, dimensions: int = DIMENSIONS) -> dict[str, np.ndarray]:
-    """Unit prototype of each language of labelled (doc_id, text, lang), from about at_most rows chosen by hash of doc_id."""
+    """Unit prototype of each language of labelled (doc_id, text, lang), from about at_most rows chosen by hash of doc_id.
+
+    So at_most bounds the languages and what comes to the driver, too. Rows without text, lang or letters teach nothing.
+    """
     rows = hashed_sample(labelled.filter("lang is not null and text is not null").select("doc_id", "text", "lang"), "doc_id", at_most)
 
     def bundle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -118,7 +146,8 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], held_out: Column
     """(doc_id, held_out, lang_pred, score) of every row; score is the cosine with the prototype, at 0 where negative.
 
     Null texts, texts without a letter and an empty set of prototypes give `und` with score 0; equal cosines go to the
-    first language by name. Null doc_ids and repeated rows are kept.
+    first language by name. Null doc_ids and repeated rows are kept; an empty table gives no rows; a text of any length
+    is read whole, in slices of bounded memory. Other columns are left out.
     """
     names = [*prototypes]
     table = np.array([prototypes[k] for k in names]).reshape(len(names), dimensions)

@@ -343,7 +343,7 @@ def test_profile_is_sum_of_bound_vectors():
 
     p = langid.Profiles(64)
     got, some = p.of(["ab", "", "ab ab"])
-    a, b, gap = (p.letters[c] for c in (*p._code(np.array([97, 98], np.uint32)), 0))
+    a, b, gap = p.vectors(np.array([97, 98, 0]))
     bind = lambda x, y, z: np.roll(x, 2) * np.roll(y, 1) * z
     assert some.tolist() == [True, False, True] and not got[1].any()
     inner, ends = bind(b, gap, a).astype(int), bind(gap, a, b).astype(int) + bind(a, b, gap)
@@ -351,6 +351,80 @@ def test_profile_is_sum_of_bound_vectors():
     assert np.array_equal(p.of(["ab ab"])[0][0], got[2]) and np.array_equal(p.of(["  ab--12 ab!!"])[0][0], got[2])
 
 
+def test_letters_have_their_own_vectors(spark):
+    import unicodedata
+
+    import numpy as np
+
+    letters = sorted({c for r in table(spark, SF1, "documents").collect() for c in (r["text"] or "").lower() if unicodedata.category(c)[0] == "L"})
+    v = langid.Profiles().vectors(np.array([ord(c) for c in letters])).astype(int)
+    near = v @ v.T - langid.DIMENSIONS * np.eye(len(letters), dtype=int)
+    assert len(letters) > 30 and np.abs(near).max() < 0.2 * langid.DIMENSIONS
+
+
+@settings(max_examples=30, deadline=None)
+@given(st.lists(st.text(alphabet="ab é .Щ日", max_size=40), min_size=1, max_size=5), st.integers(2, 9))
+def test_long_texts_go_in_slices(texts, most):
+    import numpy as np
+
+    want = langid.Profiles(64).of(texts)
+    kept, langid.BATCH_CHARS = langid.BATCH_CHARS, most
+    try:
+        got = langid.Profiles(64).of(texts)
+    finally:
+        langid.BATCH_CHARS = kept
+    assert np.array_equal(got[0], want[0]) and np.array_equal(got[1], want[1])
+
+
+def test_very_long_text_of_many_scripts_in_bounded_memory():
+    import tracemalloc
+
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    text = "".join(map(chr, rng.integers(0x4E00, 0x9000, 400_000))) + "".join(map(chr, rng.integers(0x61, 0x500, 400_000)))
+    tracemalloc.start()
+    got, some = langid.Profiles(256).of([text])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert some[0] and np.isfinite(got).all() and peak < 200 << 20
+
+
+def test_predict_same_as_plain(spark):
+    """Prototypes and predictions by the definition: plain sums of bound vectors, cosines with every language."""
+    import numpy as np
+
+    p = langid.Profiles()
+
+    def profile(text):
+        codes = [ord(c) if c.isalpha() else 0 for c in f" {text.lower()} "]
+        codes = [c for k, c in enumerate(codes) if c or not k or codes[k - 1]]
+        v = {c: x.astype(int) for c, x in zip(codes, p.vectors(np.array(codes)))}
+        return sum((np.roll(v[a], 2) * np.roll(v[b], 1) * v[c] for a, b, c in zip(codes, codes[1:], codes[2:])), np.zeros(1024, int)).astype(float)
+
+    d = table(spark, SF, "documents").filter("n_chars < 1500")
+    unit = lambda x: x / (np.linalg.norm(x) or 1)
+    rows = [(r["doc_id"], r["lang"], unit(profile(r["text"]))) for r in d.filter("text is not null").collect()]
+    proto = {}
+    for _, lang, x in rows:
+        if lang is not None:
+            proto[lang] = proto.get(lang, 0) + x
+    proto = {k: unit(x) for k, x in sorted(proto.items())}
+    model = langid.fit(d)
+    assert [*model] == [*proto] and all(np.allclose(model[k], proto[k], atol=1e-6) for k in proto)
+    got = {r["doc_id"]: r for r in langid.predict(d, model, fold("doc_id", 4) == 2).collect()}
+    for i, _, x in rows:
+        cos = {k: float(x @ y) for k, y in proto.items()}
+        best = max(cos, key=lambda k: (round(cos[k], 6), [-ord(c) for c in k]))
+        if x.any():
+            assert got[i]["lang_pred"] == best and abs(got[i]["score"] - max(0.0, cos[best])) < 1e-5
+    assert langid.predict(d.limit(0), model, fold("doc_id", 4) == 2).count() == 0
+    same = {"b": model["en"], "a": model["en"]}
+    assert langid.predict(docs(spark, ["the text"]), {k: same[k] for k in sorted(same)}, fold("doc_id", 4) == 2).first()["lang_pred"] == "a"
+    nulls = spark.createDataFrame([(None, "the"), (None, "the")], "doc_id long, text string")
+    assert langid.predict(nulls, model, fold("doc_id", 4) == 2).filter("doc_id is null and held_out is null").count() == 2
+
+
 # ---- op9
 def sql_text(spark, con, d):
     con.register("given", d.toPandas())
