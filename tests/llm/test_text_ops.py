@@ -269,11 +269,33 @@ def test_distance():
 
 # ---- op5
 def test_license(spark):
-    mit = license.KNOWN[0][1]
-    texts = [mit, "Copyright (c) 2020 Jo\n" + mit.upper(), mit.replace(",", " ;").replace(" ", "  "), mit + " more", None, "", "text\nreleased under THE MIT licence!\nx"]
+    mit = license.KNOWN[1 + [i for i, _ in license.KNOWN].index("MIT")][1]
+    one_line = "MIT License Copyright (c) 2020 Jo The Regents " + " ".join(mit.split()[2:])
+    texts = [
+        mit, "Copyright (c) 2020 Jo\n" + mit.upper(), mit.replace(",", " ;").replace(" ", "  "), mit + " more", None, "", "text\nreleased under THE MIT licence!\nx",
+        one_line, mit.replace("copyright holders", "copyright owners").replace("MIT License", "MIT Licence"), "SPDX-License-Identifier: GPL-2.0-or-later\nfn main", "// Distributed under the MPL 2.0.\nThis project is licensed under the Apache License, Version 2.0 (the \"License\");",
+        "Copyright [yyyy] [name of copyright owner]\n" + mit, "the epicentre licencesque", "Licensed under nothing known.",
+    ]
     got = {r["doc_id"]: r for r in license.scan(docs(spark, texts)).collect()}
-    assert [got[i]["license_id"] for i in range(7)] == ["MIT", "MIT", "MIT", None, None, None, None]
-    assert got[6]["notices"] == "MIT" and got[0]["notices"] is None and license.scan(docs(spark, [])).count() == 0
+    assert [got[i]["license_id"] for i in range(len(texts))] == ["MIT", "MIT", "MIT", None, None, None, None, "MIT", "MIT", None, None, "MIT", None, None]
+    assert got[6]["notices"] == "MIT" and got[0]["notices"] is None and got[9]["notices"] == "GPL-2.0" and got[10]["notices"] == "Apache-2.0,MPL-2.0" and got[13]["notices"] is None
+    assert license.scan(docs(spark, [])).count() == 0
+    long = spark.createDataFrame([(None, "x " * 2_000_000, "clash"), (None, "x " * 2_000_000, "clash")], "doc_id long, text string, digest string")
+    assert license.scan(long).filter("license_id is null").count() == 2
+
+
+def test_license_given_tables(spark, tmp_path):
+    (tmp_path / "House-1.txt").write_text("House Licence\n\nCopyright 2001 A. House\nYou may read this in any centre.")
+    known = license.digests_of_files(spark, str(tmp_path))
+    notices = license.digests(spark, [("House-1", "House rules")])
+    got = [r["license_id"] for r in license.scan(docs(spark, ["house LICENSE\nyou may read this in any center", "other"]), known, notices).orderBy("doc_id").collect()]
+    assert got == ["House-1", None]
+
+
+def test_every_short_licence_is_found_and_digests_are_sound(spark):
+    got = {r["doc_id"]: r["license_id"] for r in license.scan(docs(spark, [t for _, t in license.KNOWN])).collect()}
+    assert [got[k] for k in range(len(got))] == [i for i, _ in license.KNOWN]
+    assert all(re.fullmatch("[0-9a-f]{64}", d) for _, d in license.DIGESTS) and len({d for _, d in license.DIGESTS}) == len(license.DIGESTS)
 
 
 def test_license_same_as_sql(spark):
