@@ -153,7 +153,8 @@ def disclosing_terms(docs: DataFrame, support: int = 2, generalise_at: float = 0
         discard(texts, entities, asked, words, pairs, rare)
         return None
     everywhere = docs.select(F.explode(_terms(_outside(F.col("_text"), base_spans(F.col("_text"))))).alias("term"))
-    of_term = everywhere.join(rare, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
+    # counted before the join: partial counts shuffle far less than one row a word of a text
+    of_term = everywhere.groupBy("term").agg(F.count(F.lit(1)).alias("n_t")).join(rare, "term", "left_semi")
     pmi = F.log2(F.col("n_tg") * total / (F.col("n_t").cast("double") * F.col("n_g")))
     told = cut(pairs.join(of_term, "term").select("g", "term", pmi.alias("pmi")).filter("pmi > 0"), "pii-told")
     share = words.drop("copies").join(told.select("term").distinct(), "term", "left_semi").join(asked.filter("ic > 0").select("_key", "g", "ic"), "_key").join(told, ["g", "term"])
