@@ -1,11 +1,13 @@
 """Line dedup by winnowing over line hashes (DataFrame functions only).
 
-Lines that hold a word are hashed. A window is the least run of lines from a line on (or back from a line) that
-has ``min_words`` words. The least line hash of each window is its fingerprint, so any repeated run of min_words
-words shares one. Fingerprints that stand in one place only are let go; the windows of the others are matched whole,
-forward and backward from each line, which extends a match to both ends of the repeated run. In the order of
-(doc_id, line), the first occurrence of a window stays, and lines of later ones are deleted. Work is linear: a window
-meets its first occurrence only, however many copies there are.
+Lines that hold a word have a 128-bit hash. A window is the least run of lines from a line on (or back from a line) that
+has ``min_words`` words; the least line hash in it is chosen as its fingerprint, so any repeated run of min_words words
+has the same one chosen in both places. Fingerprints chosen in one place only are let go. Around the places of the
+others the match is extended both ways to the ends of the window: the contents of runs of 1, 2, 4 ... lines get hashes
+from those of their halves, and two overlapping such runs stand for a window of any size. Windows of equal content meet
+at their first occurrence in the order of (doc_id, line), never each other, so work is linear in the lines however many
+copies there are. Windows begin (or end) at every line, so the later ones cover a repeated run to both its ends; the
+lines they cover are deleted.
 """
 
 from __future__ import annotations
@@ -13,69 +15,125 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, text_or_empty
+from .common import cut, discard, text_or_empty
 
 _LINE_WORD = r"[^ \t\x0B\f\r]+"
+SALTS = 16  # parts of a hot hash in joins that every occurrence of it goes through
+
+
+def _doc(doc_id: Column, text: Column) -> Column:
+    """128 bits that stand for a doc_id (null: none) and a whole text."""
+    return F.unhex(F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit("\n"), text).cast("binary")))
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """(id, key, i, h, n): one row for each line with a word; rows that repeat id and text count once."""
+    """(id, doc, i, h, n): one row for each line with a word; rows that repeat id and text count once."""
     held = docs.select(F.col("doc_id").alias("id"), text_or_empty().alias("t"))
-    rows = held.select("id", F.xxhash64("t").alias("key"), F.posexplode(F.split("t", "\n", -1)).alias("i", "line"))
-    rows = rows.select("id", "key", "i", F.xxhash64("line").alias("h"), F.regexp_count("line", F.lit(_LINE_WORD)).alias("n"))
-    return rows.filter("n > 0").repartition("id", "key").dropDuplicates(["id", "key", "i"])
+    rows = held.select("id", _doc(F.col("id"), F.col("t")).alias("doc"), F.posexplode(F.split("t", "\n", -1)).alias("i", "line"))
+    rows = rows.select("id", "doc", "i", F.unhex(F.md5(F.col("line").cast("binary"))).alias("h"), F.regexp_count("line", F.lit(_LINE_WORD)).alias("n"))
+    return rows.filter("n > 0").repartition("doc").dropDuplicates(["doc", "i"])
 
 
-def _windows(lines: DataFrame, min_words: int) -> DataFrame:
-    """(id, key, lines, mark, body, body2): forward and backward windows, their least hash and hashes of their content."""
-    upto = lines.select("*", F.expr("sum(n) over (partition by id, key order by i)").alias("b"))
-    upto = upto.select("*", (F.col("b") - F.col("n")).alias("a"), F.expr("max(b) over (partition by id, key)").alias("all"))
-    ahead = f"over (partition by id, key order by a range between current row and {min_words - 1} following)"
-    back = f"over (partition by id, key order by b range between {min_words - 1} preceding and current row)"
-    both = upto.select("*", *[F.expr(f"{f} {w}").alias(k + d) for d, w in (("f", ahead), ("b", back)) for k, f in (("m", "min(h)"), ("s", "collect_list(h)"), ("l", "collect_list(i)"))])
+def _frames(min_words: int) -> tuple[str, str]:
+    """The lines of the window that begins, and of the one that ends, at a line."""
+    ahead = f"over (partition by doc order by a range between current row and {min_words - 1} following)"
+    return ahead, f"over (partition by doc order by b range between {min_words - 1} preceding and current row)"
+
+
+def _counted(lines: DataFrame) -> DataFrame:
+    """lines with a and b, the words before and up to the end of a line, and all, those of the document."""
+    upto = lines.select("*", F.expr("sum(n) over (partition by doc order by i)").alias("b"))
+    return upto.select("*", (F.col("b") - F.col("n")).alias("a"), F.expr("max(b) over (partition by doc)").alias("all"))
+
 
-    def window(d: str, seed: int):
-        return F.struct(F.col(f"l{d}").alias("lines"), F.col(f"m{d}").alias("mark"), F.xxhash64(F.lit(seed), f"s{d}").alias("body"), F.hash(F.lit(seed), f"s{d}").alias("body2"))
+def _salted(many: DataFrame, few: DataFrame, key: str, how: str) -> DataFrame:
+    """many joined with few (one row a key), a hot key of many dealt to SALTS tasks."""
+    salt = F.pmod(F.xxhash64("doc", "i"), F.lit(SALTS)).cast("int").alias("_salt")
+    return many.select("*", salt).join(few.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt")), [key, "_salt"], how).drop("_salt")
 
-    whole = F.array(F.when(F.col("all") - F.col("a") >= min_words, window("f", 0)), F.when(F.col("b") >= min_words, window("b", 1)))
-    return both.select("id", "key", F.explode(whole).alias("w")).filter("w is not null").select("id", "key", "w.*")
+
+def _shared_fingerprints(lines: DataFrame, min_words: int) -> DataFrame:
+    """(h): the line hashes that windows choose in more than one place."""
+    ahead, back = _frames(min_words)
+    both = _counted(lines).select("doc", F.when(F.col("all") - F.col("a") >= min_words, F.expr(f"min(struct(h, i)) {ahead}")).alias("f"), F.when(F.col("b") >= min_words, F.expr(f"min(struct(h, i)) {back}")).alias("g"))
+    chosen = both.select("doc", F.explode(F.array("f", "g")).alias("m")).filter("m is not null").select("doc", "m.h", "m.i").distinct()
+    return chosen.groupBy("h").count().filter("count > 1").select("h")
+
+
+def _windows(lines: DataFrame, min_words: int) -> DataFrame:
+    """(id, doc, i, ahead, first, last, body) of the windows whose fingerprint is shared; lines say which hashes are."""
+    ahead, back = _frames(min_words)
+    out, levels = _counted(lines), max(1, min_words.bit_length())
+    out = out.withColumn("g0", F.col("h"))
+    for k in range(1, levels):  # the content of 2^k lines from here, null where there are fewer
+        half = 1 << (k - 1)
+        out = out.withColumn(f"g{k}", F.unhex(F.md5(F.concat(f"g{k - 1}", F.expr(f"lead(g{k - 1}, {half}) over (partition by doc order by i)")))))
+    out = out.withColumn("g", F.array(*[f"g{k}" for k in range(levels)]))
+    out = out.withColumn("e", F.array(*[F.expr(f"lag(g{k}, {(1 << k) - 1}) over (partition by doc order by i)") for k in range(levels)]))
+    parts = [("ahead", ahead, "g", F.expr(f"last(e) {ahead}")), ("back", back, F.expr(f"first(g) {back}"), "e")]
+    for name, frame, left, right in parts:
+        cols = {"m": F.expr(f"min(struct(h, i, shared)) {frame}"), "k": F.expr(f"count(1) {frame}"), "lo": F.expr(f"min(i) {frame}"), "hi": F.expr(f"max(i) {frame}")}
+        out = out.withColumn(name, F.struct(*[c.alias(k) for k, c in cols.items()], (F.col(left) if isinstance(left, str) else left).alias("l"), (F.col(right) if isinstance(right, str) else right).alias("r")))
+
+    def window(name: str) -> Column:
+        w = F.col(name)
+        level = F.floor(F.log2(w["k"].cast("double")) + 1e-9).cast("int")
+        body = F.unhex(F.md5(F.concat(F.lit(f"{name}:"), w["k"].cast("string"), F.lit(":"), F.hex(F.get(w["l"], level)), F.hex(F.get(w["r"], level)))))
+        return F.struct(F.lit(name == "ahead").alias("ahead"), w["lo"].alias("first"), w["hi"].alias("last"), body.alias("body"))
+
+    full = [F.when((F.col("all") - F.col("a") >= min_words) & F.col("ahead.m.shared"), window("ahead")), F.when((F.col("b") >= min_words) & F.col("back.m.shared"), window("back"))]
+    return out.select("id", "doc", "i", F.explode(F.array(*full)).alias("w")).filter("w is not null").select("id", "doc", "i", "w.*")
 
 
 def repeated_runs(docs: DataFrame, min_words: int = 50) -> DataFrame:
-    """(id, key, drop): for each document with later repeats, the sorted positions of the lines to delete.
+    """(doc, runs, lines): for each document with later repeats, the sorted (first, last) runs of lines to delete, and their number.
 
-    Null text is empty; documents with a null doc_id come first in the order.
+    Null text is empty; documents with a null doc_id come first in the order; an empty table gives no rows.
     """
     lines = cut(_lines(docs), "lines")
-    often = lines.groupBy(F.col("h").alias("mark")).count().filter("count > 1").select("mark")
-    near = cut(_windows(lines, min_words).join(often, "mark", "left_semi"), "line-windows")
-    place = F.struct("id", "key", F.element_at("lines", 1).alias("at"), F.size("lines").alias("size"))
-    first = near.groupBy("body", "body2").agg(F.min(place).alias("lo"), F.count(F.lit(1)).alias("times")).filter("times > 1").select("body", "body2", "lo")
-    later = near.join(first, ["body", "body2"]).filter(place != F.col("lo"))
-    runs = later.select("id", "key", F.explode("lines").alias("i"))
-    return runs.groupBy("id", "key").agg(F.sort_array(F.collect_set("i")).alias("drop"))
-
-
-def _kept(text: Column, drop: Column) -> Column:
-    lines = F.split(text, "\n", -1)
-    flags = F.transform(lines, lambda _, i: F.array_contains(drop, i))
-    return F.array_join(F.transform(F.filter(F.arrays_zip(lines.alias("l"), flags.alias("f")), lambda x: ~x["f"]), lambda x: x["l"]), "\n")
+    shared = cut(_shared_fingerprints(lines, min_words), "fingerprints")
+    flagged = _salted(lines, shared.select("h", F.lit(True).alias("shared")), "h", "left").withColumn("shared", F.coalesce("shared", F.lit(False)))
+    flagged = cut(flagged.repartition("doc"), "flagged")
+    some = flagged.join(flagged.filter("shared").select("doc").distinct(), "doc", "left_semi")
+    near = cut(_windows(some, min_words), "line-windows")
+    place = F.struct("id", "doc", "first", "last")
+    first = near.groupBy("body").agg(F.min(place).alias("lo"), F.count(F.lit(1)).alias("times")).filter("times > 1").drop("times")
+    later = _salted(near, first, "body", "inner").filter(place != F.col("lo"))
+    reach = later.groupBy("doc", "i").agg(F.max(F.when(F.col("ahead"), F.col("last"))).alias("to"), F.min(F.when(~F.col("ahead"), F.col("first"))).alias("from"))
+    reach = cut(reach, "line-reach")
+    discard(near, flagged, shared)
+    held = lines.join(reach.select("doc").distinct(), "doc", "left_semi").select("doc", "i").join(reach, ["doc", "i"], "left")
+    order = "partition by doc order by i"
+    gone = F.expr(f"max(to) over ({order})") >= F.col("i")
+    gone |= F.expr(f"min(from) over ({order} rows between current row and unbounded following)") <= F.col("i")
+    covered = held.select("doc", "i", F.coalesce(gone, F.lit(False)).alias("gone"))
+    opens = F.col("gone") & ~F.expr(f"lag(gone, 1, false) over ({order})")
+    numbered = covered.select("doc", "i", "gone", opens.cast("int").alias("opens")).select("doc", "i", "gone", F.expr(f"sum(opens) over ({order})").alias("run")).filter("gone")
+    runs = numbered.groupBy("doc", "run").agg(F.struct(F.min("i").alias("first"), F.max("i").alias("last")).alias("r"), F.count(F.lit(1)).alias("n"))
+    return runs.groupBy("doc").agg(F.sort_array(F.collect_list("r")).alias("runs"), F.sum("n").alias("lines"))
+
+
+def _kept(text: Column, runs: Column) -> Column:
+    """The lines of a text but those of its runs that hold a word."""
+    gone = lambda line, i: line.rlike(_LINE_WORD) & F.exists(runs, lambda r: (r["first"] <= i) & (r["last"] >= i))
+    return F.array_join(F.filter(F.split(text, "\n", -1), lambda line, i: ~gone(line, i)), "\n")
 
 
 def dedup_lines(docs: DataFrame, min_words: int = 50) -> DataFrame:
     """docs with the lines of later repeated runs (min_words words or more) deleted from text, plus _sw_dropped.
 
     Rows all stay, also those left empty; null text stays null; rows that repeat doc_id and text get equal results and
-    aren't repeats of each other; n_chars, where there is one, follows the text. Blank lines are never deleted.
+    aren't repeats of each other; a doc_id with two texts is two documents, in the order of their hashes; n_chars, where
+    there is one, follows the text. Blank lines are never deleted. A passage counts as far as it consists of whole
+    lines. Internal columns start with _sw_; no column of docs may. The lines of one text are sorted in one task.
     """
-    drops = repeated_runs(docs, min_words).select(F.col("id").alias("_sw_id"), F.col("key").alias("_sw_key"), F.col("drop").alias("_sw_drop"))
-    keyed = docs.select("*", F.xxhash64(text_or_empty()).alias("_sw_k"))
-    joined = keyed.join(drops.hint("shuffle_hash"), keyed["doc_id"].eqNullSafe(drops["_sw_id"]) & (keyed["_sw_k"] == drops["_sw_key"]), "left")
-    new = F.when(F.col("_sw_drop").isNull(), F.col("text")).otherwise(_kept(F.col("text"), F.col("_sw_drop")))
-    out = joined.withColumn("text", new)
+    drops = repeated_runs(docs, min_words).select(F.col("doc").alias("_sw_doc"), F.col("runs").alias("_sw_runs"), F.col("lines").alias("_sw_lines"))
+    keyed = docs.select("*", _doc(F.col("doc_id"), text_or_empty()).alias("_sw_doc"))
+    joined = keyed.join(drops.hint("shuffle_hash"), "_sw_doc", "left")
+    out = joined.withColumn("text", F.when(F.col("_sw_runs").isNull(), F.col("text")).otherwise(_kept(F.col("text"), F.col("_sw_runs"))))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns, F.coalesce(F.size("_sw_drop"), F.lit(0)).alias("_sw_dropped"))
+    return out.select(*docs.columns, F.coalesce("_sw_lines", F.lit(0)).cast("int").alias("_sw_dropped"))
 
 
 def report(docs: DataFrame, min_words: int = 50) -> DataFrame:

@@ -477,6 +477,22 @@ def test_line_dedup_passage(spark):
     assert line_dedup.dedup_lines(twice).count() == 10
 
 
+def test_line_dedup_on_table(spark):
+    assert differences(line_dedup.report(table(spark, SF1, "documents")), connect(SF1), line_dedup.oracle()) == []
+
+
+def test_line_dedup_edges(spark):
+    passage = "\n".join(" ".join(f"p{k}_{j}" for j in range(20)) for k in range(3))
+    rows = [(None, passage, "a"), (None, passage, "a"), (1, passage + "\n\nown", "b"), (1, "other\n" + passage, "c"), (2, passage.replace("\n", "\n \n"), None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, doc string")
+    got = sorted(((r["doc_id"], r["text"], r["doc"]) for r in line_dedup.dedup_lines(d).collect()), key=repr)
+    assert got == sorted([(None, passage, "a"), (None, passage, "a"), (1, "\nown", "b"), (1, "other", "c"), (2, " \n ", None)], key=repr)
+    assert line_dedup.dedup_lines(d.limit(0)).count() == 0
+    long = "\n".join(f"line {k % 1000} of many" for k in range(40_000))
+    n = line_dedup.report(docs(spark, ["first " + long, long]).select("doc_id", "text")).orderBy("doc_id").collect()
+    assert n[0]["n_deleted"] == 39_000 - 1 and n[1]["n_deleted"] == 40_000
+
+
 # ---- op10
 def test_best_fit_holds_every_limit():
     import numpy as np
