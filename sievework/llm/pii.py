@@ -131,41 +131,47 @@ def disclosing_terms(docs: DataFrame, support: int = 2, generalise_at: float = 0
     """
     total = float(docs.count())
     held = docs.select(_key(F.col("_text")).alias("_key"), "_text", base_spans(F.col("_text")).alias("_spans")).filter(F.size("_spans") > 0)
-    texts = cut(held.groupBy("_key").agg(F.count(F.lit(1)).alias("copies"), F.first("_text").alias("_text"), F.first("_spans").alias("_spans")), "pii-texts")
+    texts = held.groupBy("_key").agg(F.count(F.lit(1)).alias("copies"), F.first("_text").alias("_text"), F.first("_spans").alias("_spans"))
+    texts = cut(texts.withColumn("n", F.monotonically_increasing_id()), "pii-texts")  # short numbers, fixed once written
     of = F.explode(F.array_distinct(F.transform("_spans", _groups)))
-    entities = cut(texts.select("_key", "copies", of.alias("e")).select("_key", "copies", "e.*"), "pii-entities")
+    entities = texts.select("n", "copies", of.alias("e")).select("n", "copies", "e.*")
     of_value = entities.groupBy("value").agg((-F.log2(F.sum("copies") / total)).alias("ic"))
     level = F.explode(F.array("value", "domain", "kind")).alias("g")
-    asked = entities.join(of_value, "value").select("_key", "copies", "ic", level).groupBy("_key", "copies", "g").agg(F.min("ic").alias("ic"))
+    levels = cut(entities.join(of_value, "value").select("n", "copies", "ic", level).groupBy("n", "copies", "g").agg(F.min("ic").alias("ic")), "pii-levels")
     # PMI(t; g) is IC(g) at most: levels that can't disclose enough of any entity leave here, exactly
-    of_group = asked.groupBy("g").agg(F.sum("copies").alias("n_g"), F.count(F.lit(1)).alias("texts"), F.min("ic").alias("ic_g"))
-    of_group = of_group.filter((F.col("texts") >= support) & (-F.log2(F.col("n_g") / total) >= generalise_at * F.col("ic_g") - 1e-9)).drop("texts")
-    asked = cut(asked.join(of_group, "g"), "pii-asked")
-    words = cut(texts.select("_key", "copies", F.explode(_terms(_outside(F.col("_text"), F.col("_spans")))).alias("term")), "pii-words")
-    twice = words.groupBy("term").agg(F.count(F.lit(1)).alias("texts"), F.sum("copies").alias("least")).filter(F.col("texts") >= support).drop("texts")
+    groups = levels.groupBy("g").agg(F.sum("copies").alias("n_g"), F.count(F.lit(1)).alias("texts"), F.min("ic").alias("ic_g"))
+    groups = groups.filter((F.col("texts") >= support) & (-F.log2(F.col("n_g") / total) >= generalise_at * F.col("ic_g") - 1e-9))
     # a pair reaches generalise_at only if n_t <= N 2^(-generalise_at IC(e)); n_t is no less than its count in these texts
     most = total * F.pow(2.0, -generalise_at * F.col("ic_g")) * (1 + 1e-9)
-    near = words.join(twice, "term").drop("copies").join(asked, "_key").filter(F.col("least") <= most)
-    pairs = near.groupBy("g", "term").agg(F.sum("copies").alias("n_tg"), F.count(F.lit(1)).alias("texts"), F.first("n_g").alias("n_g")).filter(F.col("texts") >= support).drop("texts")
-    pairs = cut(pairs, "pii-pairs")
-    rare = cut(pairs.select("term").distinct(), "pii-rare")
-    if rare.isEmpty():
-        discard(texts, entities, asked, words, pairs, rare)
+    groups = cut(groups.select("g", F.monotonically_increasing_id().alias("gid"), "n_g", most.alias("most")), "pii-groups")
+    top = groups.agg(F.max("most")).first()[0]
+    if top is None:
+        discard(texts, levels, groups)
         return None
+    asked = cut(levels.join(groups.drop("n_g"), "g").select("n", "gid", "ic", "most"), "pii-asked")
+    words = cut(texts.select("n", "copies", F.explode(_terms(_outside(F.col("_text"), F.col("_spans")))).alias("term")), "pii-words")
+    twice = words.groupBy("term").agg(F.count(F.lit(1)).alias("texts"), F.sum("copies").alias("least")).filter((F.col("texts") >= support) & (F.col("least") <= top)).drop("texts")
+    near = words.join(twice, "term").join(asked, "n").filter(F.col("least") <= F.col("most"))
+    near = cut(near.select("n", "copies", "term", "gid", "ic"), "pii-near")
+    pairs = near.groupBy("gid", "term").agg(F.sum("copies").alias("n_tg"), F.count(F.lit(1)).alias("texts")).filter(F.col("texts") >= support)
+    pairs = cut(pairs.join(groups, "gid").select("gid", "term", "n_tg", "n_g"), "pii-pairs")
+    rare = pairs.select("term").distinct()
     everywhere = docs.select(F.explode(_terms(_outside(F.col("_text"), base_spans(F.col("_text"))))).alias("term"))
     # counted before the join: partial counts shuffle far less than one row a word of a text
     of_term = everywhere.groupBy("term").agg(F.count(F.lit(1)).alias("n_t")).join(rare, "term", "left_semi")
     pmi = F.log2(F.col("n_tg") * total / (F.col("n_t").cast("double") * F.col("n_g")))
-    told = cut(pairs.join(of_term, "term").select("g", "term", pmi.alias("pmi")).filter("pmi > 0"), "pii-told")
-    share = words.drop("copies").join(told.select("term").distinct(), "term", "left_semi").join(asked.filter("ic > 0").select("_key", "g", "ic"), "_key").join(told, ["g", "term"])
-    share = share.groupBy("_key", "term").agg(F.max(F.col("pmi") / F.col("ic")).alias("share")).filter(F.col("share") >= generalise_at)
-    stems = share.filter(F.col("term").endswith("*")).select("_key", F.col("term").alias("stem"), F.lit(True).alias("stem_too"))
-    own = share.filter(~F.col("term").endswith("*")).withColumn("stem", _stem(F.col("term")))
-    action = F.when(F.col("share") >= remove_at, "").when(F.col("stem_too") | (F.length("term") <= STEM), "<TERM>").otherwise(F.col("stem"))
-    one = own.join(stems, ["_key", "stem"], "left").select("_key", F.struct("term", action.alias("action")).alias("a"))
-    actions = cut(one.groupBy("_key").agg(F.map_from_entries(F.collect_list("a")).alias("actions")), "pii-actions")
-    discard(entities, asked, words, pairs, rare, told)
-    return actions.join(texts.select("_key", "_text", "_spans"), "_key")
+    told = cut(pairs.join(of_term, "term").select("gid", "term", pmi.alias("pmi")).filter("pmi > 0"), "pii-told")
+    share = near.filter("ic > 0").join(told, ["gid", "term"]).groupBy("n", "term").agg(F.max(F.col("pmi") / F.col("ic")).alias("share")).filter(F.col("share") >= generalise_at)
+    # a word and its stem meet in one row set, grouped by the stem
+    word, stem = F.col("term"), F.when(F.col("term").endswith("*"), F.col("term")).otherwise(_stem(F.col("term")))
+    of_text = share.groupBy("n").agg(F.collect_list(F.struct(word.alias("term"), stem.alias("stem"), "share")).alias("all"))
+    stems = F.transform(F.filter("all", lambda x: x["term"].endswith("*")), lambda x: x["term"])
+    too = lambda x: F.array_contains(F.col("stems"), x["stem"]) | (F.length(x["term"]) <= STEM)
+    action = lambda x: F.when(x["share"] >= remove_at, "").when(too(x), "<TERM>").otherwise(x["stem"])
+    own = F.transform(F.filter("all", lambda x: ~x["term"].endswith("*")), lambda x: F.struct(x["term"].alias("term"), action(x).alias("action")))
+    actions = cut(of_text.select("n", "all", stems.alias("stems")).select("n", F.map_from_entries(own).alias("actions")).filter(F.size("actions") > 0), "pii-actions")
+    discard(levels, groups, asked, words, near, pairs, told)
+    return actions.join(texts, "n").select("_key", "_text", "_spans", "actions")
 
 
 def term_spans(docs: DataFrame, **limits) -> DataFrame | None:
