@@ -13,6 +13,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame
 
 VOCABULARY = "byte_bpe_50k"
 
-# Characters that every library's pre-tokenizer classes alike.
+# Characters that every library's pre-tokenizer classes alike; spans with others, up to safe boundaries, go to the library.
 _PLAIN = re.compile(r"[^\t\n\r\x20-\x7eÀ-ÖØ-öø-ž]")
 _SAFE = re.compile(r"(?<=\S)(?= [A-Za-zÀ-ÖØ-öø-ž])")
 _LAST = re.compile(r"(?s).*(?<=\S)(?= [A-Za-zÀ-ÖØ-öø-ž])")
@@ -80,8 +81,35 @@ class ChunkCoder:
     def encode(self, text: str) -> list[int]:
         if not text:
             return []
-        if _PLAIN.search(text) or self.special.search(text):
-            return self.whole.encode(text, add_special_tokens=False).ids
+        if not (_PLAIN.search(text) or self.special.search(text)):
+            return self._plain(text)
+        ids: list[int] = []
+        at = 0
+        for a, b in self._odd_spans(text):
+            ids += self._plain(text[at:a])
+            ids += self.whole.encode(text[a:b], add_special_tokens=False).ids
+            at = b
+        return ids + self._plain(text[at:])
+
+    def _odd_spans(self, text: str) -> list[tuple[int, int]]:
+        """Disjoint spans between safe boundaries that hold all other characters and special strings."""
+        edges = [0, *(m.end() for m in _SAFE.finditer(text)), len(text)]
+        spans: list[tuple[int, int]] = []
+        odd = sorted([m.span() for m in _PLAIN.finditer(text)] + [m.span() for m in self.special.finditer(text)])
+        for a, b in odd:
+            if spans and b <= spans[-1][1]:
+                continue
+            low, high = edges[bisect_right(edges, a) - 1], edges[bisect_left(edges, b)]
+            if spans and low <= spans[-1][1]:
+                spans[-1] = (spans[-1][0], high)
+            else:
+                spans.append((low, high))
+        return spans
+
+    def _plain(self, text: str) -> list[int]:
+        """Ids of a text of plain characters, chunk by chunk."""
+        if not text:
+            return []
         if text.isascii():
             raw = np.frombuffer(text.encode("ascii"), np.uint8)
         else:  # one unit a character, so that a cut never splits one
@@ -111,6 +139,10 @@ class ChunkCoder:
             pending = tail
         return ids + self._seam(pending) if pending else ids
 
+    def forget(self) -> None:
+        """Empty the caches: a worker outlives its tasks, and the next ones need its memory."""
+        self.chunks, self.seams, self.held = {}, {}, 0
+
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.bytes.__getitem__, ids)).decode("utf-8", "replace")
 
@@ -133,22 +165,26 @@ def vocabulary_paths(name: str = VOCABULARY) -> tuple[str, str, str]:
 def encode(docs: DataFrame, vocabulary: tuple[str, str, str] | None = None, with_ids: bool = True) -> DataFrame:
     """Per row: doc_id, n_tokens, ids_sha256, decoded_sha256 and, where asked for, ids and the decoded text.
 
-    Null text counts as empty; null doc_ids and repeated rows are kept; other columns are left out.
+    Null text counts as empty; null doc_ids and repeated rows are kept; other columns are left out; an empty table gives
+    no rows; a text of any length is encoded whole, in chunks.
     """
     paths = vocabulary or vocabulary_paths()
     more = ", ids array<int>, decoded string" if with_ids else ""
 
     def encoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         make = coder(*paths)
-        for batch in batches:
-            rows = []
-            for text in batch["text"].fillna(""):
-                ids = make.encode(text)
-                joined = ",".join(map(make.names.__getitem__, ids))
-                back = b"".join(map(make.bytes.__getitem__, ids))
-                rows.append((len(ids), hashlib.sha256(joined.encode()).hexdigest(), hashlib.sha256(back).hexdigest(), *([ids, back.decode("utf-8", "replace")] * with_ids)))
-            out = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256", *["ids", "decoded"] * with_ids])
-            out.insert(0, "doc_id", batch["doc_id"].astype("Int64").array)
-            yield out
+        try:
+            for batch in batches:
+                rows = []
+                for text in batch["text"].fillna(""):
+                    ids = make.encode(text)
+                    joined = ",".join(map(make.names.__getitem__, ids))
+                    back = b"".join(map(make.bytes.__getitem__, ids))
+                    rows.append((len(ids), hashlib.sha256(joined.encode()).hexdigest(), hashlib.sha256(back).hexdigest(), *([ids, back.decode("utf-8", "replace")] * with_ids)))
+                out = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256", *["ids", "decoded"] * with_ids])
+                out.insert(0, "doc_id", batch["doc_id"].astype("Int64").array)
+                yield out
+        finally:
+            make.forget()
 
     return docs.select("doc_id", "text").mapInPandas(encoded, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + more)

@@ -1,8 +1,8 @@
 """Best-fit packing of documents into sequences under token, document-count and attention-cost limits.
 
 Text becomes ids of a word-level BPE vocabulary with an end id after each document. Documents of more than
-``capacity`` ids are cut into pieces of that length; those full pieces are sequences of their own. The rest, one piece
-a document at most, is dealt by hash into groups whose number follows the table's rows; in each group the pieces go,
+``capacity`` ids are cut into pieces of that length; those full pieces are sequences of their own and meet no others. The
+rest, one piece a document at most, is dealt by hash into groups whose number follows theirs; in each group the pieces go,
 longest first, to the open sequence where they fit best: by the smallest weighted norm of the residuals that would be
 left ("norm"), or by the largest weighted dot product of the piece's needs and the residuals ("dot").
 """
@@ -18,12 +18,16 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut
+
 VOCABULARY = "word_bpe_49k.json"
 CAPACITY = 2048
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
-# Characters whose lower case, normal form and letter class are alike in every Unicode version and library.
+# Characters whose lower case, normal form and letter class are alike in every Unicode version and library; a token with
+# others goes to the library by itself.
 _PLAIN = re.compile(r"[^\t\n\r\x20-\x7eÀ-ÖØ-öø-įĲ-ňŊ-ž]")
+_TOKEN = re.compile(r"[^\t\n\r ]+")
 _PART = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|[0-9]|(?:[^\w\s]|_)+")
 
 
@@ -31,8 +35,8 @@ class WordIds:
     """Ids of whole texts, by a bounded cache of the ids of blank-separated tokens.
 
     The pre-tokenizer never joins across blanks, so a text's ids are those of its tokens in a row. Tokens that the
-    cache lacks are split into parts, and parts not met before are encoded together by the tokenizers library, which
-    also takes whole texts with special-token strings or characters outside the plain set.
+    cache lacks are split into parts, and parts not met before are encoded together by byte merges of the same ranks.
+    Tokens with characters outside the plain set or special-token strings are encoded by the tokenizers library.
     """
 
     def __init__(self, path: str, cached: int = 400_000) -> None:
@@ -69,6 +73,10 @@ class WordIds:
         self.tokens, self.parts = {}, {}
 
     def _learn(self, tokens: list[str]) -> None:
+        odd = [t for t in tokens if _PLAIN.search(t) or self.special.search(t)]
+        for t, got in zip(odd, self.whole.encode_batch(odd, add_special_tokens=False) if odd else [], strict=True):
+            self.tokens[t] = np.array(got.ids, "<u4").tobytes()
+        tokens = [t for t in tokens if t not in self.tokens]
         split = [_PART.findall(t.lower()) for t in tokens]
         new = list(dict.fromkeys(p for s in split for p in s if p not in self.parts))
         if new:
@@ -88,10 +96,7 @@ class WordIds:
         """Little-endian 32-bit ids of each text, without an end id."""
         out: list[bytes] = []
         for text in texts:
-            if _PLAIN.search(text) or self.special.search(text):
-                out.append(np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes())
-                continue
-            tokens = text.split()
+            tokens = _TOKEN.findall(text)
             missing = list(set(tokens).difference(self.tokens))
             if missing:
                 if len(self.tokens) + len(missing) > self.cached:
@@ -190,14 +195,18 @@ def pack(
     """The pieces of docs with sequence_id and offset (gapless from 0 in every sequence).
 
     max_docs and max_attention (the sum of squared lengths) default to capacity and its square, which never bind. A
-    piece over one of them alone is an error of the call. Other columns are left out; an empty table gives no rows.
+    piece over one of them alone is an error of the call. Null and empty texts are the end id alone; rows with a null
+    doc_id and repeated rows are packed like others; pieces of equal length go by doc_id and piece, equal ones as they
+    come; a text of any length is encoded whole. Other columns are left out; an empty table gives no rows.
     """
     limits = (capacity, max_docs or capacity, max_attention or float(capacity) ** 2)
     if limits[2] < capacity**2 or limits[1] < 1:
         raise ValueError("a full piece must fit into a sequence alone")
-    groups = max(1, -(-docs.count() // group_rows))
-    made = pieces(docs, capacity, end_id, vocabulary, with_ids)
-    dealt = made.withColumn("_group", F.pmod(F.xxhash64("doc_id", "piece", "_again"), F.lit(groups)))
+    made = cut(pieces(docs, capacity, end_id, vocabulary, with_ids), "pieces")
+    groups = max(1, -(-made.filter(F.col("length") < capacity).count() // group_rows))
+    # a full piece needs no partner: it is numbered where it is made, below 0, apart from the groups' numbers
+    full = made.filter(F.col("length") == capacity).withColumns({"sequence_id": -1 - F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})
+    dealt = made.filter(F.col("length") < capacity).withColumn("_group", F.pmod(F.xxhash64("doc_id", "piece", "_again"), F.lit(groups)))
 
     def packed(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["length", "doc_id", "piece"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
@@ -207,4 +216,5 @@ def pack(
         return group.drop(columns=["_group", "_again"])
 
     ids = ", ids array<int>" if with_ids else ""
-    return dealt.groupBy("_group").applyInPandas(packed, PIECES + ids + ", sequence_id long, offset long")
+    rest = dealt.groupBy("_group").applyInPandas(packed, PIECES + ids + ", sequence_id long, offset long")
+    return rest.unionByName(full.select(rest.columns))
