@@ -1,11 +1,14 @@
-"""N-gram Jaccard join: MinHash bands find candidates, full sets of word n-grams decide.
+"""N-gram Jaccard join: MinHash banding finds candidates, full sets of word n-grams decide.
 
 Texts that are equal form a class; only classes are compared. Each text's set of five-word shingles is min-hashed;
 bands and rows are chosen so that a pair at the threshold shares a band with probability ``recall``. Band hashes are
 shuffled and grouped; members of a bucket are tied to its least member (never paired with each other), and connected
-components of these ties hold every candidate pair. A component is verified as a whole where it is small; a larger one
-is dealt into blocks, and each pair of blocks is verified in a task of its own by products of incidence matrices, so
-no group, however large, meets in one task and no list of all its pairs is made.
+components of these ties hold every candidate pair. A component is verified as a whole where it is small. In a larger
+one every member is first compared with one pivot: Jaccard distance is a metric, so members within half of the allowed
+distance of the pivot are all linked to each other, which settles a group of close copies in linear work. Members
+further off are dealt into blocks, and pairs of blocks of them, and of them and the others they can still be linked to,
+are verified in tasks of their own by products of incidence matrices. No group meets in one task, and no list of all
+its pairs is made; blocks are bounded in texts and in characters.
 """
 
 from __future__ import annotations
@@ -15,10 +18,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, cut
+from .common import WORD, cut, discard
 from .components import connected_components
 
 _FIND = re.compile(WORD).findall
@@ -90,52 +93,65 @@ def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
     shifts = rng.integers(0, 1 << 32, bands * rows, dtype=np.uint32)
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import xxhash
-
         try:
             for batch in batches:
-                tids, found = [], []
-                for text in batch["text"]:
-                    tids.append(None if text is None else xxhash.xxh3_128_digest(text.encode("utf-8", "surrogatepass")))
-                    found.append(minhash_bands(_FIND(text or ""), n, bands, rows, factors, shifts))
-                yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "tid": tids, "bands": found})
+                found = [minhash_bands(_FIND(text or ""), n, bands, rows, factors, shifts) for text in batch["text"]]
+                yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "tid": batch["tid"], "bands": found})
         finally:
             _WORDS.clear()  # a worker outlives its tasks
 
-    return docs.select("doc_id", "text").mapInPandas(sign, "doc_id long, tid binary, bands array<long>")
+    return docs.select("doc_id", _tid().alias("tid"), "text").mapInPandas(sign, "doc_id long, tid binary, bands array<long>")
+
+
+def _tid() -> Column:
+    return F.unhex(F.md5(F.col("text").cast("binary")))
+
+
+def gram_sets(texts: list[str], n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(text, gram) numbers of the distinct n-word shingles of texts, exact; fewer than n words are one shingle, none none."""
+    words = [_FIND(t) for t in texts]
+    known: dict[str, int] = {}
+    flat = np.fromiter((known.setdefault(w, len(known)) for ws in words for w in ws), np.int64, sum(map(len, words)))
+    row = np.repeat(np.arange(len(texts)), [len(ws) for ws in words])
+    gram = flat
+    for k in range(1, min(n, len(flat))):  # dense numbers of k-word runs make those of k + 1 words
+        gram = np.unique(gram[:-1] * len(known) + flat[k:], return_inverse=True)[1]
+    gram, start = gram[: max(0, len(flat) - n + 1)], row[: max(0, len(flat) - n + 1)]
+    whole = start == row[n - 1 :] if len(flat) >= n else np.zeros(0, bool)
+    pairs = np.unique(start[whole] * (int(gram.max(initial=0)) + 1) + gram[whole])
+    rows, grams = np.divmod(pairs, int(gram.max(initial=0)) + 1)
+    short: dict[tuple, int] = {}
+    few = [(r, short.setdefault(tuple(ws), len(short))) for r, ws in enumerate(words) if 0 < len(ws) < n]
+    if few:
+        base = int(gram.max(initial=0)) + 1
+        rows = np.append(rows, [r for r, _ in few])
+        grams = np.append(grams, [base + g for _, g in few])
+    return rows.astype(np.int64), grams.astype(np.int64)
 
 
 def _verify(tids: list[bytes], texts: list[str], side: np.ndarray | None, n: int, threshold: float) -> list[tuple[bytes, int, bytes]]:
     """(tid, links, least tid it is tied to) of the texts with a link; side splits a pair of blocks."""
-    sets = []
-    ids: dict[str, int] = {}
-    for text in texts:
-        w = _FIND(text)
-        if len(w) < n:
-            grams = {" ".join(w)} if w else set()
-        else:
-            grams = set(map(" ".join, zip(*(w[k:] for k in range(n)), strict=False)))
-        sets.append(np.fromiter({ids.setdefault(g, len(ids)) for g in grams}, np.int64, len(grams)))
-    sizes = np.array([len(s) for s in sets], float)
-    often = np.bincount(np.concatenate(sets), minlength=len(ids)) > 1
-    place = np.cumsum(often) - 1
-    own = [np.sort(place[s[often[s]]]) for s in sets]
-    total = int(often.sum())
-    common = np.zeros((len(sets), len(sets)), np.float32)
-    for at in range(0, total, 4096):
-        wide = np.zeros((len(sets), min(4096, total - at)), np.float32)
-        for r, s in enumerate(own):
-            lo, hi = np.searchsorted(s, (at, at + 4096))
-            wide[r, s[lo:hi] - at] = 1
+    rows, grams = gram_sets(texts, n)
+    count = len(texts)
+    sizes = np.bincount(rows, minlength=count).astype(float)
+    often = np.bincount(grams, minlength=1) > 1
+    place, shared = np.cumsum(often) - 1, often[grams] if len(grams) else np.zeros(0, bool)
+    order = np.argsort(place[grams[shared]], kind="stable")
+    row, col = rows[shared][order], place[grams[shared]][order]
+    common = np.zeros((count, count), np.float32)
+    for at in range(0, int(often.sum()), 4096):
+        lo, hi = np.searchsorted(col, (at, at + 4096))
+        wide = np.zeros((count, 4096), np.float32)
+        wide[row[lo:hi], col[lo:hi] - at] = 1
         common += wide @ wide.T
     either = sizes[:, None] + sizes[None, :] - common
     link = (common >= threshold * either - 1e-9) & (common > 0)
     np.fill_diagonal(link, False)
     if side is not None:
         link &= side[:, None] != side[None, :]
-    root = np.arange(len(sets))
+    root = np.arange(count)
     while True:  # least row index of each connected part
-        new = np.minimum(root, np.where(link, root[None, :], len(sets)).min(1, initial=len(sets)))
+        new = np.minimum(root, np.where(link, root[None, :], count).min(1, initial=count))
         new = np.minimum(new, new[new])
         if (new == root).all():
             break
@@ -144,14 +160,33 @@ def _verify(tids: list[bytes], texts: list[str], side: np.ndarray | None, n: int
     return [(tids[r], int(links[r]), tids[root[r]]) for r in np.flatnonzero(links)]
 
 
-def similarity_classes(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.9999, block: int = 256) -> DataFrame:
+def _from_pivot(large: DataFrame, n: int) -> DataFrame:
+    """(tid, root, away): the Jaccard distance of every member of large (tid, root, text) from its component's root."""
+    pivots = large.filter("tid = root").select("root", F.col("text").alias("pivot"))
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            away = []
+            for pivot, part in batch.groupby("pivot", sort=False):
+                rows, grams = gram_sets([pivot, *part["text"]], n)
+                mine = np.zeros(int(grams.max(initial=0)) + 1, bool)
+                mine[grams[rows == 0]] = True
+                sizes = np.bincount(rows, minlength=len(part) + 1)
+                common = np.bincount(rows[mine[grams]], minlength=len(part) + 1)
+                away.append(pd.Series(1 - common[1:] / np.maximum(sizes[0] + sizes[1:] - common[1:], 1), index=part.index))
+            yield batch[["tid", "root"]].assign(away=pd.concat(away) if away else pd.Series(dtype=float))
+
+    return large.select("tid", "root", "text").join(pivots, "root").mapInPandas(compare, "tid binary, root binary, away double")
+
+
+def similarity_classes(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.9999, block: int = 256, block_chars: int = 4_000_000) -> DataFrame:
     """(doc_id, tid, text_id, class_id, n_links) of every row.
 
     text_id is the least doc_id with the same text. n_links counts the other texts whose shingle sets have a Jaccard
     similarity of threshold or more. class_id is the least doc_id that such links, in any number of steps, and equal
-    texts lead to. A null text, and a text without words other than its equal copies, has no links; a null text is
-    its own class. Rows that repeat a doc_id are kept; a text that only rows with a null doc_id have is compared with
-    none; an empty table gives an empty result.
+    texts lead to; it is null where all of these are. A null text, and a text without words other than its equal copies,
+    has no links; a null text is its own class. Rows that repeat a doc_id are kept, each with its own text's class; an
+    empty table gives an empty result; a text of any length is compared whole; other columns are left out.
     """
     bands, rows = choose_bands(threshold, recall)
     signed = cut(signatures(docs, n, bands, rows), "bands")
@@ -160,36 +195,55 @@ def similarity_classes(docs: DataFrame, n: int = 5, threshold: float = 0.8, reca
     hubs = spots.groupBy("spot").agg(F.min("tid").alias("hub"), F.count(F.lit(1)).alias("held")).filter("held > 1").select("spot", "hub")
     ties = spots.join(hubs, "spot").filter("tid != hub").select(F.col("tid").alias("u"), F.col("hub").alias("v"))
     parts = connected_components(ties, "candidates")
-    sizes = parts.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("blocks"))
-    members = cut(parts.join(sizes, "root").select(F.col("node").alias("tid"), "root", "blocks"), "members")
-    bundles = max(1, members.count() // 1000)
-    whole = docs.select("doc_id", "text").join(texts.select("tid", "text_id").join(members, "tid").hint("shuffle_hash"), F.col("doc_id") == F.col("text_id"))
-    # a repeated doc_id may bring another text along: only the text whose hash is tid counts, and once
-    own = F.pmod(F.xxhash64("tid"), F.col("blocks"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = whole.select("tid", "text", "root", "blocks", own.cast("int").alias("own"), other.alias("other"))
+    members = texts.select("tid", "text_id").join(parts.select(F.col("node").alias("tid"), "root"), "tid")
+    held = docs.filter("text is not null").select("doc_id", _tid().alias("tid"), "text")
+    members = members.select(F.col("tid").alias("_tid"), "text_id", "root").hint("shuffle_hash")
+    whole = held.join(members, (F.col("tid") == F.col("_tid")) & F.col("doc_id").eqNullSafe(F.col("text_id"))).select("tid", "root", "text").dropDuplicates(["tid"])
+    whole = cut(whole, "members")
+    chars = F.sum(F.length("text").cast("long"))
+    sizes = whole.groupBy("root").agg(F.ceil(F.greatest(F.count(F.lit(1)) / F.lit(block), chars / F.lit(block_chars))).cast("int").alias("blocks"))
+    bundles = max(1, -(-(whole.agg(chars).first()[0] or 0) // block_chars))
+    sized = whole.join(sizes, "root")
+    small = sized.filter("blocks = 1").select("tid", "text", "root", F.lit(0).alias("side"), F.lit(False).alias("split"), F.pmod(F.xxhash64("root"), F.lit(bundles)).alias("_key"), F.xxhash64("root").alias("_part"))
+    large = cut(_from_pivot(sized.filter("blocks > 1"), n), "pivots")
+    half = (1 - threshold) / 2 - 1e-9
+    near = F.col("away") <= half
+    counts = large.groupBy("root").agg(F.count_if(near).alias("close"))
+    # close members are linked with each other: so many links, and the pivot ties them
+    sure = large.filter(near).join(counts, "root").filter("close > 1").select("tid", (F.col("close") - 1).alias("links"), F.col("root").alias("least"), F.lit(True).alias("split"))
+    dealt, big = small, sized.filter("blocks > 1").join(large.select("tid", "away"), "tid")
+    share = F.ceil(F.greatest(F.count(F.lit(1)) / F.lit(block), chars / F.lit(block_chars))).cast("int")
+    far_blocks = big.filter(~near).groupBy("root").agg(share.alias("far"))
+    close_blocks = big.filter(near).groupBy("root").agg(share.alias("near"))
+    own = lambda blocks: F.pmod(F.xxhash64("tid"), F.col(blocks)).cast("int")
+    every = lambda blocks: F.explode(F.sequence(F.lit(0), F.col(blocks) - 1))
+    columns = ["tid", "text", "root", "side", "split", "_key", "_part"]
+    spread = lambda df, side, key: df.select("tid", "text", "root", side.alias("side"), F.lit(True).alias("split"), key.alias("_key"), key.alias("_part")).select(columns)
+    far = big.filter(~near).join(far_blocks, "root").select("tid", "text", "root", "away", "far", own("far").alias("own"))
+    met = far.select("*", every("far").alias("other"))
     low, high = F.least("own", "other"), F.greatest("own", "other")
-    key = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("root"), F.lit(bundles))).otherwise(F.xxhash64("root", low, high))
-    dealt = dealt.select("tid", "text", "root", "own", (F.col("blocks") > 1).alias("split"), low.alias("low"), high.alias("high"), key.alias("_key"))
+    dealt = dealt.unionByName(spread(met, F.when(low == high, 0).when(F.col("own") == low, 1).otherwise(2), F.xxhash64(F.lit("far"), "root", low, high)))
+    # a far member can be linked to a close one only within the allowed distance and half of it of the pivot
+    edge = far.filter(F.col("away") <= (1 - threshold) + half + 2e-9).join(close_blocks, "root").select("*", every("near").alias("other"))
+    close = big.filter(near).join(close_blocks, "root").join(far_blocks, "root").select("*", own("near").alias("own"), every("far").alias("other"))
+    dealt = dealt.unionByName(spread(edge, F.lit(1), F.xxhash64(F.lit("edge"), "root", "own", "other")))
+    dealt = dealt.unionByName(spread(close, F.lit(2), F.xxhash64(F.lit("edge"), "root", "other", "own")))
 
     def verify(group: pd.DataFrame) -> pd.DataFrame:
-        import xxhash
-
         out: list[tuple] = []
-        group = group[[xxhash.xxh3_128_digest(t.encode("utf-8", "surrogatepass")) == i for t, i in zip(group["text"], group["tid"], strict=True)]]
-        group = group.drop_duplicates(["tid", "low", "high"]).sort_values("tid")
-        for (_, low, high), part in group.groupby(["root", "low", "high"]):
-            if len(part) > 1:
-                side = (part["own"] == low).to_numpy() if low != high else None
-                out += [(*x, bool(part["split"].iat[0])) for x in _verify(part["tid"].tolist(), part["text"].tolist(), side, n, threshold)]
+        for _, part in group.sort_values("tid").groupby(["root", "_part"]):
+            side = part["side"].to_numpy()
+            if len(part) > 1 and (not side.any() or len(set(side)) > 1):
+                out += [(*x, bool(part["split"].iat[0])) for x in _verify(part["tid"].tolist(), part["text"].tolist(), side if side.any() else None, n, threshold)]
         return pd.DataFrame(out, columns=["tid", "links", "least", "split"])
 
-    found = cut(dealt.groupBy("_key").applyInPandas(verify, "tid binary, links long, least binary, split boolean"), "links")
+    found = cut(dealt.groupBy("_key").applyInPandas(verify, "tid binary, links long, least binary, split boolean").unionByName(sure), "links")
     joined = connected_components(found.filter("split").select(F.col("tid").alias("u"), F.col("least").alias("v")), "classes").withColumnsRenamed({"node": "tid"})
-    counts = found.groupBy("tid").agg(F.sum("links").alias("n_links"), F.min(F.when(~F.col("split"), F.col("least"))).alias("least"))
-    rooted = texts.select("tid", "text_id").join(counts, "tid", "left").join(joined, "tid", "left")
+    counted = found.groupBy("tid").agg(F.sum("links").alias("n_links"), F.min(F.when(~F.col("split"), F.col("least"))).alias("least"))
+    rooted = texts.select("tid", "text_id").join(counted, "tid", "left").join(joined, "tid", "left")
     rooted = rooted.select("tid", "text_id", F.coalesce("root", "least", "tid").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     rooted = cut(rooted, "roots")
+    discard(spots, whole, large, found)
     classes = rooted.groupBy("root").agg(F.min("text_id").alias("class_id"))
     known = rooted.join(classes, "root").select("tid", "text_id", "class_id", "n_links")
     mine = signed.select("doc_id", "tid").join(known, "tid", "left")
@@ -205,10 +259,11 @@ def keep_one(docs: DataFrame, **params) -> DataFrame:
     """The rows of docs that stand for their class: those whose doc_id is the class's least, and rows with a null doc_id.
 
     Rows that repeat both doc_id and text stay once; rows of one doc_id with different texts all stay if it is kept.
+    Null ids have no order, so none of their rows goes.
     """
-    own = cut(similarity_classes(docs, **params).filter("doc_id = class_id or doc_id is null").select(F.col("doc_id").alias("_sw_id")), "kept")
-    held = docs.join(own.distinct().hint("shuffle_hash"), docs["doc_id"].eqNullSafe(F.col("_sw_id")), "left_semi").select(docs.columns)
-    again = own.filter("_sw_id is not null").groupBy("_sw_id").count().filter("count > 1")
-    if again.isEmpty():
-        return held
-    return held.filter("doc_id is not null").dropDuplicates(["doc_id", "text"]).unionByName(held.filter("doc_id is null"))
+    own = cut(similarity_classes(docs, **params).filter("doc_id = class_id").select(F.col("doc_id").alias("_sw_id")), "kept")
+    # rows with a null id stay, whatever their number, and meet no key
+    held = docs.filter("doc_id is not null").join(own.distinct().hint("shuffle_hash"), F.col("doc_id") == F.col("_sw_id"), "left_semi").select(docs.columns)
+    again = own.groupBy("_sw_id").count().filter("count > 1")
+    held = held if again.isEmpty() else held.dropDuplicates(["doc_id", "text"])
+    return held.unionByName(docs.filter("doc_id is null"))

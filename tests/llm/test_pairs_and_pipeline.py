@@ -84,6 +84,37 @@ def test_ngram_join_in_blocks(spark):
     check(spark, near_copies(2, 3, 40), block=8)
 
 
+def test_ngram_join_around_pivots(spark):
+    """Close copies, copies further off and a second family in one component."""
+    rng = random.Random(5)
+    base = [f"w{k}" for k in range(200)]
+    texts = []
+    for k in range(60):
+        w = list(base)
+        for _ in range(rng.choice([0, 1, 1, 2, 3, 5, 7, 9])):
+            w[rng.randrange(len(w))] = f"e{rng.randrange(10**6)}"
+        texts.append(" ".join(w + [f"end{k}"]))
+    check(spark, texts, block=8)
+    check(spark, texts[:30], block=8, block_chars=3000)
+
+
+def test_gram_sets():
+    texts = ["a b c d e f", "", "a b", "b c d e f a b", "a b", "x " * 9]
+    rows, found = ngram_join.gram_sets(texts, 5)
+    for i, a in enumerate(texts):
+        for j, b in enumerate(texts):
+            assert len(set(found[rows == i]) & set(found[rows == j])) == len(grams(a) & grams(b))
+
+
+def test_ngram_join_null_ids(spark):
+    words = [f"w{k}" for k in range(60)]
+    a, b = " ".join(words), " ".join(words + ["end"])
+    d = spark.createDataFrame([(None, a, 1), (7, b, 2), (None, a, 3), (5, "alone here", 4), (5, b, 5)], "doc_id long, text string, root long")
+    got = sorted(((r["doc_id"], r["class_id"], r["n_links"]) for r in ngram_join.report(d).collect()), key=repr)
+    assert got == sorted([(None, 5, 1), (None, 5, 1), (7, 5, 1), (5, 5, 0), (5, 5, 1)], key=repr)
+    assert ngram_join.keep_one(d).columns == d.columns and ngram_join.keep_one(d).filter("doc_id is null").count() == 2
+
+
 def test_ngram_join_on_table(spark):
     check(spark, [r["text"] for r in table(spark, SF, "documents").orderBy("doc_id").collect()])
 
