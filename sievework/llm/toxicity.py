@@ -1,11 +1,14 @@
 """Toxicity by maximum-scoring segments.
 
 Token scores are log-odds between toxic and other labelled texts under an informative Dirichlet prior (the pooled word
-shares), over the distinct words of distinct texts, so that copies don't count; words and five-letter stems that stand out (root of the likelihood ratio ``z_least`` or more, ``count_least`` texts) keep their score, any other
-token costs ``step``. A linear scan finds every maximal segment with a positive sum. Segment scores of ordinary text
-follow an extreme-value law: lambda solves sum p exp(lambda s) = 1 over the shares p of ordinary tokens, and a text of n
-tokens reaches S by chance with probability 1 - exp(-K n exp(-lambda S)). Segments with a chance below ``chance`` are
-its toxic passages. The score is a logistic curve of the evidence -log10 of the text's chance, fitted on the sample.
+shares), over the distinct words of distinct texts, so that copies don't count. Every word and five-letter stem has one,
+positive or negative, times 1 - shrink^2 / G, where G is the likelihood ratio of its counts (so that what may be chance
+scores 0); all tokens that score 0 share the log-odds of their class as a cost, ``step`` at least. A linear scan finds every maximal segment with a positive sum.
+Segment scores of ordinary text follow an extreme-value law: lambda solves sum p exp(lambda s) = 1 over the shares p of
+ordinary tokens, and a text of n tokens reaches S by chance with probability 1 - exp(-K n exp(-lambda S)), with K by
+maximum likelihood on texts that aren't toxic. The segments of a text are combined by the sum law of the same theory:
+the evidence is -log10 of the least chance of its r best segments together. The score is a logistic curve of the evidence.
+K and the curve are fitted on folds of the sample whose word scores come from the other folds.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, hashed_sample
+from .common import cut, discard, hashed_sample
 
 _TOKENS = re.compile(r"[^\W\d_]+")
 STEM = 5
@@ -34,7 +37,7 @@ def _features(text: str) -> set[str]:
 
 @dataclass(frozen=True)
 class Model:
-    """scores: log-odds of the words and stems kept; step: cost of any other token; lam, k: extreme-value law; a, b: the curve."""
+    """scores: log-odds of words and stems; step: cost of any other token; lam, k: extreme-value law; a, b: the curve."""
 
     scores: dict[str, float]
     step: float = 0.05
@@ -93,27 +96,40 @@ def segments(values: list[tuple[int, float]], n: int, step: float) -> list[tuple
     return [(f, e, high - low) for f, e, low, high in kept]
 
 
-def evidence(model: Model, score: float, n: int) -> float:
-    """-log10 of the chance that ordinary text of n tokens has a segment of that score (0 to 300)."""
-    if score <= 0 or n == 0:
-        return 0.0
-    e = model.k * n * math.exp(-min(model.lam * score, 700))
-    p = -math.expm1(-e)
-    return min(300.0, -math.log10(p)) if p > 0 else 300.0
+def evidence(model: Model, scores: list[float], n: int, most: int = 8) -> float:
+    """-log10 (0 to 300) of the least chance, over r, that ordinary text of n tokens has r segments with these sums."""
+    best, total = 0.0, 0.0
+    for r, score in enumerate(sorted((s for s in scores if s > 0), reverse=True)[:most], 1):
+        if n == 0:
+            break
+        one = min(model.lam * score, 700) - math.log(max(model.k * n, 1e-300))
+        total += one
+        if r == 1:
+            p = -math.expm1(-math.exp(-max(-700.0, one)) if one > -700 else -700)
+            best = -math.log10(p) if p > 0 else 300.0
+        elif one <= 0:
+            break
+        elif total > r - 1:  # chance of a sum of r normalised scores, times 2^r for the choice of r
+            best = max(best, (total - (r - 1) * math.log(total) + math.lgamma(r + 1) + math.lgamma(r)) / math.log(10) - r * math.log10(2))
+    return min(300.0, max(0.0, best))
+
+
+def raw_segments(model: Model, text: str) -> tuple[int, list[tuple[int, int, float]]]:
+    """(tokens, maximal segments with their sums) of a text."""
+    tokens = _TOKENS.findall(text.lower())
+    hits = [(i, s) for i, s in enumerate(map(model.known.__getitem__, tokens)) if s]
+    return len(tokens), segments(hits, len(tokens), model.step)
 
 
 def scan(model: Model, text: str) -> tuple[float, list[tuple[int, int, float]]]:
-    """(evidence of the best segment, segments in code points with their evidence)."""
-    tokens = _TOKENS.findall(text.lower())
-    hits = [(i, s) for i, s in enumerate(map(model.known.__getitem__, tokens)) if s]
-    found = segments(hits, len(tokens), model.step)
+    """(evidence of the text, segments in code points with the evidence of each alone)."""
+    n, found = raw_segments(model, text)
     if not found:
         return 0.0, []
-    scored = [(f, e, evidence(model, s, len(tokens))) for f, e, s in found]
     places = [m.span() for m in _TOKENS.finditer(text)]
-    if len(places) != len(tokens):  # a lower-case form of another length
-        places = [(0, len(text))] * len(tokens)
-    return max(s for *_, s in scored), [(places[f][0], places[e - 1][1], s) for f, e, s in scored]
+    if len(places) != n:  # a lower-case form of another length
+        places = [(0, len(text))] * n
+    return evidence(model, [s for *_, s in found], n), [(places[f][0], places[e - 1][1], evidence(model, [s], n)) for f, e, s in found]
 
 
 def _rate(spread: np.ndarray, share: np.ndarray) -> float:
@@ -130,72 +146,100 @@ def _rate(spread: np.ndarray, share: np.ndarray) -> float:
     return high
 
 
-def fit(docs: DataFrame, labels: DataFrame, at_most: int = 30_000, prior: float = 300.0, z_least: float = 5.0, count_least: int = 4, odds_least: float = 1.5, max_terms: int = 20_000) -> Model:
+def _scored(counted: pd.DataFrame, n0: float, n1: float, prior: float, shrink: float) -> tuple[pd.Series, float, float]:
+    """(shrunk log-odds that aren't 0 by term, cost of other tokens, lambda) from texts with a term, other (n0) and toxic (n1)."""
+    own = (counted["n0"] + counted["n1"]) * (prior / (n0 + n1))
+    y0, y1 = counted["n0"] + own, counted["n1"] + own
+    odds = np.log(y1 / (n1 + prior - y1)) - np.log(y0 / (n0 + prior - y0))
+    both = counted["n0"] + counted["n1"]
+    part = lambda c, n: np.where(c > 0, c * np.log(np.maximum(c, 1e-300) * (n0 + n1) / (both * n)), 0.0)
+    ratio = np.maximum(2 * (part(counted["n0"], n0) + part(counted["n1"], n1)), 0)
+    held = odds * np.maximum(1 - shrink**2 / np.maximum(ratio, 1e-12), 0)
+    kept = held[held != 0]
+    rest1, rest0 = n1 - counted["n1"][kept.index].sum(), n0 - counted["n0"][kept.index].sum()
+    step = max(0.05, -math.log(max(rest1, 1) / n1) + math.log(max(rest0, 1) / n0))
+    share = (counted["n0"][kept.index] + 0.5) / n0
+    spread = np.append(kept.to_numpy(), -step)
+    return kept, step, _rate(spread, np.append(share.to_numpy(), max(0.0, 1 - share.sum())))
+
+
+def fit(docs: DataFrame, labels: DataFrame, at_most: int = 30_000, prior: float = 300.0, shrink: float = 4.0, count_least: int = 4, folds: int = 4) -> Model:
     """Model from about at_most labelled documents (documented bound; rows chosen by hash of doc_id).
 
-    Rows without a label, text or doc_id are left out, and a document labelled twice counts for its largest label.
-    With no labels, or of one kind only, no word is kept and every score is low. At most max_terms words, those of the
-    largest ratio, are kept.
+    So at_most bounds the terms and the rows that come to the driver, too. Terms of fewer than count_least texts score 0.
+    Rows without a label, text or doc_id are left out, and a document labelled twice counts for its largest label; of
+    documents with equal texts one counts. With no labels, or of one kind only, no word has a score and every score is low.
     """
     marks = hashed_sample(labels.filter("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")), "doc_id", at_most)
-    sample = docs.filter("text is not null").select("doc_id", "text").join(marks.hint("shuffle_hash"), "doc_id").dropDuplicates(["text"]).select("text", "toxic")
+    sample = docs.filter("text is not null").select("doc_id", "text").join(marks.hint("shuffle_hash"), "doc_id")
+    sample = sample.groupBy("text").agg(F.max("toxic").alias("toxic")).select("text", "toxic", F.pmod(F.xxhash64("text"), F.lit(folds)).cast("int").alias("fold"))
     sample = cut(sample, "toxicity-sample")
 
     def tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts: dict[str, list[int]] = {}
         for batch in batches:
-            for text, toxic in zip(batch["text"], batch["toxic"], strict=True):
+            for text, toxic, fold in zip(batch["text"], batch["toxic"], batch["fold"], strict=True):
                 for t in _features(text):
-                    counts.setdefault(t, [0, 0])[toxic > 0] += 1
-        yield pd.DataFrame([(t, *c) for t, c in counts.items()], columns=["t", "n0", "n1"])
-
-    counted = sample.mapInPandas(tokens, "t string, n0 long, n1 long").groupBy("t").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).persist()
-    n0, n1 = counted.agg(F.sum("n0"), F.sum("n1")).first()
-    if not n0 or not n1:
-        counted.unpersist()
-        return Model({})
-    own = (F.col("n0") + F.col("n1")) * (prior / (n0 + n1))
-    y0, y1 = F.col("n0") + own, F.col("n1") + own
-    odds = F.log(y1 / (n1 + prior - y1)) - F.log(y0 / (n0 + prior - y0))
-    both = F.col("n0") + F.col("n1")
-    fit_of = lambda c, n: F.when(F.col(c) > 0, F.col(c) * F.log(F.col(c) * float(n0 + n1) / (both * float(n)))).otherwise(0.0)
-    z = F.sqrt(F.greatest(2 * (fit_of("n0", n0) + fit_of("n1", n1)), F.lit(0.0)))
-    strong = counted.select("t", "n0", "n1", odds.alias("odds"), z.alias("z")).filter((F.col("z") >= z_least) & (F.col("n1") >= count_least) & (F.col("odds") >= odds_least))
-    kept = strong.orderBy(F.desc("z"), "t").limit(max_terms).collect()
-    counted.unpersist()
-    if not kept:
+                    counts.setdefault(t, [0] * (2 * folds))[2 * fold + (toxic > 0)] += 1
+        yield pd.DataFrame([(t, c) for t, c in counts.items()], columns=["t", "c"])
+
+    parts = sample.mapInPandas(tokens, "t string, c array<long>").select("t", *[F.col("c")[k].alias(f"c{k}") for k in range(2 * folds)])
+    sums = parts.groupBy("t").agg(*[F.sum(f"c{k}").alias(f"c{k}") for k in range(2 * folds)])
+    counted = cut(sums, "toxicity-terms")
+    totals = np.array(counted.agg(*[F.sum(f"c{k}") for k in range(2 * folds)]).first(), float).reshape(folds, 2) if not counted.isEmpty() else np.zeros((folds, 2))
+    if not totals[:, 0].sum() or not totals[:, 1].sum():
+        discard(sample, counted)
         return Model({})
-    scores = {r["t"]: r["odds"] for r in kept}
-    step = 0.05
-    share = np.array([(r["n0"] + 0.5) / n0 for r in kept])
-    spread = np.array([r["odds"] for r in kept] + [-step])
-    model = Model(scores, step, _rate(spread, np.append(share, max(0.0, 1 - share.sum()))))
+    rows = counted.filter("+".join(f"c{k}" for k in range(2 * folds)) + f" >= {count_least}").toPandas().set_index("t")  # bounded by the sample
+    by_fold = rows.to_numpy(float).reshape(len(rows), folds, 2)
 
-    def rate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame({"x": [scan(model, t)[0] for t in batch["text"]], "y": (batch["toxic"] > 0).astype(float)})
-
-    binned = sample.mapInPandas(rate, "x double, y double").groupBy(F.round(F.least("x", F.lit(60.0)), 1).alias("x"), "y").count().collect()  # 1202 rows at most
-    x, y, w = (np.array([r[k] for r in binned], float) for k in ("x", "y", "count"))
-    return Model(scores, step, model.lam, model.k, *_curve(x, y, w))
+    def model_without(fold: int | None) -> Model:
+        use = [f for f in range(folds) if f != fold]
+        if fold is not None and not totals[use].sum(0).all():
+            use = list(range(folds))
+        c = pd.DataFrame(by_fold[:, use].sum(1), index=rows.index, columns=["n0", "n1"])
+        kept, step, lam = _scored(c[c.sum(1) > 0], *totals[use].sum(0), prior, shrink)
+        return Model(kept.to_dict(), step, lam)
 
+    final, others = model_without(None), [model_without(f) for f in range(folds)]
 
-def _curve(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, float]:
-    """(a, b) of the logistic curve 1 / (1 + exp(-(a x + b))) through weighted points: the cut with the fewest errors, softened."""
-    best, cut = np.inf, 1.0
-    for c in np.unique(x):
-        wrong = w[(x >= c) & (y == 0)].sum() + w[(x < c) & (y == 1)].sum()
-        if wrong < best and c > 0:
-            best, cut = wrong, c
-    below = x[x < cut].max(initial=0.0)
-    middle = (cut + below) / 2
-    return 1.0, -middle
+    def rate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for text, toxic, fold in zip(batch["text"], batch["toxic"], batch["fold"], strict=True):
+                n, found = raw_segments(others[fold], text)
+                out.append((float(toxic > 0), fold, n, sorted((s for *_, s in found), reverse=True)[:8]))
+            yield pd.DataFrame(out, columns=["y", "fold", "n", "sums"])
+
+    seen = sample.mapInPandas(rate, "y double, fold int, n long, sums array<double>").orderBy("y", "fold", "n", "sums").collect()  # at_most rows
+    discard(sample, counted)
+    if not final.scores:
+        return Model({})
+    law = [(len(r["sums"]) > 0, r["n"] * math.exp(-others[r["fold"]].lam * (r["sums"][0] if r["sums"] else 0.0))) for r in seen if not r["y"] and r["n"]]
+    k = max(sum(hit for hit, _ in law), 0.5) / max(sum(x for _, x in law), 1e-9)
+    held = [Model({}, m.step, m.lam, k) for m in others]
+    x = np.array([evidence(held[r["fold"]], list(r["sums"]), r["n"]) for r in seen])
+    return Model(final.scores, final.step, final.lam, k, *_curve(x, np.array([r["y"] for r in seen])))
+
+
+def _curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """(a, b), a > 0, of the logistic curve 1 / (1 + exp(-(a x + b))) of most likelihood, with a small ridge; x counts up to 30."""
+    z = np.stack([np.minimum(x, 30.0), np.ones_like(x)], 1)
+    w = np.array([0.5, -2.0])
+    for _ in range(60):
+        p = 1 / (1 + np.exp(-np.clip(z @ w, -40, 40)))
+        slope = z.T @ (p - y) + 1e-2 * w
+        bend = (z * (p * (1 - p))[:, None]).T @ z + 1e-2 * np.eye(2)
+        move = np.linalg.solve(bend, slope)
+        w = w - move * min(1.0, 2.0 / max(np.abs(move).max(), 1e-12))
+    return max(float(w[0]), 1e-3), float(w[1])
 
 
 def classify(docs: DataFrame, model: Model, held_out: Column, chance: float = 1e-3) -> DataFrame:
     """(doc_id, held_out, score, predicted, passages) of every row; passages are start:end of those significant.
 
-    Null and empty texts have no evidence and so the lowest score. Null doc_ids and repeated rows are kept.
+    Null and empty texts have no evidence and so the lowest score. Null doc_ids and repeated rows are kept; an empty
+    table gives no rows; a text of any length is scanned whole; other columns are left out.
     """
     least = -math.log10(chance)
 

@@ -336,6 +336,40 @@ def test_segments(values):
     assert all(abs(sum(values[a:b]) - s) < 1e-6 for a, b, s in got)
 
 
+def test_toxicity_scores_same_as_plain(spark):
+    from math import log
+
+    base = "the a of many plain good words stand here and there in every text of it".split()
+    texts = [" ".join(base[k % 5 :] + [f"own{chr(97 + k % 26)}"] + (["vilest", "slurring"] if k % 4 == 0 else ["kindly"])) for k in range(240)]
+    d = docs(spark, texts + texts[:20])
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(240)] + [(None, 1), (3, None)], "doc_id long, toxic int")
+    n = {0: Counter(), 1: Counter()}
+    for t in dict.fromkeys(texts):
+        words = set(t.split())
+        n[int("vilest" in words)].update(words | {w[:5] + "*" for w in words if len(w) > 5})
+    n0, n1 = sum(n[0].values()), sum(n[1].values())
+    want = {}
+    for t in n[0] | n[1]:
+        c0, c1 = n[0][t], n[1][t]
+        y0, y1 = (c + (c0 + c1) * 300 / (n0 + n1) for c in (c0, c1))
+        g = 2 * sum(c * log(c * (n0 + n1) / ((c0 + c1) * m)) for c, m in ((c0, n0), (c1, n1)) if c)
+        score = (log(y1 / (n1 + 300 - y1)) - log(y0 / (n0 + 300 - y0))) * max(0, 1 - 16 / g if g > 0 else 0)
+        if c0 + c1 >= 4 and score:
+            want[t] = score
+    model = toxicity.fit(d, labels)
+    assert want["kindl*"] < 0 < want["vilest"] and model.scores.keys() == want.keys() and all(abs(model.scores[t] - want[t]) < 1e-9 for t in want)
+
+
+def test_evidence():
+    import math
+
+    m = toxicity.Model({}, lam=0.9, k=0.01)
+    assert toxicity.evidence(m, [], 50) == 0 and toxicity.evidence(m, [5.0], 0) == 0
+    assert abs(toxicity.evidence(m, [9.0], 50) + math.log10(1 - math.exp(-0.5 * math.exp(-8.1)))) < 1e-9
+    assert toxicity.evidence(m, [9.0, 8.0], 50) > toxicity.evidence(m, [9.0], 50) >= toxicity.evidence(m, [9.0, 0.1], 50) - 1e-9
+    assert toxicity.evidence(m, [9.0], 50) > toxicity.evidence(m, [9.0], 5000) and toxicity.evidence(m, [9e9] * 9, 50) == 300
+
+
 def test_toxicity_held_out(spark):
     d, x = table(spark, "/root/testdata/sf0.1", "documents"), table(spark, "/root/testdata/sf0.1", "labels")
     model = toxicity.fit(d, x.filter(fold("doc_id", 5) != 0))
