@@ -1,9 +1,12 @@
 """Quality rules: counts over words and lines, and Jensen-Shannon distance to language references.
 
-References come from the whole table: for each language the histogram of character classes and of common words (lower
-case, at most five letters, with a share of at least 1 in 500 of the language's short words, so 500 a language at
-most). A document of enough words is rejected where the Jensen-Shannon distance (square root of the divergence in
-bits, 0 to 1) of its histogram to its language's reference exceeds a limit. Shorter ones are judged by the rules only.
+References come from the whole table: for each language the histogram of character classes, and that of words in lower
+case: the common ones (a share of at least 1 in 500 of the language's words, so 500 at most) and one bin for all others.
+The distance of a document to its language's reference is the Jensen-Shannon distance (square root of the divergence in
+bits, 0 to 1). What is far follows from the documents themselves: those of one language and one power of two of words
+have a median distance and a median deviation from it, and a document is rejected where its distance exceeds the median
+by ``spread`` robust standard deviations and ``class_ratio`` (``word_ratio``) times. Texts of too few words have no
+distances and are judged by the rules only.
 """
 
 from __future__ import annotations
@@ -17,13 +20,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD
+from .common import WORD, cut, discard
 
 CLASSES = ("lower", "upper", "digit", "blank", "mark", "symbol", "other")
 SYMBOLS = "#*$%&|<>"
 _FIND = re.compile(WORD).findall
-_SHORT = re.compile(r"(?<![^\W\d_])[^\W\d_]{1,5}(?![^\W\d_])").findall
+_LETTERS = re.compile(r"[^\W\d_]+").findall
 MIN_SHARE = 1 / 500
+LANGUAGE_SHARE = 1 / 1000
+HELD_WORDS = 200_000
 
 
 def _class_table() -> np.ndarray:
@@ -100,40 +105,58 @@ def distance(p: np.ndarray, q: np.ndarray) -> float:
 
 
 def references(docs: DataFrame) -> dict[str, tuple[np.ndarray, dict[str, float]]]:
-    """{lang: (class counts, {common word: share of all words})} over all rows; null lang counts as 'und'."""
+    """{lang: (class counts, {common word: count, "": count of all words})} over all rows.
+
+    Languages of at least LANGUAGE_SHARE of the rows have one, 1000 at most; 'und' is that of all rows, for the others.
+    """
 
     def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words: dict[str, Counter] = {}
         classes: dict[str, np.ndarray] = {}
+        rows: Counter = Counter()
+
+        def told() -> pd.DataFrame:
+            out = [(k, 0, CLASSES[c], int(n)) for k, x in classes.items() for c, n in enumerate(x)]
+            out += [(k, 1, w, n) for k, x in words.items() for w, n in x.items()]
+            out += [(k, 2, "", n) for k, n in rows.items()]
+            for held in (words, classes, rows):
+                held.clear()
+            return pd.DataFrame(out, columns=["lang", "kind", "item", "n"])
+
         for batch in batches:
             for lang, text in zip(batch["lang"], batch["text"], strict=True):
-                words.setdefault(lang, Counter()).update(_SHORT(text.lower()))
+                rows[lang] += 1
+                words.setdefault(lang, Counter()).update(_LETTERS(text.lower()))
                 classes[lang] = classes.get(lang, 0) + class_counts(text)
-        rows = [(k, 0, CLASSES[c], int(n)) for k, x in classes.items() for c, n in enumerate(x)]
-        rows += [(k, 1, w, n) for k, x in words.items() for w, n in x.items()]
-        yield pd.DataFrame(rows, columns=["lang", "kind", "item", "n"])
-
-    rows = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
-    counts = rows.mapInPandas(gather, "lang string, kind int, item string, n long").groupBy("lang", "kind", "item").agg(F.sum("n").alias("n")).persist()
-    out = {}
-    for r in counts.groupBy("lang", "kind").agg(F.sum("n").alias("n")).collect():  # two rows a language
-        out.setdefault(r["lang"], (np.zeros(7), {"": 0.0}))[1][""] = float(r["n"]) if r["kind"] else out.get(r["lang"], (0, {"": 0.0}))[1][""]
-    totals = F.create_map(*[x for k, v in out.items() for x in (F.lit(k), F.lit(v[1][""]))]) if out else F.create_map(F.lit(""), F.lit(0.0))
-    common = counts.filter((F.col("kind") == 0) | (F.col("n") >= F.element_at(totals, F.col("lang")) * MIN_SHARE))
-    for r in common.collect():  # 507 rows a language at most
+            if sum(map(len, words.values())) > HELD_WORDS:
+                yield told()
+        yield told()
+
+    given = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
+    counts = given.mapInPandas(gather, "lang string, kind int, item string, n long").groupBy("lang", "kind", "item").agg(F.sum("n").alias("n"))
+    counts = cut(counts, "quality-counts")
+    own = counts.filter("kind = 2").select("lang", F.col("n").alias("rows"))
+    large = own.filter(F.col("rows") >= LANGUAGE_SHARE * F.lit(float(own.agg(F.sum("rows")).first()[0] or 0))).filter("lang != 'und'").select("lang")
+    each = counts.filter("kind < 2").join(large, "lang", "left_semi").unionByName(counts.filter("kind < 2").groupBy("kind", "item").agg(F.sum("n").alias("n")).withColumn("lang", F.lit("und")))
+    total = each.groupBy("lang", "kind").agg(F.sum("n").alias("all"))
+    common = each.join(total, ["lang", "kind"]).filter((F.col("kind") == 0) | (F.col("n") >= F.col("all") * MIN_SHARE))
+    out: dict[str, tuple[np.ndarray, dict[str, float]]] = {}
+    for r in common.orderBy("lang", "kind", "item").collect():  # 507 rows a language at most
+        classes, words = out.setdefault(r["lang"], (np.zeros(7), {"": 0.0}))
         if r["kind"]:
-            out[r["lang"]][1][r["item"]] = float(r["n"])
+            words[r["item"]], words[""] = float(r["n"]), float(r["all"])
         else:
-            out[r["lang"]][0][CLASSES.index(r["item"])] = r["n"]
-    counts.unpersist()
+            classes[CLASSES.index(r["item"])] = r["n"]
+    discard(counts)
     return out
 
 
-def judge(docs: DataFrame, refs: dict | None = None, min_chars_words: int = 50, min_word_words: int = 100, class_limit: float = 0.3, word_limit: float = 0.57) -> DataFrame:
+def judge(docs: DataFrame, refs: dict | None = None, min_chars_words: int = 50, min_word_words: int = 50, spread: float = 4.0, class_ratio: float = 2.0, word_ratio: float = 1.2) -> DataFrame:
     """The columns of query op3, and class_distance and word_distance (null where the text is too short for one).
 
-    Null text has no words and fails; null lang and languages without a reference are compared with 'und', if there is
-    one. Null doc_ids and repeated rows are kept; an empty table gives an empty result.
+    Null text has no words and fails; null lang and languages without a reference are compared with 'und', all rows.
+    Null doc_ids and repeated rows are kept; an empty table gives an empty result; other columns are left out; a text of
+    any length is read whole.
     """
     refs = references(docs) if refs is None else refs
 
@@ -148,22 +171,34 @@ def judge(docs: DataFrame, refs: dict | None = None, min_chars_words: int = 50,
             for text, lang in zip(batch["text"].fillna(""), batch["lang"].fillna("und"), strict=True):
                 n, chars, symbols, dup, repeat = base_counts(text)
                 failed = n < 10 or 100 * repeat > 20 * n
-                ref = known.get(lang, known.get("und"))
+                lang = lang if lang in known else "und"
+                ref = known.get(lang)
                 by_class = by_word = None
                 if ref is not None and n >= min_chars_words:
                     by_class = distance(class_counts(text).astype(float), ref[0])
                 if ref is not None and n >= min_word_words:
-                    found = Counter(_SHORT(text.lower()))
                     mine = np.zeros(len(ref[2]))
-                    for w, k in found.items():
+                    for w, k in Counter(_LETTERS(text.lower())).items():
                         mine[ref[1].get(w, -1)] += k
                     by_word = distance(mine, ref[2])
-                far = (by_class or 0) > class_limit or (by_word or 0) > word_limit
-                rows.append((n, chars, symbols, dup, repeat, failed, not failed and not far, by_class, by_word))
-            out = pd.DataFrame(rows, columns=["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "class_distance", "word_distance"])
-            out[["class_distance", "word_distance"]] = out[["class_distance", "word_distance"]].astype(float)
+                rows.append((n, chars, symbols, dup, repeat, failed, by_class, by_word, lang, n.bit_length()))
+            out = pd.DataFrame(rows, columns=["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "class_distance", "word_distance", "group", "size"])
+            out[["class_distance", "word_distance"]] = out[["class_distance", "word_distance"]].astype(float).round(3)
             out.insert(0, "doc_id", batch["doc_id"].astype("Int64").array)
             yield out
 
-    schema = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, class_distance double, word_distance double"
-    return docs.select("doc_id", "text", "lang").mapInPandas(score, schema)
+    schema = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, class_distance double, word_distance double, group string, size int"
+    scored = docs.select("doc_id", "text", "lang").mapInPandas(score, schema)
+    number = lambda c: F.when(F.isnan(c), None).otherwise(F.col(c)).alias(c)
+    scored = cut(scored.select(*[c for c in scored.columns if "distance" not in c], number("class_distance"), number("word_distance")), "quality-scores")
+    # distances have three decimals, so the exact percentiles keep a thousand counts a group at most
+    sound = scored.filter("not base_failed")
+    middle = sound.groupBy("group", "size").agg(F.percentile("class_distance", 0.5).alias("mc"), F.percentile("word_distance", 0.5).alias("mw"))
+    apart = lambda d, m: F.percentile(F.round(F.abs(F.col(d) - F.col(m)), 4), 0.5)
+    off = sound.join(middle, ["group", "size"]).groupBy("group", "size", "mc", "mw").agg(apart("class_distance", "mc").alias("dc"), apart("word_distance", "mw").alias("dw"))
+    limit = lambda m, d, ratio: F.greatest(F.col(m) + spread * 1.4826 * F.col(d), F.col(m) * ratio)
+    limits = off.select("group", "size", limit("mc", "dc", class_ratio).alias("class_limit"), limit("mw", "dw", word_ratio).alias("word_limit"))
+    far = F.coalesce(F.col("class_distance") > F.col("class_limit"), F.lit(False)) | F.coalesce(F.col("word_distance") > F.col("word_limit"), F.lit(False))
+    # one row a language and size: small, and joined by both
+    judged = scored.join(limits, ["group", "size"], "left").withColumn("kept", ~F.col("base_failed") & ~far)
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "class_distance", "word_distance")
