@@ -2,19 +2,25 @@
 
 Vectors are scaled to one norm by an extra component (which leaves inner products with queries alone), so a graph over
 them serves inner products. Equal vectors are indexed once: each keeps its smallest ids, as many as a query can use.
-Vectors are dealt to shards by hash; each shard's graph is a flat array of neighbours a level. All queries search every
-shard; a task has one shard and a block of queries, so its memory is bounded (a shard with several blocks builds its
-graph for each, less work than the block's searches). The best of each shard meet in a grouped merge, and the scores are computed anew in double precision.
+A vector's shard is that of its nearest centroid (spherical k-means on a bounded sample); centroids with many vectors
+are dealt to several shards by hash, so a shard is bounded. Each graph is built once, in a task of its own, and written to the
+shared folder as flat arrays of neighbours, one row a shard. A query searches the shards of its ``probes`` nearest
+centroids; where probes isn't given, it is the least number that finds ``recall`` of the neighbours of sample queries
+in the sample, up to all of them. A search task has one graph and a block of queries. The best of each shard meet in a
+grouped merge, and the scores are computed anew in double precision.
 """
 
 from __future__ import annotations
 
+import io
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, hashed_sample
 
 SHARD_ROWS = 16_384
 MIN_SHARDS = 8
@@ -35,6 +41,22 @@ class Graph:
         for k in range(len(self.sizes) - 1, -1, -1):
             self._build(k)
 
+    def to_bytes(self, **more: np.ndarray) -> bytes:
+        """The flat arrays of the graph, and others that go with it."""
+        out = io.BytesIO()
+        np.savez(out, x=self.x, order=self.order, sizes=np.array(self.sizes), ef=self.ef, **{f"links{k}": v for k, v in enumerate(self.links)}, **more)
+        return out.getvalue()
+
+    @classmethod
+    def from_bytes(cls, data: bytes) -> tuple[Graph, dict[str, np.ndarray]]:
+        held = dict(np.load(io.BytesIO(data)))
+        made = cls.__new__(cls)
+        made.x, made.order, made.ef = held.pop("x"), held.pop("order"), int(held.pop("ef"))
+        made.sizes = held.pop("sizes").tolist()
+        made.links = [held.pop(f"links{k}") for k in range(len(made.sizes))]
+        made.m = made.links[0].shape[1] // 2 if made.links else 0
+        return made, held
+
     def _build(self, k: int) -> None:
         """Insert the rows of level k in growing batches; a batch searches the graph so far and itself."""
         size, at, links = self.sizes[k], 0, self.links[k]
@@ -163,52 +185,123 @@ def usable(table: DataFrame, vector: str = "embedding") -> DataFrame:
     return rows.select("vec_id", "v", _norm2(v).alias("norm2")).filter("norm2 > 0")
 
 
-def search(table: DataFrame, queries: Column, k: int = 20, m: int = 16, ef_build: int = 64, ef: int = 96, shard_rows: int = SHARD_ROWS, min_shards: int = MIN_SHARDS, query_block: int = 65_536) -> DataFrame:
+def _one_norm(x: np.ndarray, longest: float) -> np.ndarray:
+    """Rows of norm 1: x over the longest norm, and what lacks to it as one component more."""
+    norm2 = (x**2).sum(1)
+    return np.concatenate([x, np.sqrt(np.maximum(longest - norm2, 0))[:, None]], 1) / np.sqrt(longest)
+
+
+def _as_query(x: np.ndarray) -> np.ndarray:
+    return np.concatenate([x / np.sqrt((x**2).sum(1, keepdims=True)), np.zeros((len(x), 1))], 1)
+
+
+def centroids(x: np.ndarray, k: int, rounds: int = 10) -> np.ndarray:
+    """Spherical k-means of unit rows: k unit rows at most."""
+    k = max(1, min(k, len(x)))
+    c = x[np.random.default_rng(4).choice(len(x), k, replace=False)]
+    for _ in range(rounds):
+        near = (x @ c.T).argmax(1)
+        sums = np.zeros_like(c)
+        np.add.at(sums, near, x)
+        size = np.linalg.norm(sums, axis=1, keepdims=True)
+        c = np.where(size > 1e-12, sums / np.maximum(size, 1e-12), c)
+    return c
+
+
+def probes_for(x: np.ndarray, longest: float, c: np.ndarray, recall: float, k: int, queries: int = 200) -> int:
+    """The least number of centroids whose vectors hold recall of the k nearest in x of sample queries from x."""
+    ask = x[np.random.default_rng(5).choice(len(x), min(queries, len(x)), replace=False)]
+    ask = ask[(ask**2).sum(1) > 0]
+    unit = _one_norm(x, longest)
+    q = _as_query(ask)
+    home = (unit @ c.T).argmax(1)
+    near = np.argpartition(-(q @ unit.T), min(k, len(x) - 1), 1)[:, : k + 1]
+    place = np.argsort(np.argsort(-(q @ c.T), 1), 1)  # the how-manieth each centroid is to a query
+    needed = np.take_along_axis(place, home[near], 1)
+    for p in range(1, len(c) + 1):
+        if (needed < p).mean() >= recall:
+            return p
+    return len(c)
+
+
+def search(
+    table: DataFrame, queries: Column, k: int = 20, m: int = 16, ef_build: int = 64, ef: int = 96, shard_rows: int = SHARD_ROWS, min_shards: int = MIN_SHARDS, query_block: int = 65_536,
+    probes: int | None = None, recall: float = 0.98, sample_rows: int = 20_000,
+) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest others found for every row where queries holds.
 
     Rows that don't take part (see usable) neither ask nor answer. Rows with equal vectors are all found, the smaller
-    vec_id first; rows that repeat vec_id and vector count once. Fewer than k others give fewer rows.
+    vec_id first; rows that repeat vec_id and vector count once; of a vec_id with several vectors the least vector (by
+    array order) counts. Fewer than k others give fewer rows; an empty table gives none; other columns are left out.
+    Centroids and probes are fitted on about sample_rows vectors (documented bound), sample_rows / 8 centroids at most.
     """
-    held = cut(usable(table).dropDuplicates(["vec_id", "v"]), "vectors")
+    held = usable(table).groupBy("vec_id").agg(F.min(F.struct("v", "norm2")).alias("x"))
+    held = cut(held.select("vec_id", "x.*"), "vectors")
     # a query can use k copies and itself; more of one vector's ids can't be among its answers
     nth = F.expr("row_number() over (partition by v, norm2 order by vec_id)")
     first = held.select("*", nth.alias("_n")).filter(F.col("_n") <= k + 1)
     distinct = cut(first.groupBy("v", "norm2").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")), "distinct-vectors")
     n, longest = distinct.agg(F.count(F.lit(1)), F.max("norm2")).first()
-    shards = max(min_shards, -(-n // shard_rows))
+    if not n:
+        return held.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    sample = hashed_sample(distinct.select("v"), "v", sample_rows).collect()  # sample_rows vectors
+    x = np.array([r["v"] for r in sample], np.float64)
+    c = centroids(_one_norm(x, longest), min(max(min_shards, -(-n // shard_rows)), max(min_shards, sample_rows // 8)))
+    probes = min(len(c), probes or probes_for(x, longest, c, recall, k))
+
+    def homes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                unit = _one_norm(np.stack(batch["v"].to_numpy()).astype(np.float64), longest)
+                yield batch.assign(home=(unit @ c.T).argmax(1).astype("int32"))
+
+    def routes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                q = _as_query(np.stack(batch["v"].to_numpy()).astype(np.float64))
+                near = np.argsort(-(q @ c.T), 1, kind="stable")[:, :probes].astype("int32")
+                yield batch.assign(homes=list(near))
+
+    kind = distinct.schema["v"].dataType.simpleString()
+    dealt = distinct.mapInPandas(homes, f"v {kind}, norm2 double, ids array<long>, home int")
+    parts = dealt.groupBy("home").agg(F.ceil(F.count(F.lit(1)) / F.lit(shard_rows)).cast("int").alias("parts"))
+    parts = cut(parts, "shards")  # a row a centroid
+    shards = dealt.join(parts, "home").withColumn("part", F.pmod(F.xxhash64("v"), F.col("parts")).cast("int"))
+
+    def build(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.assign(_least=[i[0] for i in group["ids"]]).sort_values("_least")
+        x = np.stack(group["v"].to_numpy()).astype(np.float64)
+        ids = group["ids"].to_numpy()
+        made = Graph(_one_norm(x, longest), m, ef_build).to_bytes(vectors=x, ids=np.concatenate(ids), counts=np.array([len(i) for i in ids]))
+        return pd.DataFrame({"home": group["home"].iloc[:1], "part": group["part"].iloc[:1], "graph": [made]})
+
+    graphs = cut(shards.groupBy("home", "part").applyInPandas(build, "home int, part int, graph binary"), "graphs")
     asks = held.filter(queries).select(F.col("vec_id").alias("query_id"), "v")
-    blocks = max(1, -(-asks.count() // query_block))
-    shard, block = F.pmod(F.xxhash64("v"), F.lit(shards)).cast("int"), F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")
-    every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
-    none = lambda kind, name: F.lit(None).cast(kind).alias(name)
-    base = distinct.select(shard.alias("shard"), every(blocks).alias("block"), "v", "norm2", "ids", none("long", "query_id"))
-    to_all = asks.select(every(shards).alias("shard"), block.alias("block"), "v", none("double", "norm2"), none("array<long>", "ids"), "query_id")
-
-    def shard_search(group: pd.DataFrame) -> pd.DataFrame:
-        base = group[group["query_id"].isna()]
-        ask = group[group["query_id"].notna()]
+    blocks = max(1, -(-asks.count() * probes // (len(c) * query_block)))
+    to = asks.mapInPandas(routes, f"query_id long, v {kind}, homes array<int>").select("query_id", "v", F.explode("homes").alias("home"))
+    block = F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block")
+    to = to.join(parts, "home").select("query_id", "v", "home", block, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    index = graphs.select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+
+    def shard_search(ask: pd.DataFrame, graph: pd.DataFrame) -> pd.DataFrame:
         empty = pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
-        if not len(base) or not len(ask):
+        if not len(ask) or not len(graph):
             return empty
-        base = base.assign(_least=[i[0] for i in base["ids"]]).sort_values("_least")
-        x = np.stack(base["v"].to_numpy()).astype(np.float64)
-        norm2 = base["norm2"].to_numpy()
-        graph = Graph(np.concatenate([x, np.sqrt(np.maximum(longest - norm2, 0))[:, None]], 1) / np.sqrt(longest), m, ef_build)
-        ids = base["ids"].to_numpy()
+        made, more = Graph.from_bytes(graph["graph"].iat[0])
+        x, ids = more["vectors"], np.split(more["ids"], np.cumsum(more["counts"])[:-1])
         out = []
         for at in range(0, len(ask), 256):
             part = ask.iloc[at : at + 256]
             q = np.stack(part["v"].to_numpy()).astype(np.float64)
-            scale = np.sqrt((q**2).sum(1, keepdims=True))
-            rows, _ = graph.search(np.concatenate([q / scale, np.zeros((len(q), 1))], 1), min(k + 1, len(x)), ef)
-            for query, vector, near in zip(part["query_id"].astype("int64"), q, rows, strict=True):
+            rows, _ = made.search(_as_query(q), min(k + 1, len(x)), ef)
+            for query, vector, near in zip(part["query_id"], q, rows, strict=True):
                 near = near[near >= 0]
                 exact = [float(s) for s in (x[near] * vector).sum(1)]
                 best = sorted((-s, int(i)) for s, r in zip(exact, near, strict=True) for i in ids[r] if i != query)[:k]
                 out += [(query, i, -s) for s, i in best]
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]) if out else empty
 
-    found = base.unionByName(to_all).groupBy("shard", "block").applyInPandas(shard_search, "query_id long, vec_id long, score double")
+    found = to.groupBy("home", "part", "block").cogroup(index.groupBy("home", "part", "block")).applyInPandas(shard_search, "query_id long, vec_id long, score double")
     return rank(found, k)
 
 

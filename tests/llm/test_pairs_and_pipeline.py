@@ -181,6 +181,25 @@ def test_ann(spark):
     assert ann.search(d.limit(0), ann.every_20th()).count() == 0
 
 
+def test_ann_routes_to_near_shards(spark):
+    """Vectors in clusters: few probes are enough, and the recall against all vectors holds."""
+    rng = np.random.default_rng(2)
+    middle = rng.normal(size=(24, 12)) * 3
+    rows = [(i, [float(np.float32(x)) for x in middle[i % 24] + rng.normal(size=12) * 0.5]) for i in range(2400)] + [(20, [9.0] * 12), (20, [8.0] * 12)]
+    d = spark.createDataFrame(rows[1:], "vec_id long, embedding array<float>")
+    least = {}
+    for i, v in rows[1:]:
+        least[i] = min(v, least.get(i, v))
+    x = np.array([*least.values()])
+    longest = float((x**2).sum(1).max())
+    c = ann.centroids(ann._one_norm(x, longest), 24)
+    assert ann.probes_for(x, longest, c, 0.98, 20) < 16
+    want, got = neighbours(least.items()), {}
+    for r in ann.search(d, ann.every_20th(), shard_rows=60, min_shards=24, query_block=50).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    assert set(got) == set(want) and sum(len(got[q] & {i for _, i in want[q]}) for q in want) >= 0.9 * 20 * len(want)
+
+
 def test_pipeline(spark):
     import corpus_pipeline as cp
 
