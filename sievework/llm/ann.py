@@ -225,7 +225,7 @@ def probes_for(x: np.ndarray, longest: float, c: np.ndarray, recall: float, k: i
 
 
 def search(
-    table: DataFrame, queries: Column, k: int = 20, m: int = 16, ef_build: int = 64, ef: int = 96, shard_rows: int = SHARD_ROWS, min_shards: int = MIN_SHARDS, query_block: int = 65_536,
+    table: DataFrame, queries: Column, k: int = 20, m: int = 16, ef_build: int = 64, ef: int = 192, shard_rows: int = SHARD_ROWS, min_shards: int = MIN_SHARDS, query_block: int = 65_536,
     probes: int | None = None, recall: float = 0.98, sample_rows: int = 20_000,
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest others found for every row where queries holds.
