@@ -26,13 +26,19 @@ class Preset:
     span_seconds: float
     span_sequence: int
     pose_floor: float
+    merge_time: float  # with shared people
+    merge_time_alone: float
+    scene_slack: float
+    total_slack: float
+    merge_semantic: float
+    pose_near: tuple[float, float, float]  # pose, depth and time from which a near-equal pose carries a match
     hard_seconds: float = 45.0
 
 
 PRESETS = {
-    "cautious": Preset(0.81, 7, 7, 10, 10, 7, 7, 0.48),
-    "balanced": Preset(0.73, 16, 16, 28, 28, 16, 16, 0.34),
-    "aggressive": Preset(0.66, 30, 28, 48, 44, 30, 28, 0.24),
+    "cautious": Preset(0.81, 7, 7, 10, 10, 7, 7, 0.48, 0.68, 0.76, 0.02, 0.04, 0.91, (0.95, 0.78, 0.70)),
+    "balanced": Preset(0.73, 16, 16, 28, 28, 16, 16, 0.34, 0.46, 0.56, 0.05, 0.07, 0.82, (0.92, 0.72, 0.48)),
+    "aggressive": Preset(0.66, 30, 28, 48, 44, 30, 28, 0.24, 0.26, 0.34, 0.07, 0.09, 0.74, (0.89, 0.66, 0.28)),
 }
 
 

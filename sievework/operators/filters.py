@@ -79,3 +79,9 @@ def semantic_errors(rows: DataFrame) -> DataFrame:
 
 def safe_candidate(people: Column, expected: Column, hard_issue: Column, bad_faces: Column) -> Column:
     return (F.size(F.array_except(expected, people)) == 0) & ~hard_issue & (bad_faces == 0)
+
+
+def people_and_label(rows: DataFrame, group: str, person: str, label: str, order: list[str]) -> DataFrame:
+    """(group, people, label): each group's distinct people in order, and the label of its last row."""
+    last = F.max_by(label, F.struct(*order)).alias("label")
+    return rows.groupBy(group).agg(F.sort_array(F.collect_set(person)).alias("people"), last)

@@ -22,4 +22,6 @@ def with_components(rows: DataFrame, links: DataFrame, key: str, name: str = "pa
         if new.exceptAll(label).isEmpty():
             break
         label = new
+    else:
+        raise RuntimeError(f"components did not settle in {rounds} rounds")
     return rows.join(label.select(F.col("node").alias(key), F.col("label").alias("_c")), key, "left").select(*[F.col(c) for c in rows.columns], F.coalesce("_c", key).alias(name))

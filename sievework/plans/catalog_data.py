@@ -50,20 +50,13 @@ def latest_by_key(spark, sf):
 
 
 def set_hash(spark, sf):
-    n = read(spark, sf, "nation").groupBy("n_regionkey").agg(F.sha2(F.array_join(F.sort_array(F.collect_list("n_name")), ","), 256).alias("h"))
-    return n
+    """The hash of the whole export plan, whatever its order."""
+    return delivery.plan_hash(export_plan(spark, sf))
 
 
 # ---- vectors and duplicates
 def cosine_pairs(spark, sf):
-    e = read(spark, sf, "embeddings").filter("label < 3").select("vec_id", "label", "embedding")
-    a, b = e.select(F.col("vec_id").alias("l"), "label", F.col("embedding").alias("x")), e.select(F.col("vec_id").alias("r"), "label", F.col("embedding").alias("y"))
-    both = a.join(b, "label").filter("l < r").select("l", "r", vectors.cosine(F.col("x"), F.col("y")).alias("c"))
-    return both.filter("c >= 0.3").select("l", "r", F.round("c", 5).alias("cosine"))
-
-
-def cosine_pairs_all(spark, sf):
-    """Over all labels, in blocks; cosine_pairs and its SQL take three labels."""
+    """All pairs of each label, in blocks."""
     found = pairs.cosine_pairs(read(spark, sf, "embeddings").filter("label is not null"), "label", "vec_id", "embedding", 0.3)
     return found.select("l", "r", F.round("c", 5).alias("cosine"))
 
@@ -220,12 +213,7 @@ def score_join(spark, sf):
 
 
 def training_records(spark, sf):
-    c = read(spark, sf, "conversations").filter("turn = 0")
-    return c.select("conv_id", F.sha2(model.training_record(F.col("role"), F.lit("ok")), 256).alias("record"))
-
-
-def conversation_records(spark, sf):
-    """A record of all turns and texts of each conversation; training_records and its SQL take the role of turn 0."""
+    """A record of all turns and texts of each conversation."""
     turns = F.sort_array(F.collect_list(F.struct("turn", "role", "text")))
     c = read(spark, sf, "conversations").groupBy("conv_id").agg(turns.alias("turns"))
     return c.select("conv_id", F.size("turns").cast("long").alias("turns"), F.sha2(model.conversation_record(F.col("turns")), 256).alias("record"))
@@ -262,11 +250,6 @@ def export_plan(spark, sf):
     return delivery.export_plan(p, f, e, 2).select("id", "stars", "path", "action")
 
 
-def export_plan_hash(spark, sf):
-    """The hash of the whole export plan; set_hash and its SQL hash the names of nation."""
-    return delivery.plan_hash(export_plan(spark, sf))
-
-
 def plan_counts(spark, sf):
     return export_plan(spark, sf).groupBy("stars").pivot("action", ["copy", "skip", "conflict", "invalid"]).agg(F.count(F.lit(1))).fillna(0)
 
@@ -300,7 +283,7 @@ def pending_items(spark, sf):
 
 
 def rollback_items(spark, sf):
-    r = P.photos(spark, sf).filter("id % 2 = 0").select("id", F.lit(1).alias("previous_rating"), F.lit(3).alias("final_rating"))
+    r = P.photos(spark, sf).select("id", F.lit(1).alias("previous_rating"), F.lit(3).alias("final_rating"))
     live = P.photos(spark, sf).select("id", F.when(F.col("id") % 3 == 0, 3).otherwise(4).alias("rating"))
     return delivery.rollback(r, live, "id")
 
@@ -347,6 +330,16 @@ plan as (select k.id, k.stars, k.path, case when k.id % 17 = 0 then 'invalid' wh
 _CDC = with_("photos") + """, c as (select p.id, case when p.id % 31 != 0 then cast(floor(p.score / 20) as int) end as target_rating, case when p.id % 5 != 0 then cast(p.id % 6 as int) end as previous from photos p),
 cdc as (select *, case when target_rating is null then 'invalid' when previous is null then 'new' when previous > 3 then 'protected' when previous = target_rating then 'unchanged' else 'update' end as action from c)"""
 
+SET_HASH = _PLAN + """, d as (select sha256(to_json(struct_pack(action := action, id := id, path := path, stars := stars))::varchar) as d from plan),
+parts as (select d[1:2] as p, sha256(string_agg(d, '' order by d)) as h, count(*) as n from d group by 1) select coalesce(sum(n), 0)::bigint as items, sha256(string_agg(p || h, '' order by p || h)) as plan_hash from parts"""
+#: Complete link as recursion over the place in a session, all sessions at once; clusters is a list of lists.
+STRICT = with_("records", "sess").replace("with ", "with recursive ", 1) + """, e as (select event_id, user_id || '-' || session as part, t, row_number() over (partition by user_id, session order by t, event_id) as n from sess),
+l as (select a.part, a.event_id, a.n, coalesce(list(b.event_id) filter (where b.event_id is not null), []) as near from e a left join e b on a.part = b.part and b.n < a.n and abs(a.t - b.t) <= 1800 group by 1, 2, 3),
+r as (select distinct part, null::bigint as event_id, 0::bigint as n, 0::bigint as cluster, []::bigint[][] as clusters from e
+ union all select r.part, l.event_id, l.n, coalesce(nullif(home, 0), len(clusters) + 1)::bigint,
+  case when home > 0 then list_transform(clusters, lambda c, i: case when i = home then list_append(c, l.event_id) else c end) else list_append(clusters, [l.event_id]) end
+  from r join l on l.part = r.part and l.n = r.n + 1, lateral (select coalesce(list_position(list_transform(clusters, lambda c: list_has_all(l.near, c)), true), 0) as home))
+select part, event_id, cluster from r where n > 0"""
 SQLS = {
     "entity_ids": "with e as (select doc_id, lang, sha256(source || '/' || doc_id || '|' || n_chars || '|' || (doc_id * 1000))[1:24] as entity_id from documents) select doc_id, entity_id, entity_id || ':' || sha256(lang || '|v1')[1:16] as cache_key from e",
     "file_names": "with p as (select p_partkey, p_size, 'Shoot ' || p_brand || '/IMG_' || lpad(p_partkey::varchar, 5, '0') || case when p_size % 2 = 0 then '.CR2' else '.jpg' end as path from part) select p_partkey, 'img_' || lpad(p_partkey::varchar, 5, '0') as stem, case when p_size % 2 = 0 then 'cr2' else 'jpg' end as suffix, regexp_extract(path, '^([^/]+)/', 1) as top, cast(regexp_extract(path, '.*?(\\d{3,})\\D*\\.', 1) as int) as sequence, true as safe from p",
@@ -355,9 +348,9 @@ SQLS = {
     "dominant_signature": "select lang as pipeline_signature, count(*) as n, max(doc_id) as last from documents where source like 'src%' group by 1 order by 2 desc, 3 desc, 1 limit 1",
     "latest_revision": "select conv_id::varchar as operation, max(turn) as revision, arg_max(role, turn) as role from conversations group by 1",
     "latest_by_key": with_("photos") + " select grp, us, id, status from (select *, row_number() over (partition by grp order by us desc, id desc) as r from photos) where r = 1",
-    "set_hash": "select n_regionkey, sha256(string_agg(n_name, ',' order by n_name)) as h from nation group by 1",
-    "cosine_pairs": "with e as (select vec_id, label, embedding::double[] as x, sqrt(list_sum(list_transform(embedding::double[], lambda v: v * v))) as n from embeddings where label < 3) select a.vec_id as l, b.vec_id as r, round(list_dot_product(a.x, b.x) / (a.n * b.n), 5) as cosine from e a join e b on a.label = b.label and a.vec_id < b.vec_id where list_dot_product(a.x, b.x) / (a.n * b.n) >= 0.3",
-    "cosine_pairs_all": "with e as (select vec_id, label, embedding::double[] as x, sqrt(list_sum(list_transform(embedding::double[], lambda v: v * v))) as n from embeddings) select a.vec_id as l, b.vec_id as r, round(list_dot_product(a.x, b.x) / (a.n * b.n), 5) as cosine from e a join e b on a.label = b.label and a.vec_id < b.vec_id where list_dot_product(a.x, b.x) / (a.n * b.n) >= 0.3",
+    "set_hash": SET_HASH,
+    "strict_clusters": STRICT,
+    "cosine_pairs": "with e as (select vec_id, label, embedding::double[] as x, sqrt(list_sum(list_transform(embedding::double[], lambda v: v * v))) as n from embeddings) select a.vec_id as l, b.vec_id as r, round(list_dot_product(a.x, b.x) / (a.n * b.n), 5) as cosine from e a join e b on a.label = b.label and a.vec_id < b.vec_id where list_dot_product(a.x, b.x) / (a.n * b.n) >= 0.3",
     "nearest_two_centroids": "with x as (select label, k, avg(v::double) as v from (select label, unnest(embedding) as v, generate_subscripts(embedding, 1) as k from embeddings) group by 1, 2), c as (select label, list(v order by k) as c from x group by 1), s as (select e.vec_id, c.label, round(list_dot_product(e.embedding::double[], c.c), 6) as s from embeddings e cross join c), r as (select *, row_number() over (partition by vec_id order by s desc, label) as r from s) select vec_id, max(label) filter (where r = 1) as best, max(s) filter (where r = 1) as score, round(max(s) filter (where r = 1) - max(s) filter (where r = 2), 6) as margin from r where r <= 2 group by 1",
     "vector_norms": "select vec_id, round(sqrt(list_dot_product(embedding::double[], embedding::double[])), 5) as norm, round(sqrt(list_dot_product(embedding::double[], embedding::double[])), 5) as self from embeddings",
     "near_duplicate_pairs": "with d as (select doc_id, doc_id // 4 as tb, md5(text) as fp, ('0x' || sha256(text)[1:16])::ubigint as h from documents), p as (select a.doc_id as l, b.doc_id as r, a.h as x, b.h as y from d a join d b on a.doc_id < b.doc_id and a.fp = b.fp union select a.doc_id, b.doc_id, a.h, b.h from d a join d b on a.doc_id < b.doc_id and b.tb between a.tb - 1 and a.tb + 1) select l as \"left\", r as \"right\", round(1 - bit_count(xor(x, y)) / 64, 6) as similarity from p where round(1 - bit_count(xor(x, y)) / 64, 6) >= 0.6",
@@ -381,7 +374,7 @@ SQLS = {
     "logistic_score": with_("faces") + ", f as (select photo, max(sharp) as a, sum(sharp) as b, avg(occlusion) as c from faces group by 1) select photo, round(1 / (1 + exp(-greatest(-30.0, least(30.0, 0.1 + (a - 20) / 10 * 0.4 + (b - 100) / 50 * -0.3 + (c - 0.5) / 0.25 * 0.8)))), 6) as p from f",
     "hash_split": "with s as (select doc_id, ('0x' || sha256('v1:' || doc_id)[1:16])::ubigint::double / 18446744073709551616.0 as u from documents) select doc_id, case when u < 0.8 then 'train' when u < 0.9::double then 'validation' else 'test' end as part from s",
     "score_join": with_("labelled") + " select source, bool_and(doc_id % 50 != 7) as complete, count(*) filter (where doc_id % 50 != 7) as scores from labelled group by 1",
-    "training_records": """select conv_id, sha256('{"messages":[{"role":"user","content":"' || role || '"},{"role":"assistant","content":"ok"}]}') as record from conversations where turn = 0""",
+    "training_records": """select conv_id, count(*) as turns, sha256('{"messages":' || to_json(list(struct_pack(role := role, content := text) order by turn, role, text))::varchar || '}') as record from conversations group by 1""",
     "cv_folds": with_("labelled") + ", g as (select source, count(*) as n from labelled group by 1), u as (select *, sum(n) over (order by source) as upto, sum(n) over () as total from g) select source, n, cast(least(4, floor((upto - n / 2) * 5 / total)) as bigint) as fold from u",
     "hardest_negatives": with_("labelled") + " select source, doc_id, hardness from (select source, doc_id, row_number() over (partition by source order by rank) as hardness from (select *, row_number() over (partition by source order by score desc, doc_id) as rank from labelled) where not good) where hardness <= 3",
     "sound_decisions": "select conv_id, list(turn order by turn) = range(0, count(*)) as sound from conversations group by 1",
@@ -392,7 +385,7 @@ SQLS = {
     "receipt_reconcile": with_("photos") + " select case when id % 7 = 0 then 'unexpected' when id % 11 = 0 then 'missing' when id % 13 = 0 then 'mismatch' else 'verified' end as state, count(*) as items from photos where id % 7 != 0 or id % 11 != 0 group by 1",
     "drift_check": with_("photos") + " select * from (select id, case when id % 9 = 0 then 'missing' when id % 8 = 0 and grp != 0 then 'size' when id % 10 = 0 and floor(us / 1000000) != 0 then 'modified' when id % 3 != 0 then 'rating' end as drift from photos) where drift is not null",
     "pending_items": _CDC + " select id, target_rating from cdc where action = 'update' and id % 2 != 0",
-    "rollback_items": with_("photos") + " select id, case when id % 3 = 0 then 1 end as restore, id % 3 != 0 as conflict from photos where id % 2 = 0",
+    "rollback_items": with_("photos") + " select id, case when id % 3 = 0 then 1 end as restore, id % 3 != 0 as conflict from photos",
     "merged_people": with_("faces") + " select case when person % 5 = 1 then person - 1 else person end as person, count(distinct photo) as photos from faces group by 1",
     "face_moments": with_("photos", "faces") + ", f as (select photo, person, max(occlusion) < 0.4 as open from faces group by 1, 2), p as (select min(id) as l, max(id) as r from photos group by grp having min(id) < max(id)) select distinct l as \"left\", r as \"right\" from p join f a on a.photo = p.l join f b on b.photo = p.r and b.person = a.person where a.open != b.open",
     "activity_sessions": "with e as (select user_id, epoch_us(ts) as t from events), s as (select *, sum(n) over (partition by user_id order by t rows unbounded preceding) as k from (select *, case when t - lag(t) over (partition by user_id order by t) >= 10800000000 then 1 else 0 end as n from e)) select user_id, min(t) as first, max(t) as last, count(*) as \"rows\" from s group by user_id, k",
@@ -409,4 +402,4 @@ f as (select user_id, 0::bigint as i, 'new' as state, 0::bigint as applied from
  select f.user_id, r.i, coalesce(step.n, f.state), f.applied + (step.n is not null)::int from f join r on r.user_id = f.user_id and r.i = f.i + 1 left join step on step.s = f.state and step.e = r.e)
 select user_id, arg_max(state, i) as state, max(applied) as applied from f group by 1""",
 }
-QUERIES = {k: globals()[k] for k in [*SQLS, "strict_clusters", "online_groups", "identity_clusters", "fitted_preference", "conversation_records", "export_plan_hash"]}
+QUERIES = {k: globals()[k] for k in [*SQLS, "online_groups", "identity_clusters", "fitted_preference"]}

@@ -31,13 +31,6 @@ def quality_faces(spark, sf):
 
 
 def eligible_people(spark, sf):
-    f = P.faces(spark, sf)
-    sig, rel = _flags(f)
-    return selection.eligible_people(f.filter(sig & (F.col("photo") % 10 == 0)), "photo", "person", "area", rel)
-
-
-def eligible_people_all(spark, sf):
-    """Over the faces of all photos; eligible_people and its SQL take the tenth with photo % 10 = 0."""
     f = P.faces(spark, sf)
     sig, rel = _flags(f)
     return selection.eligible_people(f.filter(sig), "photo", "person", "area", rel)
@@ -181,8 +174,7 @@ def seed_faces(spark, sf):
 SQLS = {
     "face_flags": with_("faces") + f" select photo, count(distinct person) filter (where {SIG}) as significant, count(distinct person) filter (where {REL}) as reliable, max(area) as largest from faces group by 1",
     "quality_faces": with_("faces") + ", p as (select *, max(area) over (partition by photo) as m, count(*) over (partition by photo) as n from faces where ((area >= 0.0006 and confidence >= 0.82) or (area >= 0.0010 and confidence >= 0.70)) and line <= 6) select photo, count(*) as faces, min(area) as smallest from p where not (n >= 2 and m < 0.0025) and (m < 0.0035 or area >= 0.24 * m) group by 1",
-    "eligible_people": with_("faces") + f" select person, photos from (select person, count(distinct photo) as photos, bool_or({REL} and area >= 0.008) as large from faces where {SIG} and photo % 10 = 0 group by 1) where photos >= 2 or large",
-    "eligible_people_all": with_("faces") + f" select person, photos from (select person, count(distinct photo) as photos, bool_or({REL} and area >= 0.008) as large from faces where {SIG} group by 1) where photos >= 2 or large",
+    "eligible_people": with_("faces") + f" select person, photos from (select person, count(distinct photo) as photos, bool_or({REL} and area >= 0.008) as large from faces where {SIG} group by 1) where photos >= 2 or large",
     "dominant_people": with_("photos", "faces") + ", f as (select distinct p.grp, f.photo, f.person from faces f join photos p on p.id = f.photo), n as (select grp, count(distinct photo) as n from f group by 1), s as (select grp, person, count(*) as k from f group by 1, 2) select grp, person, k >= greatest(2, round_even(0.45::double * n, 0)) as dominant, k >= greatest(1, ceil(0.35::double * n)) as stable from s join n using (grp) where k >= greatest(2, round_even(0.45::double * n, 0)) or k >= greatest(1, ceil(0.35::double * n))",
     "repeated_people": with_("faces") + " select person, count(distinct photo) as photos from faces group by 1 having count(distinct photo) >= 2",
     "quality_rollup": with_("faces") + """, a as (select *, case when occlusion < 0.3 then 1 when occlusion < 0.6 then 2 else 3 end as st, line > 5 as down from faces),
@@ -210,5 +202,23 @@ u as (select *, case when st = 0 then 100.0::double when down then 58.0::double
 w as (select *, case when down then b else 0.68::double * b + 32 * q end as m from u)
 select photo, round(max(rel) + 1e-10, 6) as reliability, round(min(case when st = 2 then 72.0::double else greatest(0.0::double, least(100.0::double, rel * m + (1 - rel) * 72)) end) + 1e-9, 4) as open_score, count(*) filter (where d) as decisive, count(*) filter (where (st = 1 and not d) or (st = 0 and rel < 0.5)) as uncertain, cast(sum(case when st = 2 then 1 else bad end) as bigint) as reasons from w group by 1""",
     "seed_faces": with_("faces") + " select photo, count(*) filter (where confidence >= 0.82 and area >= 0.001 and sharp >= 45 and line * 4 <= 35 and line * 5 <= 30 and line * 6 <= 35 and occlusion < 0.45) as seeds, round(max(confidence + least(area, 0.10) + least(sharp, 200.0) / 1000 - line * 4 / 180 - 0.25 * occlusion) + 1e-9, 5) as strength from faces group by 1",
+    # greedy folds as recursion over the place in order, all parts at once
+    "nms_boxes": """with recursive x as (select l_orderkey as image, l_linenumber::bigint as box, max(l_quantity)::double as q, max(l_extendedprice) as score from lineitem group by 1, 2),
+b as (select image, box, q % 10 as x1, q % 7 as y1, q % 10 + 6 as x2, q % 7 + 6 as y2, row_number() over (partition by image order by score desc, box) as n from x),
+r as (select distinct image, 0::bigint as n, []::struct(box bigint, x1 double, y1 double)[] as kept from b
+ union all select r.image, b.n, case when len(list_filter(r.kept, lambda k: greatest(0, 6 - abs(k.x1 - b.x1)) * greatest(0, 6 - abs(k.y1 - b.y1)) > 0.4::double * (72 - greatest(0, 6 - abs(k.x1 - b.x1)) * greatest(0, 6 - abs(k.y1 - b.y1))))) > 0 then r.kept
+  else list_append(r.kept, struct_pack(box := b.box, x1 := b.x1, y1 := b.y1)) end from r join b on b.image = r.image and b.n = r.n + 1),
+e as (select image, arg_max(kept, n) as kept from r group by 1) select image, unnest(list_transform(kept, lambda k: k.box)) as box from e""",
+    "match_bodies": with_("faces").replace("with ", "with recursive ", 1) + """, f as (select photo, line, max(sharp) as s from faces group by 1, 2),
+m as (select photo, a.line as l, b.line as r, 1 / (1 + abs(a.s - b.s)) as score from f a join f b using (photo) where a.line % 2 = 0 and b.line % 2 = 1), p as (select *, row_number() over (partition by photo order by score desc, l, r) as n from m),
+g as (select distinct photo, 0::bigint as n, []::int[] as ul, []::int[] as ur, 0::bigint as matched, 0::double as total from p
+ union all select g.photo, p.n, case when ok then list_append(ul, p.l::int) else ul end, case when ok then list_append(ur, p.r::int) else ur end, matched + ok::int, total + case when ok then score else 0 end
+  from g join p on p.photo = g.photo and p.n = g.n + 1, lateral (select not list_contains(ul, p.l::int) and not list_contains(ur, p.r::int) as ok)),
+e as (select photo, arg_max(matched, n) as matched, arg_max(total, n) as total from g group by 1) select photo, matched, round(total / matched, 6) as mean_score from e""",
+    "coverage_greedy": with_("photos", "faces").replace("with ", "with recursive ", 1) + """, c as (select grp, photo, max(score) as q, list(distinct person) as cells from photos join faces on photo = id group by 1, 2),
+r as (select grp, 0::bigint as pick, null::bigint as photo, 0::bigint as cells, list_distinct(flatten(list(c.cells))) as missing from c group by 1
+ union all select grp, pick, photo, len(open)::bigint, list_filter(missing, lambda x: not list_contains(open, x)) from (
+  select r.grp, r.pick + 1 as pick, c.photo, list_intersect(c.cells, r.missing) as open, r.missing, row_number() over (partition by r.grp order by len(list_intersect(c.cells, r.missing)) desc, c.q desc, c.photo) as k from r join c on c.grp = r.grp where len(r.missing) > 0) where k = 1)
+select grp, photo, pick, cells from r where pick > 0""",
 }
-QUERIES = {k: globals()[k] for k in [*SQLS, "coverage_greedy", "primary_budget", "delivery_reserve", "nms_boxes", "match_bodies"]}
+QUERIES = {k: globals()[k] for k in [*SQLS, "primary_budget", "delivery_reserve"]}

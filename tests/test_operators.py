@@ -224,3 +224,80 @@ def test_models(spark):
     assert p.coefficients[0] > p.coefficients[1] > 0
     with pytest.raises(ValueError):
         model.logistic([F.col("a")], [0.0], [1.0], [1.0, 2.0], 0.0)
+
+
+# ---- decisions
+def photo_rows(spark, rows):
+    """Photos of one budget unit from (id, t, seq, feature, people); equal features give equal prints and strong pairs."""
+    from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
+
+    import numpy as np
+
+    numbers = ArrayType(DoubleType())
+    kinds = {"id": LongType(), "budget": LongType(), "t": DoubleType(), "seq": IntegerType(), "name": StringType(), "width": IntegerType(), "height": IntegerType(), "score": DoubleType(), "issues": ArrayType(StringType()), "people": ArrayType(StringType()), "phash": LongType(), "dhash": LongType(), "layout": numbers, "color": numbers, "edge": numbers, "semantic": numbers, "depth": numbers, "locked_stars": IntegerType()}
+    out = []
+    for i, t, seq, feature, people in rows:
+        x = np.random.default_rng(feature).normal(size=24).tolist()
+        h = int(np.random.default_rng(feature + 1000).integers(0, 1 << 62))
+        out.append((i, 1, t, seq, f"n{i:03d}", 600, 400, 60.0 + i, [], people, h, h, x[:12], x[12:18], x[18:], x, None, None))
+    return spark.createDataFrame(out, StructType([StructField(k, v) for k, v in kinds.items()]))
+
+
+def test_equal_prints_share_a_cluster(spark):
+    from sievework.plans.decide import decide
+
+    d = decide(photo_rows(spark, [(k, 5000.0 * k, k * 100, 7, ["a"]) for k in range(4)] + [(9, 40000.0, 900, 8, ["a"])])).photos
+    got = {r["id"]: r["cluster"] for r in d.collect()}
+    assert len({got[k] for k in range(4)}) == 1 and got[9] != got[0]
+    assert d.filter("stars = 3").groupBy("cluster").count().filter("count > 1").count() == 0
+
+
+def test_pairs_without_time_meet_by_sequence(spark):
+    from sievework.plans.decide import decide, pair_table
+
+    rows_ = [(1, None, 10, 7, ["a"]), (2, None, 12, 7, ["a"]), (3, 100.0, 14, 7, ["a"]), (4, None, 500, 7, ["a"]), (5, 100.0, 900, 7, ["a"])]
+    seen = pair_table(photo_rows(spark, rows_), 45.0, 28)
+    assert sorted((min(r["left"], r["right"]), max(r["left"], r["right"])) for r in seen.select("left", "right").collect()) == [(1, 2), (1, 3), (2, 3), (3, 5)]
+    grp = {r["id"]: r["grp"] for r in decide(photo_rows(spark, rows_)).photos.collect()}
+    assert grp[1] == grp[2] != grp[4]
+
+
+def evidence(**changes):
+    base = dict(total=0.7, scene=0.7, strong=False, compatible=True, time=0.6, shared=0, pose=None, semantic=0.85, composition=0.5, phash=0.5, dhash=0.5, depth=None)
+    return base | changes
+
+
+def test_merge_rules():
+    from sievework.config import preset
+    from sievework.operators.folds import _mergeable
+
+    p = preset("balanced")
+    assert _mergeable(evidence(), p, set(), set())
+    assert not _mergeable(evidence(strong=True), p, {"a"}, {"b"})  # different people, whatever the picture
+    assert _mergeable(evidence(strong=True, compatible=False), p, {"a"}, {"a"})
+    assert not _mergeable(evidence(semantic=0.8), p, set(), set()) and _mergeable(evidence(semantic=None, composition=0.8), p, set(), set()) and _mergeable(evidence(semantic=None, dhash=0.84), p, set(), set())
+    assert _mergeable(evidence(time=0.5, scene=0.64, total=0.62, semantic=None), p, {"a"}, {"a", "b"}) and not _mergeable(evidence(time=0.5), p, {"a"}, set())
+    assert not _mergeable(evidence(pose=0.3), p, set(), set())
+    assert _mergeable(evidence(pose=0.93, scene=0.6, total=0.57, time=0.5, semantic=None), p, set(), {"a"}) and not _mergeable(evidence(pose=0.93, depth=0.5, scene=0.6, total=0.57, semantic=None), p, set(), set())
+    assert not _mergeable(evidence(time=0.5), preset("cautious"), set(), set())
+
+
+def test_groups_with_different_people_stay_apart(spark):
+    from sievework.config import preset
+
+    at = [(1, 0.0, ["a"]), (2, 1.0, ["a"]), (3, 2.0, ["b"]), (4, 3.0, ["b"]), (5, 4.0, [])]
+    d = spark.createDataFrame([("p", k, t, 50.0 + k, people) for k, t, people in at], "part string, id long, t double, score double, people array<string>")
+    links = [(a, b, 0.9, 0.9, True, True, 0.9, 0, None) for a, *_ in at for b, *_ in at if a < b]
+    e = spark.createDataFrame(links, "left long, right long, total double, scene double, strong boolean, compatible boolean, time double, shared int, pose double")
+    got = {r["id"]: (r["group_no"], round(r["confidence"], 6)) for r in folds.online_groups(d, e, "part", "id", ["t"], preset("balanced")).collect()}
+    assert [got[k][0] for k in range(1, 6)] == [1, 1, 2, 2, 1] and got[1][1] == 0.9
+    alone = folds.online_groups(d.filter("id = 1"), e.limit(0), "part", "id", ["t"], preset("balanced")).collect()
+    assert [(r["group_no"], r["confidence"]) for r in alone] == [(1, 1.0)]
+
+
+def test_distinct_poses(spark):
+    joints = [(0.1 * k, 0.05 * k, 0.9) for k in range(9)]
+    near, far, unsure = [(x + 0.001, y, r) for x, y, r in joints], [(x, 1 - y, r) for x, y, r in joints], [(x, y, 0.3) for x, y, r in joints]
+    rows_ = [(1, 1, joints, [1.0, 0.0], 0.5), (1, 2, near, [0.99, 0.0], 0.9), (1, 3, far, [1.0, 0.0], 0.4), (1, 4, near, [0.0, 1.0], 0.3), (1, 5, unsure, [1.0, 0.0], 0.2), (2, 6, joints, [1.0, 0.0], 0.1), (1, 7, near, None, 0.1)]
+    d = spark.createDataFrame(rows_, "image long, key long, joints array<struct<x:double,y:double,reliability:double>>, descriptor array<double>, presence double")
+    assert sorted(r["key"] for r in folds.distinct_poses(d, "image", "joints", "descriptor", [F.desc("presence")], "key").collect()) == [2, 3, 4, 5, 6, 7]

@@ -7,7 +7,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from sievework.functions import vectors
-from sievework.llm import pii, quality
 from sievework.operators import pairs
 from sievework.plans import catalog
 
@@ -23,15 +22,15 @@ def given(spark, tmp_path):
     return write
 
 
-def test_eligible_people_all(spark, given):
+def test_eligible_people(spark, given):
     line = lambda photo, person, area: (photo, person, area * 10000, 0.0, 100.0, 0.0, 1)
     sf = given("lineitem", [line(11, 1, 0.001), line(12, 1, 0.001), line(13, 2, 0.009), line(14, 3, 0.001)], "l_orderkey long, l_suppkey long, l_quantity double, l_discount double, l_extendedprice double, l_tax double, l_linenumber int")
-    assert rows(catalog.QUERIES["eligible_people_all"](spark, sf), "person") == [(1, 2), (2, 1)]
+    assert rows(catalog.QUERIES["eligible_people"](spark, sf), "person") == [(1, 2), (2, 1)]
 
 
-def test_cosine_pairs_all(spark, given):
+def test_cosine_pairs(spark, given):
     sf = given("embeddings", [(1, 0, [1.0, 0.0]), (2, 0, [1.0, 0.1]), (3, 7, [0.0, 1.0]), (4, 7, [0.1, 1.0]), (5, 7, [-1.0, 0.0]), (6, None, [1.0, 0.0]), (7, 7, None), (8, 7, [0.0, 0.0]), (9, 7, [1.0])], "vec_id long, label int, embedding array<float>")
-    assert [r[:2] for r in rows(catalog.QUERIES["cosine_pairs_all"](spark, sf), "l")] == [(1, 2), (3, 4)]
+    assert [r[:2] for r in rows(catalog.QUERIES["cosine_pairs"](spark, sf), "l")] == [(1, 2), (3, 4)]
 
 
 def test_cosine_pairs_blocks(spark):
@@ -42,36 +41,18 @@ def test_cosine_pairs_blocks(spark):
     assert got == want and want
 
 
-def test_quality_text_without_short_words(spark):
-    usual = " ".join(f"the cat and {a}{b} sat on it" for a in "abcdefgh" for b in "klmnopqr")
-    junk = " | ".join("extraordinary incomprehensible" + a + b for a in "abcdefgh" for b in "klmnopqr")
-    d = spark.createDataFrame([(1, usual, "en"), (2, junk, "en"), (3, junk, "xx"), (4, "extraordinary words", "en")], "doc_id long, text string, lang string")
-    got = {r["doc_id"]: (r["word_distance"], r["kept"]) for r in quality.judge(d, class_limit=1.0).collect()}
-    assert got[2] == (1.0, False) and got[1][0] < 0.57
-    assert got[3][0] == 0.0 and got[4][0] is None
-
-
-def test_pii_terms_far_from_the_entity(spark):
-    mail, far = "joe@example.com", " ".join(f"w{'abcdefghij'[i % 10]}{'abcdefghij'[i // 10]}" for i in range(100))
-    texts = [f"Quintus {far} {chr(97 + i)}{chr(97 + i)}{chr(97 + i)} {mail} {far}" for i in range(4)] + [f"{far} plain {chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(200)] + ["then quintus came", "only joe came"]
-    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {r["doc_id"]: r["text"] for r in pii.sanitise(d).collect()}
-    assert [got[i].startswith((" wa", "<TERM> wa")) for i in range(4)] == [True] * 4 and "quintus" not in got[204]
-    assert got[205] == texts[205] and got[7] == texts[7]
-
-
-def test_conversation_records(spark, given):
+def test_training_records(spark, given):
     sf = given("conversations", [(1, 1, "assistant", "b \"q\""), (1, 0, "user", "a"), (2, 3, "user", None)], "conv_id long, turn long, role string, text string")
-    got = {r["conv_id"]: (r["turns"], r["record"]) for r in catalog.QUERIES["conversation_records"](spark, sf).collect()}
+    got = {r["conv_id"]: (r["turns"], r["record"]) for r in catalog.QUERIES["training_records"](spark, sf).collect()}
     record = lambda *m: hashlib.sha256(json.dumps({"messages": [{"role": r, "content": t} for r, t in m]}, separators=(",", ":")).encode()).hexdigest()
     assert got == {1: (2, record(("user", "a"), ("assistant", 'b "q"'))), 2: (1, record(("user", None)))}
 
 
-def test_export_plan_hash(spark):
+def test_set_hash(spark):
     sf = "/root/testdata/sf0.001"
     plan = [json.dumps(r.asDict(), separators=(",", ":"), sort_keys=True) for r in catalog.QUERIES["export_plan"](spark, sf).collect()]
     parts = {}
     for d in (hashlib.sha256(p.encode()).hexdigest() for p in plan):
         parts.setdefault(d[:2], []).append(d)
     whole = "".join(sorted(p + hashlib.sha256("".join(sorted(ds)).encode()).hexdigest() for p, ds in parts.items()))
-    assert rows(catalog.QUERIES["export_plan_hash"](spark, sf)) == [(len(plan), hashlib.sha256(whole.encode()).hexdigest())]
+    assert rows(catalog.QUERIES["set_hash"](spark, sf)) == [(len(plan), hashlib.sha256(whole.encode()).hexdigest())]
