@@ -33,7 +33,7 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents, with their sequences and offsets."""
-    return packing.pack(docs).drop("_group")
+    return packing.pack(docs)
 
 
 STAGES = [
