@@ -201,21 +201,73 @@ def test_ann_routes_to_near_shards(spark):
 
 
 def test_pipeline(spark):
+    """Every stage against a plain version on what the one before kept, texts and packed pieces included."""
+    import zlib
+
     import corpus_pipeline as cp
 
+    from sievework.llm import packing
+
+    from .test_text_ops import plain_disclosure, with_terms
+
     d, labels = table(spark, SF, "documents"), table(spark, SF, "labels")
     assert [n for n, _ in cp.STAGES] == ["toxicity", "line_dedup", "ngram_jaccard_join", "pii", "best_fit_packing"]
     model = toxicity.fit(d, labels)
     clean = [r for r in d.collect() if r["text"] is None or model.a * toxicity.scan(model, r["text"])[0] + model.b < 0]
-    held = spark.createDataFrame(clean, d.schema)
-    lines = line_dedup.dedup_lines(held).drop("_sw_dropped").orderBy("doc_id").collect()
-    texts = [r["text"] for r in lines]
+    held = {r["doc_id"]: r["text"] for r in clean}
+    lines = plain_lines(held)
+    ids = sorted(lines)
+    texts = [lines[i] for i in ids]
     want = classes(texts, plain_links(texts))
-    kept = [r for k, r in enumerate(lines) if want[k] == k]
-    masked = pii.sanitise(spark.createDataFrame(kept, d.schema)).select("doc_id").collect()
-    got = cp.run(spark, SF)
-    assert sorted({r["doc_id"] for r in got.collect()}) == sorted(r["doc_id"] for r in masked)
-    stage = d
-    for _, f in cp.STAGES[:-1]:
-        stage = f(spark, stage, SF)
-        assert stage.columns == d.columns
+    kept = [t for k, t in enumerate(texts) if want[k] == k]
+    actions = plain_disclosure(kept)
+    masked = {i: with_terms(t or "", actions[t or ""])[1] for k, (i, t) in enumerate(zip(ids, texts, strict=True)) if want[k] == k}
+    coder = packing.WordIds(packing.vocabulary_path()).whole
+    pieces = set()
+    for i, t in masked.items():
+        x = np.array([*coder.encode(t, add_special_tokens=False).ids, 0], "<u4")
+        pieces |= {(i, k, at, len(x[at : at + 2048]), zlib.crc32(x[at : at + 2048].tobytes())) for k, at in enumerate(range(0, len(x), 2048))}
+    got = cp.run(spark, SF).collect()
+    assert {(r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in got} == pieces and len(got) == len(pieces)
+    full = {}
+    for r in got:
+        full.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for parts in full.values():
+        parts.sort()
+        assert parts[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(parts, parts[1:])) and sum(parts[-1]) <= 2048
+
+
+def plain_lines(texts, least=50):
+    """{doc_id: text} without later repeats of windows of least words, by the definition; ids in order."""
+    windows, seen, gone = {}, {}, set()
+    for i in sorted(texts):
+        rows = [(k, line, len(re.findall(r"[^\x20\x09-\x0D]+", line))) for k, line in enumerate((texts[i] or "").split("\n"))]
+        rows = [r for r in rows if r[2]]
+        for way in (rows, rows[::-1]):
+            for a in range(len(way)):
+                n = 0
+                for b in range(a, len(way)):
+                    n += way[b][2]
+                    if n >= least:
+                        part = way[a : b + 1]
+                        windows.setdefault((way is rows, tuple(x for _, x, _ in part)), []).append((i, min(k for k, *_ in part), max(k for k, *_ in part), [k for k, *_ in part]))
+                        break
+    for places in windows.values():
+        first = min(p[:3] for p in places)
+        gone |= {(i, k) for i, lo, hi, ks in places if (i, lo, hi) != first for k in ks}
+    return {i: None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if (i, k) not in gone) for i, t in texts.items()}
+
+
+def test_stages_on_odd_tables(spark):
+    """Null ids and texts, repeated rows, columns that clash with internal names, and an empty table."""
+    import corpus_pipeline as cp
+
+    rows = [(None, "plain words of a text", "en", "s", 21, "x"), (None, "plain words of a text", "en", "s", 21, "x"), (3, None, None, None, None, None), (4, "", "en", "s", 0, ""), (4, "", "en", "s", 0, ""), (5, "mail joe@example.com now", "en", "s", 24, "y")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, tid string")
+    for given, least in ((d, 5), (d.limit(0), 0)):
+        for name, stage in cp.STAGES:
+            out = stage(spark, given, SF)
+            if name != "best_fit_packing":
+                assert out.columns == d.columns
+                given = spark.createDataFrame(out.collect(), d.schema)
+            assert out.count() >= least
