@@ -340,6 +340,20 @@ r as (select distinct part, null::bigint as event_id, 0::bigint as n, 0::bigint
   case when home > 0 then list_transform(clusters, lambda c, i: case when i = home then list_append(c, l.event_id) else c end) else list_append(clusters, [l.event_id]) end
   from r join l on l.part = r.part and l.n = r.n + 1, lateral (select coalesce(list_position(list_transform(clusters, lambda c: list_has_all(l.near, c)), true), 0) as home))
 select part, event_id, cluster from r where n > 0"""
+#: Incremental identities as recursion over the place in a label, all labels at once; sums and photos are lists a centroid.
+IDENTITIES = """with recursive x as (select label, vec_id, vec_id % 400 as photo, vec_id % 3 <> 0 as seed, vec_id % 7 as strength, embedding::double[] as e from embeddings),
+l as (select label, vec_id, photo, seed, list_transform(e, lambda y: y / sqrt(list_dot_product(e, e))) as v, row_number() over (partition by label order by seed desc, strength desc, photo, vec_id) as n from x),
+r as (select distinct label, null::bigint as vec_id, 0::bigint as n, 0::bigint as identity, []::double[][] as sums, []::bigint[][] as photos from x
+ union all select label, vec_id, n, case when sure then place when fresh then len(sums) + 1 else 0 end,
+  case when sure and seed then list_transform(sums, lambda s, i: case when i = place then list_transform(s, lambda y, j: y + v[j]) else s end) when fresh then list_append(sums, v) else sums end,
+  case when sure then list_transform(photos, lambda s, i: case when i = place then list_append(s, photo) else s end) when fresh then list_append(photos, [photo]) else photos end
+ from (select *, coalesce(best >= (case when seed then 0.30::double else 0.55::double end) and (second is null or best - second >= (case when seed then 0.025::double else 0.05::double end)), false) as sure, seed and coalesce(best < 0.30::double, true) as fresh from (
+  select *, list_position(scores, best) as place, list_max(list_filter(scores, lambda y, i: i <> list_position(scores, best))) as second from (
+   select *, list_max(scores) as best from (
+    select r.label, l.vec_id, l.n, l.photo, l.seed, l.v, r.sums, r.photos,
+     list_transform(r.sums, lambda s, i: case when list_contains(r.photos[i], l.photo) then '-infinity'::double else list_dot_product(s, l.v) / sqrt(list_dot_product(s, s)) end) as scores
+    from r join l on l.label = r.label and l.n = r.n + 1)))))
+select label, vec_id, identity from r where n > 0"""
 SQLS = {
     "entity_ids": "with e as (select doc_id, lang, sha256(source || '/' || doc_id || '|' || n_chars || '|' || (doc_id * 1000))[1:24] as entity_id from documents) select doc_id, entity_id, entity_id || ':' || sha256(lang || '|v1')[1:16] as cache_key from e",
     "file_names": "with p as (select p_partkey, p_size, 'Shoot ' || p_brand || '/IMG_' || lpad(p_partkey::varchar, 5, '0') || case when p_size % 2 = 0 then '.CR2' else '.jpg' end as path from part) select p_partkey, 'img_' || lpad(p_partkey::varchar, 5, '0') as stem, case when p_size % 2 = 0 then 'cr2' else 'jpg' end as suffix, regexp_extract(path, '^([^/]+)/', 1) as top, cast(regexp_extract(path, '.*?(\\d{3,})\\D*\\.', 1) as int) as sequence, true as safe from p",
@@ -350,6 +364,7 @@ SQLS = {
     "latest_by_key": with_("photos") + " select grp, us, id, status from (select *, row_number() over (partition by grp order by us desc, id desc) as r from photos) where r = 1",
     "set_hash": SET_HASH,
     "strict_clusters": STRICT,
+    "identity_clusters": IDENTITIES,
     "cosine_pairs": "with e as (select vec_id, label, embedding::double[] as x, sqrt(list_sum(list_transform(embedding::double[], lambda v: v * v))) as n from embeddings) select a.vec_id as l, b.vec_id as r, round(list_dot_product(a.x, b.x) / (a.n * b.n), 5) as cosine from e a join e b on a.label = b.label and a.vec_id < b.vec_id where list_dot_product(a.x, b.x) / (a.n * b.n) >= 0.3",
     "nearest_two_centroids": "with x as (select label, k, avg(v::double) as v from (select label, unnest(embedding) as v, generate_subscripts(embedding, 1) as k from embeddings) group by 1, 2), c as (select label, list(v order by k) as c from x group by 1), s as (select e.vec_id, c.label, round(list_dot_product(e.embedding::double[], c.c), 6) as s from embeddings e cross join c), r as (select *, row_number() over (partition by vec_id order by s desc, label) as r from s) select vec_id, max(label) filter (where r = 1) as best, max(s) filter (where r = 1) as score, round(max(s) filter (where r = 1) - max(s) filter (where r = 2), 6) as margin from r where r <= 2 group by 1",
     "vector_norms": "select vec_id, round(sqrt(list_dot_product(embedding::double[], embedding::double[])), 5) as norm, round(sqrt(list_dot_product(embedding::double[], embedding::double[])), 5) as self from embeddings",
@@ -402,4 +417,4 @@ f as (select user_id, 0::bigint as i, 'new' as state, 0::bigint as applied from
  select f.user_id, r.i, coalesce(step.n, f.state), f.applied + (step.n is not null)::int from f join r on r.user_id = f.user_id and r.i = f.i + 1 left join step on step.s = f.state and step.e = r.e)
 select user_id, arg_max(state, i) as state, max(applied) as applied from f group by 1""",
 }
-QUERIES = {k: globals()[k] for k in [*SQLS, "online_groups", "identity_clusters", "fitted_preference"]}
+QUERIES = {k: globals()[k] for k in [*SQLS, "online_groups", "fitted_preference"]}

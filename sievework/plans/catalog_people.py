@@ -220,5 +220,17 @@ r as (select grp, 0::bigint as pick, null::bigint as photo, 0::bigint as cells,
  union all select grp, pick, photo, len(open)::bigint, list_filter(missing, lambda x: not list_contains(open, x)) from (
   select r.grp, r.pick + 1 as pick, c.photo, list_intersect(c.cells, r.missing) as open, r.missing, row_number() over (partition by r.grp order by len(list_intersect(c.cells, r.missing)) desc, c.q desc, c.photo) as k from r join c on c.grp = r.grp where len(r.missing) > 0) where k = 1)
 select grp, photo, pick, cells from r where pick > 0""",
+    # one pick a budget and step; in this table a strict cluster lies in one group, so seeds don't compete for it
+    "primary_budget": with_("photos").replace("with ", "with recursive ", 1) + """, w as (select c_nationkey as budget, id, grp, us, floor(us / 86400000000 / 7)::bigint as week, round_even(score / 100, 4) as base, row_number() over (partition by grp order by score desc, id) as rank, score >= 20 as eligible, id % 101 = 0 as locked from photos join customer on c_custkey = grp),
+q as (select budget, id, grp, us, grp || '-' || week as beat, base, rank, eligible and not locked as free, locked, bool_or(locked) over (partition by grp, us) as shut, bool_or(locked) over (partition by grp) as held, count(*) over (partition by budget) as n from w),
+f as (select *, row_number() over (partition by grp order by case when free and not shut then 0 else 1 end, rank, id) = 1 and free and not shut and not held as seed from q),
+z as (select budget, id, grp, us, beat, base, rank, free, n, case when locked then 0 when seed then 1 end as step from f),
+t as (select budget, greatest(count(step), least(max(n), round_even(max(n) * 0.65::double, 0)))::bigint as target from z group by 1),
+r as (select 0 as it, z.*, target from z join t using (budget)
+ union all select it, budget, id, grp, us, beat, base, rank, free, n, case when k = 1 and open then 2 else step end, target from (
+  select *, row_number() over (partition by budget order by open desc, case when open then base * pow(0.1::double, b) * pow(0.55::double, greatest(0, g - 1)) end desc, rank, id) as k from (
+   select it + 1 as it, budget, id, grp, us, beat, base, rank, free, n, step, target, count(step) over (partition by budget, beat) as b, count(step) over (partition by grp) as g, free and step is null and count(step) over (partition by grp, us) = 0 as open, count(step) over (partition by budget) as had from r)
+  where had < target qualify bool_or(open) over (partition by budget)))
+select budget, id, min(step)::bigint as step from r where step is not null group by 1, 2""",
 }
-QUERIES = {k: globals()[k] for k in [*SQLS, "primary_budget", "delivery_reserve"]}
+QUERIES = {k: globals()[k] for k in [*SQLS, "delivery_reserve"]}
