@@ -301,3 +301,35 @@ def test_distinct_poses(spark):
     rows_ = [(1, 1, joints, [1.0, 0.0], 0.5), (1, 2, near, [0.99, 0.0], 0.9), (1, 3, far, [1.0, 0.0], 0.4), (1, 4, near, [0.0, 1.0], 0.3), (1, 5, unsure, [1.0, 0.0], 0.2), (2, 6, joints, [1.0, 0.0], 0.1), (1, 7, near, None, 0.1)]
     d = spark.createDataFrame(rows_, "image long, key long, joints array<struct<x:double,y:double,reliability:double>>, descriptor array<double>, presence double")
     assert sorted(r["key"] for r in folds.distinct_poses(d, "image", "joints", "descriptor", [F.desc("presence")], "key").collect()) == [2, 3, 4, 5, 6, 7]
+
+
+def test_delivery_reserve_same_as_plain(spark):
+    """Against a plain loop that takes the best of all rows at every step."""
+    rng = random.Random(6)
+    data = []
+    for i in range(90):
+        keys = sorted(rng.sample(["a", "b", "c", "d", "e"], rng.randrange(0, 4)))
+        data.append((i % 2, i, rng.randrange(9), rng.randrange(20), rng.randrange(50), round(rng.random(), 2), round(rng.random(), 2), rng.randrange(1, 5), rng.randrange(3), rng.random() < 0.85, rng.random() < 0.2, keys))
+    names_ = ["budget", "id", "grp", "beat", "cluster", "quality", "stable", "rank", "severe", "eligible", "delivered", "keys"]
+    d = spark.createDataFrame(data, "budget long, id long, grp long, beat long, cluster long, quality double, stable double, rank long, severe long, eligible boolean, delivered boolean, keys array<string>")
+    got = {(r["budget"], r["pick"]): r["id"] for r in selection.delivery_reserve(d, "budget").collect()}
+    want = {}
+    for budget in (0, 1):
+        mine = [dict(zip(names_, x)) for x in data if x[0] == budget]
+        taken, out = [r for r in mine if r["delivered"]], []
+        while len(taken) < round(0.75 * len(mine)):
+            shown = {k: sum(k in r["keys"] for r in taken) for k in "abcde"}
+            many = lambda name, r: sum(x[name] == r[name] for x in taken)
+
+            def worth(r):
+                counts = [shown[k] for k in r["keys"]]
+                return min(counts), -counts.count(min(counts)), -math.fsum(1 / (c + 1) for c in counts), r["severe"], many("beat", r), many("grp", r), -r["quality"], -r["stable"], r["rank"], r["id"]
+
+            pool = [r for r in mine if r["eligible"] and not r["delivered"] and r["keys"] and r["id"] not in out and not many("cluster", r)]
+            if not pool:
+                break
+            best = min(pool, key=worth)
+            taken.append(best)
+            out.append(best["id"])
+            want[budget, len(out)] = best["id"]
+    assert got == want and want
