@@ -80,3 +80,14 @@ def json_within(text: Column) -> Column:
 def micros(ts: Column) -> Column:
     """Microseconds of a naive or zoned time, read as UTC."""
     return F.unix_micros(ts.cast("timestamp"))
+
+
+def normal_path(path: Column) -> Column:
+    """A path with forward slashes, no empty or single-dot parts and no slash at its end, in lower case."""
+    parts = F.filter(F.split(F.lower(F.regexp_replace(path, r"\\", "/")), "/"), lambda x: (x != "") & (x != "."))
+    return F.concat(F.when(F.substring(path, 1, 1).isin("/", "\\"), "/").otherwise(""), F.array_join(parts, "/"))
+
+
+def path_hash(path: Column) -> Column:
+    """First 24 hex digits of SHA-256 over the normal path: one id for one file, however its path is written."""
+    return F.substring(F.sha2(normal_path(path), 256), 1, 24)

@@ -180,3 +180,39 @@ def training_set(cached: DataFrame, listing: DataFrame, labels: DataFrame, part:
     valid = F.coalesce(F.col("_s") == F.col("signature"), F.lit(False))
     hit = F.coalesce("_y", F.lit(False))
     return held.groupBy(part).agg(F.count(F.lit(1)).alias("listed"), F.count_if(valid).alias("cached"), F.count_if(hit).alias("labelled"), F.count_if(valid & hit).alias("positive"), F.bround(F.avg(valid.cast("double")), 6).alias("coverage"))
+
+
+# ---- overrides and operations
+def group_resync(rows: DataFrame, group: str, key: str, stars: str, rank: str) -> DataFrame:
+    """(group, best, delivered, summary) after overrides: the best row by stars, then rank, then key, and the counts that follow."""
+    best = F.min_by(F.col(key), F.struct(-F.col(stars), F.col(rank), F.col(key)))
+    counts = F.array(*[F.count_if(F.col(stars) == k) for k in range(4)])
+    return rows.groupBy(group).agg(best.alias("best"), F.count_if(F.col(stars) >= 2).alias("delivered"), F.array_join(counts.cast("array<string>"), "/").alias("summary"))
+
+
+def checked_changes(current: DataFrame, changes: DataFrame, key: str) -> DataFrame:
+    """current with changes (key, expected_revision, value) that name its revision; the others are conflicts.
+
+    (key, value, revision, outcome): applied changes raise the revision by one; rows without a change keep theirs.
+    """
+    new = changes.select(key, "expected_revision", F.col("value").alias("_v"))
+    held = current.join(new, key, "left")
+    fits = F.coalesce(F.col("expected_revision") == F.col("revision"), F.lit(False))
+    outcome = F.when(F.col("expected_revision").isNull(), "kept").when(fits, "applied").otherwise("conflict")
+    return held.select(key, F.when(fits, F.col("_v")).otherwise(F.col("value")).alias("value"), (F.col("revision") + fits.cast("int")).alias("revision"), outcome.alias("outcome"))
+
+
+def leading_receipt(receipts: DataFrame, operation: str) -> DataFrame:
+    """Each operation's receipt that counts: execute before preflight, then the last revision."""
+    order = F.struct((F.col("kind") == "execute").cast("int"), F.col("revision"))
+    return receipts.filter(F.col("kind").isin("execute", "preflight")).groupBy(operation).agg(F.max_by(F.struct("kind", "revision", "status"), order).alias("r")).select(operation, "r.*")
+
+
+def journal_progress(journal: DataFrame, operation: str, item: str, revision: str) -> DataFrame:
+    """(operation, revision, done, failed): distinct items verified and failed up to each journal revision, an item's last entry counting."""
+    w = Window.partitionBy(operation, item).orderBy(revision)
+    one = lambda c: F.when(c, 1).otherwise(0)
+    steps = journal.select(operation, revision, *[(one(F.col("state") == s) - F.lag(one(F.col("state") == s), 1, 0).over(w)).alias(s) for s in ("verified", "failed")])
+    by = steps.groupBy(operation, revision).agg(F.sum("verified").alias("v"), F.sum("failed").alias("f"))
+    upto = Window.partitionBy(operation).orderBy(revision)
+    return by.select(operation, revision, F.sum("v").over(upto).alias("done"), F.sum("f").over(upto).alias("failed"))

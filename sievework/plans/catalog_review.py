@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import quality
+from ..functions import names, quality
 from ..operators import filters, folds, ranking, review
 from . import proxies as P
 from .proxies import read, with_
@@ -145,6 +145,41 @@ def distinct_poses(spark, sf):
     return folds.distinct_poses(poses, "image", "joints", "embedding", [F.desc("presence")], "vec_id").select("image", "vec_id")
 
 
+def group_resync(spark, sf):
+    rows = ranking.ranked(P.photos(spark, sf), ["grp"], [F.desc("score"), F.col("id")])
+    stars = F.when(F.col("id") % 6 == 0, 3).otherwise(F.least(F.lit(3), F.floor(F.col("score") / 26).cast("int")))
+    return review.group_resync(rows.withColumn("stars", stars), "grp", "id", "stars", "rank")
+
+
+def checked_changes(spark, sf):
+    p = P.photos(spark, sf)
+    current = p.select("id", F.col("status").alias("value"), (F.col("id") % 3).alias("revision"))
+    changes = p.filter("id % 4 = 0").select("id", (F.col("id") % 2).alias("expected_revision"), F.lit("X").alias("value"))
+    return review.checked_changes(current, changes, "id")
+
+
+def leading_receipts(spark, sf):
+    e = P.records(spark, sf)
+    kinds = F.element_at(F.array(*map(F.lit, ("preflight", "execute", "heartbeat"))), (F.col("event_id") % 3 + 1).cast("int"))
+    return review.leading_receipt(e.select(F.concat_ws("-", F.col("user_id").cast("string"), (F.col("event_id") % 5).cast("string")).alias("operation"), kinds.alias("kind"), F.col("event_id").alias("revision"), F.col("event_type").alias("status")), "operation")
+
+
+def journal_progress(spark, sf):
+    e = P.records(spark, sf)
+    state = F.when(F.col("value") >= 40, "verified").when(F.col("value") < 10, "failed").otherwise("copied")
+    return review.journal_progress(e.select("user_id", (F.col("event_id") % 11).alias("item"), F.col("event_id").alias("revision"), state.alias("state")), "user_id", "item", "revision")
+
+
+def path_hashes(spark, sf):
+    path = F.concat(F.lit("/Photos"), F.when(F.col("id") % 2 == 0, F.lit("//")).otherwise(F.lit("\\")), F.col("status"), F.lit("/./IMG_"), F.col("id").cast("string"), F.when(F.col("id") % 3 == 0, F.lit(".JPG/")).otherwise(F.lit(".jpg")))
+    return P.photos(spark, sf).select("id", names.normal_path(path).alias("path"), names.path_hash(path).alias("hash"))
+
+
+def identity_names(spark, sf):
+    e = read(spark, sf, "embeddings").select(F.col("label").cast("long").alias("identity"), (F.col("vec_id") % 13).alias("photo"))
+    return folds.identity_names(e, "identity", "photo")
+
+
 _AB = with_("photos") + ", r as (select id, id % 9 <> 0 as success, id % 3 = 0 as b, id % 4 = 0 as raw, (id % 4 = 0 or score > 80) as e, id % 2 = 0 as top2, id % 7 = 0 as changed, (id % 100)::double as s from photos)"
 _PROT = with_("photos", "faces") + """, rows_ as (select id, case when score > 80 then 'selected' when status = 'F' then 'blurred' else 'duplicate' end as c, id % 3 = 0 as noisy from photos), picks as (select distinct photo as id from faces where line = 1 and area >= 0.004),
 x as (select r.*, k.id is not null and c <> 'selected' as protected from rows_ r left join picks k using (id))"""
@@ -191,5 +226,16 @@ select case when validated then weight else 0.0 end as weight, top1, pairwise, t
     "training_sets": with_("photos") + """, c as (select id, case when id % 5 = 0 then 0 else us end as s from photos where id % 8 <> 0), l as (select distinct id % 5000 as stem from photos where id % 4 = 1),
 h as (select status, coalesce(c.s = p.us, false) as valid, l.stem is not null as hit from photos p left join c using (id) left join l on l.stem = p.id % 5000)
 select status, count(*) as listed, count(*) filter (where valid) as cached, count(*) filter (where hit) as labelled, count(*) filter (where valid and hit) as positive, round_even(avg(valid::int::double), 6) as coverage from h group by 1""",
+    "group_resync": with_("photos") + """, r as (select *, row_number() over (partition by grp order by score desc, id) as rank, case when id % 6 = 0 then 3 else least(3, floor(score / 26)::int) end as stars from photos)
+select grp, arg_min(id, (-stars, rank, id)) as best, count(*) filter (where stars >= 2) as delivered, concat_ws('/', count(*) filter (where stars = 0), count(*) filter (where stars = 1), count(*) filter (where stars = 2), count(*) filter (where stars = 3)) as summary from r group by 1""",
+    "checked_changes": with_("photos") + """, c as (select id, status as value, id % 3 as revision, case when id % 4 = 0 then id % 2 end as e from photos)
+select id, case when e = revision then 'X' else value end as value, revision + case when e = revision then 1 else 0 end as revision, case when e is null then 'kept' when e = revision then 'applied' else 'conflict' end as outcome from c""",
+    "leading_receipts": with_("records") + """, r as (select user_id || '-' || (event_id % 5) as operation, ['preflight', 'execute', 'heartbeat'][event_id % 3 + 1] as kind, event_id as revision, event_type as status from records)
+select operation, kind, revision, status from (select *, row_number() over (partition by operation order by kind = 'execute' desc, revision desc) as k from r where kind <> 'heartbeat') where k = 1""",
+    "journal_progress": with_("records") + """, j as (select user_id, event_id % 11 as item, event_id as revision, case when value >= 40 then 'verified' when value < 10 then 'failed' else 'copied' end as state from records)
+select a.user_id, a.revision, count(*) filter (where l.state = 'verified') as done, count(*) filter (where l.state = 'failed') as failed from (select distinct user_id, revision from j) a,
+ lateral (select item, arg_max(state, b.revision) as state from j b where b.user_id = a.user_id and b.revision <= a.revision group by item) l group by 1, 2""",
+    "path_hashes": with_("photos") + ", p as (select id, '/photos/' || lower(status) || '/img_' || id || '.jpg' as path from photos) select id, path, sha256(path)[1:24] as hash from p",
+    "identity_names": "with f as (select label::bigint as identity, count(distinct vec_id % 13) as photos, count(*) as faces from embeddings where label > 0 group by 1) select identity, 'person-' || lpad((row_number() over (order by photos desc, faces desc, identity))::varchar, 3, '0') as name, photos, faces from f",
 }
 QUERIES = {k: globals()[k] for k in [*SQLS, "distinct_poses"]}
