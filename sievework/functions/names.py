@@ -57,10 +57,14 @@ def sound_request_id(x: Column) -> Column:
     return F.trim(x).rlike(r"^[0-9A-Fa-f-]{16,64}$")
 
 
-def capture_time(*texts: Column, modified: Column) -> Column:
-    """The first text that is a time in either accepted form, else the modification time."""
+def capture_time(*texts: Column, modified: Column, subsecond: Column | None = None) -> Column:
+    """The first text that is a time in either accepted form, with the digits of subsecond after its point, else the modification time."""
     forms = ("yyyy:MM:dd HH:mm:ss", "yyyy-MM-dd HH:mm:ss")
-    return F.coalesce(*[F.try_to_timestamp(t, F.lit(f)) for t in texts for f in forms], modified)
+    told = F.coalesce(*[F.try_to_timestamp(t, F.lit(f)) for t in texts for f in forms])
+    if subsecond is not None:
+        part = F.coalesce(F.rpad(F.regexp_extract(subsecond, "^[0-9]{1,6}", 0), 6, "0").cast("long"), F.lit(0))
+        told = F.timestamp_micros(F.unix_micros(told) + part)
+    return F.coalesce(told, modified)
 
 
 def time_range_label(first: Column, last: Column) -> Column:
