@@ -106,7 +106,7 @@ def repeated_runs(docs: DataFrame, min_words: int = 50) -> DataFrame:
     held = lines.join(reach.select("doc").distinct(), "doc", "left_semi").select("doc", "i").join(reach, ["doc", "i"], "left")
     order = "partition by doc order by i"
     gone = F.expr(f"max(to) over ({order})") >= F.col("i")
-    gone |= F.expr(f"min(from) over ({order} rows between current row and unbounded following)") <= F.col("i")
+    gone |= F.expr(f"min(from) over ({order} desc)") <= F.col("i")  # a running minimum from the end: frames up to the end cost their square
     covered = held.select("doc", "i", F.coalesce(gone, F.lit(False)).alias("gone"))
     opens = F.col("gone") & ~F.expr(f"lag(gone, 1, false) over ({order})")
     numbered = covered.select("doc", "i", "gone", opens.cast("int").alias("opens")).select("doc", "i", "gone", F.expr(f"sum(opens) over ({order})").alias("run")).filter("gone")
