@@ -160,7 +160,8 @@ def scan(docs: DataFrame, known: DataFrame | None = None, notices: DataFrame | N
     notices = F.broadcast(digests(spark, NOTICES)) if notices is None else notices
     held = docs.select("doc_id", text_or_empty().alias("_sw_text"))
     whole = held.select("doc_id", F.md5("_sw_text").alias("_sw_key"), F.sha2(canonical(F.col("_sw_text")), 256).alias("digest"))
-    lines = held.filter(F.col("_sw_text").rlike(_DECLARES)).select(F.md5("_sw_text").alias("_sw_key"), F.explode(F.split("_sw_text", "\n")).alias("line"))
+    some = held.filter(F.col("_sw_text").rlike(_DECLARES)).select(F.md5("_sw_text").alias("_sw_key"), "_sw_text")
+    lines = some.select("_sw_key", F.explode(F.split("_sw_text", "\n")).alias("line"))
     lines = lines.filter(F.col("line").rlike(_DECLARES)).select("_sw_key", F.sha2(canonical(F.col("line")), 256).alias("digest"))
     said = lines.join(notices, "digest").groupBy("_sw_key").agg(F.array_join(F.sort_array(F.collect_set("license_id")), ",").alias("notices"))
     return whole.join(known, "digest", "left").join(said, "_sw_key", "left").select("doc_id", "digest", "license_id", "notices")

@@ -29,7 +29,8 @@ def _doc(doc_id: Column, text: Column) -> Column:
 def _lines(docs: DataFrame) -> DataFrame:
     """(id, doc, i, h, n): one row for each line with a word; rows that repeat id and text count once."""
     held = docs.select(F.col("doc_id").alias("id"), text_or_empty().alias("t"))
-    rows = held.select("id", _doc(F.col("id"), F.col("t")).alias("doc"), F.posexplode(F.split("t", "\n", -1)).alias("i", "line"))
+    held = held.select("id", _doc(F.col("id"), F.col("t")).alias("doc"), "t")  # below the explode: once a text, not once a line
+    rows = held.select("id", "doc", F.posexplode(F.split("t", "\n", -1)).alias("i", "line"))
     rows = rows.filter(F.col("line").rlike(_LINE_WORD[:-1]))  # a first character is enough; words are counted once, after it
     rows = rows.select("id", "doc", "i", F.unhex(F.md5(F.col("line").cast("binary"))).alias("h"), F.regexp_count("line", F.lit(_LINE_WORD)).alias("n"))
     return rows.repartition("doc").dropDuplicates(["doc", "i"])
