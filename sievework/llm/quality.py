@@ -195,10 +195,10 @@ def judge(docs: DataFrame, refs: dict | None = None, min_chars_words: int = 50,
     sound = scored.filter("not base_failed")
     middle = sound.groupBy("group", "size").agg(F.percentile("class_distance", 0.5).alias("mc"), F.percentile("word_distance", 0.5).alias("mw"))
     apart = lambda d, m: F.percentile(F.round(F.abs(F.col(d) - F.col(m)), 4), 0.5)
-    off = sound.join(middle, ["group", "size"]).groupBy("group", "size", "mc", "mw").agg(apart("class_distance", "mc").alias("dc"), apart("word_distance", "mw").alias("dw"))
+    off = sound.join(F.broadcast(middle), ["group", "size"]).groupBy("group", "size", "mc", "mw").agg(apart("class_distance", "mc").alias("dc"), apart("word_distance", "mw").alias("dw"))
     limit = lambda m, d, ratio: F.greatest(F.col(m) + spread * 1.4826 * F.col(d), F.col(m) * ratio)
     limits = off.select("group", "size", limit("mc", "dc", class_ratio).alias("class_limit"), limit("mw", "dw", word_ratio).alias("word_limit"))
     far = F.coalesce(F.col("class_distance") > F.col("class_limit"), F.lit(False)) | F.coalesce(F.col("word_distance") > F.col("word_limit"), F.lit(False))
-    # one row a language and size: small, and joined by both
-    judged = scored.join(limits, ["group", "size"], "left").withColumn("kept", ~F.col("base_failed") & ~far)
+    # one row a language (1000 at most, and 'und') and power of two: broadcast, so that no group meets in one task
+    judged = scored.join(F.broadcast(limits), ["group", "size"], "left").withColumn("kept", ~F.col("base_failed") & ~far)
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "class_distance", "word_distance")
