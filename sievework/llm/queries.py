@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, clusters, langid, license, line_dedup, ngram_join, packing, pii, quality, toxicity
+from . import ann, bpe, clusters, langid, license, line_dedup, merkle, ngram_join, packing, pii, quality, toxicity
 from .common import fold, table
 
 
@@ -56,11 +56,15 @@ def op11_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clusters.cluster(table(spark, sf_dir, "embeddings"))
 
 
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_bpe, op3_quality, op4_ann, op5_license, op6_ngram_join, op7_toxicity, op8_langid, op9_line_dedup, op10_packing, op11_clusters, pipeline)}
-ORACLE = {"op5_license": license.oracle(), "op9_line_dedup": line_dedup.oracle(), "op11_clusters": clusters.oracle()}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_bpe, op3_quality, op4_ann, op5_license, op6_ngram_join, op7_toxicity, op8_langid, op9_line_dedup, op10_packing, op11_clusters, op12_merkle, pipeline)}
+ORACLE = {"op5_license": license.oracle(), "op9_line_dedup": line_dedup.oracle(), "op11_clusters": clusters.oracle(), "op12_merkle": merkle.oracle()}
