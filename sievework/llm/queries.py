@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, clusters, langid, license, line_dedup, merkle, ngram_join, packing, pii, quality, toxicity
+from . import ann, bpe, clusters, factors, langid, license, line_dedup, merkle, ngram_join, packing, pii, quality, toxicity
 from .common import fold, table
 
 
@@ -60,11 +60,16 @@ def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(table(spark, sf_dir, "documents"))
 
 
+def op13_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return factors.classify(docs, factors.fit(docs, labels.filter(fold("doc_id", 4) != 2)), fold("doc_id", 4) == 2)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_bpe, op3_quality, op4_ann, op5_license, op6_ngram_join, op7_toxicity, op8_langid, op9_line_dedup, op10_packing, op11_clusters, op12_merkle, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_bpe, op3_quality, op4_ann, op5_license, op6_ngram_join, op7_toxicity, op8_langid, op9_line_dedup, op10_packing, op11_clusters, op12_merkle, op13_factors, pipeline)}
 ORACLE = {"op5_license": license.oracle(), "op9_line_dedup": line_dedup.oracle(), "op11_clusters": clusters.oracle(), "op12_merkle": merkle.oracle()}
