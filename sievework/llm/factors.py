@@ -25,6 +25,7 @@ from .common import cut, discard, hashed_sample
 from .quality import _TABLE, CLASSES
 
 WORDS, SHAPES = 1 << 14, 1 << 10  # hashed places
+WORD_SHARE = 0.2  # length of the hashed words (and of the shapes) beside statistics of 1
 STEPS = 12  # size classes of a statistic, and one for absence
 SHARES = ("upper", "digit", "blank", "mark", "symbol", "other")
 STATISTICS = (*SHARES, "words", "word_length", "distinct_words", "top_word", "repeated_pairs", "lines", "line_length", "repeated_lines", "n_chars")
@@ -62,7 +63,7 @@ def _weighted(doc: np.ndarray, slot: np.ndarray, n: int) -> tuple[np.ndarray, np
     """(doc, slot, 1 + log count), the values of a document of unit length together."""
     doc, slot, count = _counted(doc, slot)
     value = 1 + np.log(count)
-    return doc, slot.astype(np.int64), value / np.sqrt(np.bincount(doc, value**2, n))[doc]
+    return doc, slot.astype(np.int64), WORD_SHARE * value / np.sqrt(np.bincount(doc, value**2, n))[doc]
 
 
 def inputs(texts: list[str], n_chars: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -112,7 +113,7 @@ def inputs(texts: list[str], n_chars: np.ndarray) -> tuple[np.ndarray, np.ndarra
     for j, name in enumerate(STATISTICS):
         x = np.asarray(facts[name], float)
         step = np.where(np.isnan(x), STEPS, np.minimum(np.log2(1 + np.maximum(np.nan_to_num(x), 0)), STEPS - 1)).astype(np.int64)
-        parts.append((np.arange(n), WORDS + SHAPES + j * (STEPS + 1) + step, np.full(n, 0.5)))
+        parts.append((np.arange(n), WORDS + SHAPES + j * (STEPS + 1) + step, np.full(n, 1.0)))
     document, place, value = map(np.concatenate, zip(*parts, strict=True))
     order = np.lexsort((place, document))
     return document[order], place[order], value[order]
@@ -147,7 +148,7 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(x, -50, 50)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, at_most: int = 20_000, rank: int = 4, iterations: int = 60, step: float = 0.05, ridge: float = 1e-3, seed: int = 13) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, at_most: int = 20_000, rank: int = 4, iterations: int = 60, step: float = 0.05, ridge: float = 3e-2, seed: int = 13) -> Model:
     """Model from about at_most labelled documents (documented bound; rows chosen by hash of doc_id).
 
     Rows without a label, text or doc_id teach nothing; a document labelled twice counts for its least label, and of
