@@ -177,7 +177,7 @@ def plain_inputs(text, n_chars):
     for slots in ([k % factors.WORDS for k in keys], [factors.WORDS + s % factors.SHAPES for s in shapes]):
         count = Counter(slots)
         size = math.sqrt(sum((1 + math.log(n)) ** 2 for n in count.values()))
-        total |= {s: (1 + math.log(n)) / size for s, n in count.items()}
+        total |= {s: factors.WORD_SHARE * (1 + math.log(n)) / size for s, n in count.items()}
     n, lines = max(len(words), 1), [w for x in text.split("\n") if (w := tuple(t.lower() for t in cut(x)))]
     kinds = Counter(map(kind, text))
     pairs = Counter(zip(keys, keys[1:], strict=False))
@@ -186,7 +186,7 @@ def plain_inputs(text, n_chars):
     facts |= {"repeated_pairs": 1000 * sum(k for k in pairs.values() if k > 1) / n, "lines": len(lines), "line_length": 10 * len(words) / max(len(lines), 1), "repeated_lines": 1000 * (len(lines) - len(set(lines))) / max(len(lines), 1), "n_chars": n_chars}
     for j, name in enumerate(factors.STATISTICS):
         x = facts[name]
-        total[factors.WORDS + factors.SHAPES + j * (factors.STEPS + 1) + (factors.STEPS if x is None else min(factors.STEPS - 1, int(math.log2(1 + x))))] = 0.5
+        total[factors.WORDS + factors.SHAPES + j * (factors.STEPS + 1) + (factors.STEPS if x is None else min(factors.STEPS - 1, int(math.log2(1 + x))))] = 1.0
     return total
 
 
