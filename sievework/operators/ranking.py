@@ -13,6 +13,12 @@ def temporal_order(t: str, sequence: str, name: str, key: str) -> list[Column]:
     return [F.col(t).asc_nulls_last(), seq.asc_nulls_last(), F.lower(name).asc(), F.col(key).asc()]
 
 
+def temporal_place(t: str, sequence: str, name: str, key: str) -> Column:
+    """A struct that compares as temporal_order sorts."""
+    known = F.when(F.col(sequence) >= 0, F.col(sequence))
+    return F.struct(F.col(t).isNull().alias("u"), F.col(t).alias("t"), known.isNull().alias("v"), known.alias("s"), F.lower(name).alias("n"), F.col(key).alias("k"))
+
+
 def sessions(rows: DataFrame, key: str, t: str, gap: float, tie: str) -> DataFrame:
     """session: number of the row's activity session within key; a gap of more than `gap` opens a new one."""
     w = Window.partitionBy(key).orderBy(t, tie)
@@ -73,6 +79,23 @@ def folder_stages(rows: DataFrame, path: str, order: str) -> DataFrame:
     return named.join(stages, "folder")
 
 
+def folder_stages_by(rows: DataFrame, key: str, path: str, place: Column, tie: str) -> DataFrame:
+    """(key, tie, folder_stage): stages by top folder within each key, numbered by their first rows (least place); null where folders don't carry stages.
+
+    See folder_stages; here every key (a budget) is judged by itself, in one grouped pass.
+    """
+    from ..functions.names import top_folder
+
+    folder = F.coalesce(F.nullif(top_folder(F.col(path)), F.lit("")), F.lit("root"))
+    named = rows.select(key, tie, folder.alias("_f"), place.alias("_o"))
+    by = named.groupBy(key, "_f").agg(F.min("_o").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    all_ = Window.partitionBy(key)
+    nested, kinds = F.sum(F.when(F.col("_f") != "root", F.col("_n")).otherwise(0)).over(all_), F.count_if(F.col("_f") != "root").over(all_)
+    usable = (kinds >= 2) & (nested >= F.greatest(F.lit(2), F.bround(0.8 * F.sum("_n").over(all_))))
+    stages = by.select(key, "_f", F.when(usable, F.row_number().over(all_.orderBy("_first", "_f"))).cast("long").alias("folder_stage"))
+    return named.join(stages, [key, "_f"]).select(key, tie, "folder_stage")
+
+
 def running_total(rows: DataFrame, order: list[Column], value: Column, name: str) -> DataFrame:
     """Sum of value over all rows up to each row in a total order, without gathering them in one task.
 

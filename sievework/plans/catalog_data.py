@@ -116,7 +116,7 @@ def online_groups(spark, sf):
     like = 1 - F.abs(F.col("l_score") - F.col("r_score")) / 200
     time = F.exp(-F.abs(F.col("l_t") - F.col("r_t")) / 18)
     ev = near.select(F.col("l_event_id").alias("left"), F.col("r_event_id").alias("right"), like.alias("total"), like.alias("scene"), (like >= 0.99).alias("strong"), F.lit(True).alias("compatible"), time.alias("time"), F.lit(0).alias("shared"), F.lit(None).cast("double").alias("pose"))
-    return folds.online_groups(rows, ev, "part", "event_id", ["t"], p)
+    return folds.online_groups(rows, pairs.group_rules(ev, p), "part", "event_id", ["t"], p)
 
 
 def identity_clusters(spark, sf):
