@@ -262,24 +262,52 @@ def test_pairs_without_time_meet_by_sequence(spark):
     assert grp[1] == grp[2] != grp[4]
 
 
+def test_copies_of_other_people_stay_apart(spark):
+    """Equal features, other sure people: no strict cluster, no photo lost; a photo without time joins its neighbours in sequence."""
+    from sievework.plans.decide import decide
+
+    d = decide(photo_rows(spark, [(1, 0.0, 1, 7, ["a"]), (2, 1.0, 2, 7, ["b"]), (3, 9000.0, 300, 7, ["c"])])).photos.collect()
+    assert len({r["cluster"] for r in d}) == 3 and all(r["stars"] >= 2 for r in d)
+    three = decide(photo_rows(spark, [(1, 0.0, 1, 7, ["a"]), (2, None, 2, 7, ["a"]), (3, 1.0, 3, 7, ["a"])])).photos.collect()
+    assert len({r["grp"] for r in three}) == 1 and len({r["cluster"] for r in three}) == 1
+
+
+def test_many_copies_are_one_row(spark):
+    """Copies of one kind stand for each other, whatever their number; what can't be read is nobody's duplicate."""
+    from sievework.operators import duplicates
+
+    rows_ = [(i, 1, float(i * 100), i, f"n{i}", ["a"] if i % 3 else ["a", "b"], i % 50 != 7, 5, 5, [1.0]) for i in range(3000)]
+    d = spark.createDataFrame(rows_, "id long, budget long, t double, seq int, name string, sure array<string>, readable boolean, phash long, dhash long, layout array<double>")
+    d = d.select("*", *[F.col("layout").alias(c) for c in ("color", "edge", "semantic")])
+    kinds = duplicates.kinds_of(d)
+    links = duplicates.kind_pairs(kinds)
+    assert links.count() == 3  # two readable kinds: each with itself, and both together
+    got = duplicates.strict_clusters(kinds, links).groupBy("cluster").count().collect()
+    assert sorted(r["count"] for r in got) == [1] * 60 + [2940]
+
+
 def evidence(**changes):
     base = dict(total=0.7, scene=0.7, strong=False, compatible=True, time=0.6, shared=0, pose=None, semantic=0.85, composition=0.5, phash=0.5, dhash=0.5, depth=None)
     return base | changes
 
 
-def test_merge_rules():
+def test_merge_rules(spark):
     from sievework.config import preset
-    from sievework.operators.folds import _mergeable
+    from sievework.operators import pairs
+
+    kinds = "left long, right long, total double, scene double, strong boolean, compatible boolean, time double, shared int, pose double, semantic double, composition double, phash double, dhash double, depth double"
+
+    def merges(name="balanced", **changes):
+        d = spark.createDataFrame([(1, 2, *evidence(**changes).values())], kinds)
+        r = pairs.group_rules(d, preset(name)).first()
+        return r["merges_shared"], r["merges_alone"]
 
-    p = preset("balanced")
-    assert _mergeable(evidence(), p, set(), set())
-    assert not _mergeable(evidence(strong=True), p, {"a"}, {"b"})  # different people, whatever the picture
-    assert _mergeable(evidence(strong=True, compatible=False), p, {"a"}, {"a"})
-    assert not _mergeable(evidence(semantic=0.8), p, set(), set()) and _mergeable(evidence(semantic=None, composition=0.8), p, set(), set()) and _mergeable(evidence(semantic=None, dhash=0.84), p, set(), set())
-    assert _mergeable(evidence(time=0.5, scene=0.64, total=0.62, semantic=None), p, {"a"}, {"a", "b"}) and not _mergeable(evidence(time=0.5), p, {"a"}, set())
-    assert not _mergeable(evidence(pose=0.3), p, set(), set())
-    assert _mergeable(evidence(pose=0.93, scene=0.6, total=0.57, time=0.5, semantic=None), p, set(), {"a"}) and not _mergeable(evidence(pose=0.93, depth=0.5, scene=0.6, total=0.57, semantic=None), p, set(), set())
-    assert not _mergeable(evidence(time=0.5), preset("cautious"), set(), set())
+    assert merges() == (True, True) and merges("cautious", time=0.5) == (False, False)
+    assert merges(strong=True, compatible=False) == (True, True)
+    assert not merges(semantic=0.8)[1] and merges(semantic=None, composition=0.8)[1] and merges(semantic=None, dhash=0.84)[1]
+    assert merges(time=0.5, scene=0.64, total=0.62, semantic=None) == (True, False) and merges(time=0.5) == (True, False)
+    assert merges(pose=0.3) == (False, False)
+    assert merges(pose=0.93, scene=0.6, total=0.57, time=0.5, semantic=None) == (True, True) and not merges(pose=0.93, depth=0.5, scene=0.6, total=0.57, semantic=None)[1]
 
 
 def test_groups_with_different_people_stay_apart(spark):
@@ -289,9 +317,9 @@ def test_groups_with_different_people_stay_apart(spark):
     d = spark.createDataFrame([("p", k, t, 50.0 + k, people) for k, t, people in at], "part string, id long, t double, score double, people array<string>")
     links = [(a, b, 0.9, 0.9, True, True, 0.9, 0, None) for a, *_ in at for b, *_ in at if a < b]
     e = spark.createDataFrame(links, "left long, right long, total double, scene double, strong boolean, compatible boolean, time double, shared int, pose double")
-    got = {r["id"]: (r["group_no"], round(r["confidence"], 6)) for r in folds.online_groups(d, e, "part", "id", ["t"], preset("balanced")).collect()}
+    got = {r["id"]: (r["group_no"], round(r["confidence"], 6)) for r in folds.online_groups(d, pairs.group_rules(e, preset("balanced")), "part", "id", ["t"], preset("balanced")).collect()}
     assert [got[k][0] for k in range(1, 6)] == [1, 1, 2, 2, 1] and got[1][1] == 0.9
-    alone = folds.online_groups(d.filter("id = 1"), e.limit(0), "part", "id", ["t"], preset("balanced")).collect()
+    alone = folds.online_groups(d.filter("id = 1"), pairs.group_rules(e, preset("balanced")).limit(0), "part", "id", ["t"], preset("balanced")).collect()
     assert [(r["group_no"], r["confidence"]) for r in alone] == [(1, 1.0)]
 
 
