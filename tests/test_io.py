@@ -177,3 +177,53 @@ def test_models_and_operations(spark, tmp_path):
     assert os.listdir(inbox) == ["w.json"]
     ops.beat(str(tmp_path / "beat.json"), busy=False)
     assert ops.fresh(spark.read.json(str(tmp_path / "beat.json")), __import__("time").time()).count() == 1
+
+
+def test_chunked_catalogue(spark, tmp_path):
+    """A chunk that fails leaves the state before it, a run that goes on completes, and a changed catalogue asks for a new plan."""
+    from sievework.sinks import chunked
+
+    def state(c):
+        return {r["id"]: r["rating"] for r in c.read().collect()}
+
+    changes = spark.createDataFrame([(f"p{k:02d}", "update" if k < 12 else "new", k % 4 if k < 12 else None, 3) for k in range(14)], "id string, action string, previous int, target int")
+    base = {f"p{k:02d}": k % 4 for k in range(12)}
+    rows_ = spark.createDataFrame([*base.items()], "id string, rating int")
+    c = chunked.Catalogue(spark, str(tmp_path / "cat"))
+    c.put("base", rows_)
+    chunked.submit(changes, str(tmp_path / "plan"), {"update": 5, "new": 1})
+
+    def torn(name, rows):  # the second chunk loses rows on its way
+        c.put(name, rows.filter("id < 'p06'") if name == "update-00000001" else rows)
+
+    run = lambda put=None: chunked.execute(spark, str(tmp_path / "plan"), c, str(tmp_path / "ck"), put)
+    assert run(torn) == "failed"
+    done = c.states()
+    assert done.pop("update-00000001") == "failed" and set(done.values()) <= {"complete"}
+    written = {f"p{k:02d}" for k in range(14) if ("update-%08d" % (k // 5) if k < 12 else "new-%08d" % (k - 12)) in done}
+    assert state(c) == base | dict.fromkeys(written, 3)
+    assert run() == "complete"
+    assert state(c) == dict.fromkeys([f"p{k:02d}" for k in range(14)], 3) and set(c.states().values()) == {"complete"} and len(c.states()) == 5
+    again = chunked.Catalogue(spark, str(tmp_path / "cat2"))
+    again.put("base", rows_)
+    again.put("other", spark.createDataFrame([("p07", 0)], "id string, rating int"))
+    assert chunked.execute(spark, str(tmp_path / "plan"), again, str(tmp_path / "ck2")) == "replan_required"
+    now = state(again)
+    assert now["p07"] == 0 and all(v == 3 or v == base[k] for k, v in now.items() if k in base and k != "p07")
+
+
+def test_rating_features_that_are_not_finite(spark):
+    from sievework.operators import features
+
+    faces = spark.createDataFrame([("a", 0, "x", 0.004, 0.9, 0.0, 0.2, -10.0, 50.0), ("a", 1, None, 0.0001, 0.9, 0.0, 0.9, 5.0, 1.0)], "photo string, face_index int, person string, area double, confidence double, roll double, occlusion double, yaw double, smile double")
+    m = lambda **k: {n: float(v) for n, v in k.items()}
+    good = m(musiq_score=60, qualiclip_score=0.5, face_quality_score=80, depth_background_blur_score=70, motion_blur_score=40)
+    data = [("a", 1, good), ("b", 1, m(musiq_score=70, qualiclip_score=0.4)), ("c", 2, m(musiq_score=70, qualiclip_score=float("nan"), eye_score=9)), ("d", 2, None), ("e", 3, m(eye_score=float("inf"))), ("f", 3, m(eye_score=1))]
+    rows_ = spark.createDataFrame([(i, b, "g", x) for i, b, x in data], "id string, budget int, grp string, metrics map<string,double>")
+    got = {r["id"]: r for r in features.rating_features(rows_, faces, "budget", "grp", F.col("id")).collect()}
+    assert {k: (r["profile"], r["reason"]) for k, r in got.items()} == {"a": ("iqa", ""), "b": ("iqa", ""), "c": ("base", "scores_incomplete"), "d": ("base", "scores_incomplete"), "e": ("stable", "not_finite"), "f": ("stable", "not_finite")}
+    names_ = features.BASE_FEATURES + features.SCORE_FEATURES
+    a = dict(zip(names_, got["a"]["x"], strict=True))
+    assert (a["face_count"], a["largest_face_ratio"], a["mean_abs_yaw"], a["portrait_present"], a["person_count"], a["dof_portrait_quality"]) == (2.0, 4.0, 10.0, 1.0, 1.0, 80.0)
+    assert (a["iqa_musiq"], a["iqa_qualiclip"], a["iqa_relative_musiq"], a["iqa_relative_qualiclip"], a["iqa_consensus"], a["iqa_disagreement"]) == (60.0, 50.0, 0.0, 100.0, 50.0, 100.0)
+    assert got["e"]["x"] is None and len(got["c"]["x"]) == 37 and set(got["d"]["x"]) == {0.0}

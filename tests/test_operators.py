@@ -194,6 +194,31 @@ def test_auc_and_pairs(spark):
     assert evaluate.best_threshold(evaluate.threshold_sweep(d, "s", F.col("y"))).first()["f1"] == 0.8
 
 
+def test_pairwise_fit_without_pairs(spark):
+    """The weights of logistic regression over all pairs, and a group whose pairs nobody could list."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import VectorAssembler
+
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    data = [(f"g{i % 14}", *(float(v) for v in x), bool(x[0] - 0.5 * x[1] + rng.normal() > 0.3)) for i, x in enumerate(rng.normal(size=(260, 3)) * [1.0, 5.0, 0.1])]
+    data += [("one", 1.0, 1.0, 1.0, True), ("none", 0.0, 0.0, 0.0, False)]
+    d = spark.createDataFrame(data, "g string, a double, b double, c double, y boolean")
+    listed = VectorAssembler(inputCols=["a", "b", "c"], outputCol="_x").transform(model.pair_differences(d, "g", ["a", "b", "c"], F.col("y")))
+    want = LogisticRegression(featuresCol="_x", weightCol="weight", regParam=0.045, fitIntercept=False, maxIter=200, tol=1e-10).fit(listed).coefficients.toArray()
+    got = model.fit_pairwise(d, "g", ["a", "b", "c"], F.col("y"))
+    assert np.abs(got.coefficients - want).max() < 1e-4 and got.groups == 14
+    others, at = rng.normal(size=3000) * 3, rng.normal(size=2000) * 3
+    for a, b in zip(model._sums_over(others, at), model._sums_over(others, at, exact=1 << 30), strict=True):
+        assert np.abs(a - b).max() < 1e-6
+    large = spark.range(100_000).select(F.lit("g").alias("g"), F.randn(1).alias("a"), F.randn(2).alias("b"))
+    large = large.withColumn("y", F.col("a") + F.randn(3) > 0)
+    m = model.fit_pairwise(large, "g", ["a", "b"], F.col("y"), iterations=6)
+    assert m.coefficients[0] > 10 * abs(m.coefficients[1]) and m.groups == 1
+    assert not model.fit_pairwise(d.filter("g in ('one', 'none')"), "g", ["a"], F.col("y")).coefficients.any()
+
+
 def test_micro_average_is_three_valued(spark):
     f = lambda *oks: evaluate.micro_average(spark.createDataFrame([(1, 1, 1, 1, o) for o in oks], "tp int, fp int, fn int, tn int, ok boolean")).first()["ok"]
     assert (f(True, True), f(True, None), f(None, False)) == (True, None, False)
