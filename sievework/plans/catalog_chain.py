@@ -93,6 +93,25 @@ def matched_poses(spark, sf):
     return matching.pose_matches(pairs, poses).select("left", "right", F.round("pose", 6).alias("pose"))
 
 
+def report_metrics(spark, sf):
+    """Reports of every customer's orders, nested in one of three ways by the customer's market segment, and read again."""
+    from ..sources import evaluations
+
+    x = read(spark, sf, "orders").groupBy(F.col("o_custkey").alias("k")).agg(
+        F.bround(F.avg((F.col("o_orderstatus") == "F").cast("double")), 4).alias("top1"), F.bround(F.avg((F.col("o_orderstatus") != "P").cast("double")), 4).alias("top2"), F.bround(F.max("o_totalprice") / 300_000, 4).alias("f1"), F.bround(1 / F.count(F.lit(1)), 4).alias("dedup"),
+        F.count_if(F.col("o_orderpriority") == "1-URGENT").alias("closed"), F.count(F.lit(1)).alias("need"), (F.count_if(F.col("o_orderpriority") == "5-LOW") * 2).alias("open"),
+    )
+    c = read(spark, sf, "customer").select(F.col("c_custkey").alias("k"), F.col("c_mktsegment").alias("segment"))
+    nested = F.struct(
+        F.struct(F.col("top1").alias("top1_exact_group_hit_rate"), F.col("top2").alias("group_hit_at_2")).alias("group_evaluation"), F.struct("f1").alias("strict_ai_best"), F.struct(F.col("dedup").alias("top1_reduction_rate")).alias("grouping_summary"),
+        F.struct(F.col("closed").alias("manual_with_decisive_closed")).alias("eye_evidence_evaluation"), F.struct(F.struct(F.col("need").alias("required_cells"), F.col("open").alias("unresolved_cells")).alias("coverage_guard")).alias("engine"),
+    )
+    flat = F.struct("top1", "top2", F.col("f1").alias("strict_f1"), "dedup", "closed", F.struct(F.col("need").alias("required_cells"), F.col("open").alias("unresolved_cells")).alias("coverage_guard"))
+    text = F.when(F.col("segment") == "BUILDING", F.to_json(flat)).when(F.col("segment") == "AUTOMOBILE", F.to_json(F.struct(nested.alias("summary")))).when(F.col("segment") == "MACHINERY", F.concat(F.lit("["), F.to_json(nested), F.lit("]"))).otherwise(F.to_json(nested))
+    out = evaluations.report_metrics(x.join(c, "k").select("k", text.alias("text")), "k", "text")
+    return out.select("k", "top1", "top2", "strict_f1", "dedup", F.round("coverage", 6).alias("coverage"), "closed", F.concat_ws(",", "faults").alias("faults"))
+
+
 _X = """x as (select l_orderkey as photo, l_suppkey as person, l_quantity / 10000 as area, 1 - 5 * l_discount as confidence, l_linenumber * 7.0 as roll, case l_returnflag when 'R' then 'Closed' when 'A' then 'Partial' else 'Open' end as eyes,
  1 - 10 * l_tax as op, case when l_linestatus = 'O' then l_quantity end as quality, l_extendedprice / 1000 as sharp, l_quantity::double as eye_sharp, l_tax * 500 as fine, l_tax * 10 as occlusion, l_discount * 300 - 15 as yaw, l_quantity * 2.0 as smile from lineitem),
 sx as (select * from x where (area >= 0.0006 and confidence >= 0.82) or (area >= 0.0010 and confidence >= 0.65) or (area >= 0.0025 and confidence >= 0.55)),
@@ -136,6 +155,11 @@ select budget, person from s group by 1, 2 having count(distinct photo) >= 2 or
 b as (select grp, folder, min((us, id)) as first, count(*) as n from f group by 1, 2),
 k as (select *, row_number() over (partition by grp order by first, folder) as stage, count(*) filter (folder <> 'root') over (partition by grp) as kinds, coalesce(sum(n) filter (folder <> 'root') over (partition by grp), 0) as nested, sum(n) over (partition by grp) as total from b)
 select f.grp, f.id, case when kinds >= 2 and nested >= greatest(2, round_even(0.8::double * total, 0)) then stage end as folder_stage from f join k using (grp, folder)""",
+    "report_metrics": """with x as (select o_custkey as k, round_even(avg((o_orderstatus = 'F')::int::double), 4) as top1, round_even(avg((o_orderstatus <> 'P')::int::double), 4) as top2, round_even(max(o_totalprice) / 300000, 4) as f1, round_even(1 / count(*), 4) as dedup,
+ count(*) filter (o_orderpriority = '1-URGENT') as closed, count(*) as need, count(*) filter (o_orderpriority = '5-LOW') * 2 as open from orders group by 1),
+y as (select x.*, c_mktsegment <> 'MACHINERY' as ok, f1 <= 1 as f, open <= need as c from x join customer on c_custkey = k)
+select k, case when ok then top1 end as top1, case when ok then top2 end as top2, case when ok and f then f1 end as strict_f1, case when ok then dedup end as dedup, case when ok and c then round((need - open) / need, 6) end as coverage, case when ok then closed end as closed,
+ case when not ok then 'not_an_object' else concat_ws(',', case when not f then 'strict_f1' end, case when not c then 'coverage' end) end as faults from y""",
     "matched_poses": with_("photos").replace("with ", "with recursive ", 1) + """, l as (select l_orderkey as photo, l_linenumber::bigint as i, max(l_suppkey) as person, max(l_quantity) as q, max(l_discount) as d, max(l_tax) as t, max(l_linestatus) as s from lineitem group by 1, 2),
 p0 as (select photo, i, list_transform(embedding[1:8], lambda z: z::double * 3) as e, q / 50 as visibility, 1 - 5 * d as presence, case when s = 'O' then t * 12 end as front, q / 50 as x, t * 10 as y from l join embeddings on vec_id = person),
 p1 as (select *, max(front) over (partition by photo) as top from p0 where visibility >= 0.20 and presence >= 0.60),
