@@ -24,9 +24,14 @@ def logistic(features: list[Column], mean: list[float], scale: list[float], weig
     return sigmoid(sum(terms, F.lit(float(bias))))
 
 
+def hash_share(text: Column) -> Column:
+    """The first 64 bits of SHA-256 over text as a share of 2^64."""
+    return F.conv(F.substring(F.sha2(text, 256), 1, 16), 16, 10).cast("decimal(20,0)").cast("double") / 2.0**64
+
+
 def hash_split(key: Column, salt: str, train: float, validation: float) -> Column:
     """train, validation or test by the first 64 bits of SHA-256 over salt and key, as a share of 2^64."""
-    share = F.conv(F.substring(F.sha2(F.concat_ws(":", F.lit(salt), key.cast("string")), 256), 1, 16), 16, 10).cast("decimal(20,0)").cast("double") / 2.0**64
+    share = hash_share(F.concat_ws(":", F.lit(salt), key.cast("string")))
     return F.when(share < train, "train").when(share < train + validation, "validation").otherwise("test")
 
 

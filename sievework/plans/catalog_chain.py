@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import features, matching, people, ranking
+from ..operators import features, matching, people, ranking, training
 from . import proxies as P
 from .proxies import read, with_
 
@@ -112,6 +112,18 @@ def report_metrics(spark, sf):
     return out.select("k", "top1", "top2", "strict_f1", "dedup", F.round("coverage", 6).alias("coverage"), "closed", F.concat_ws(",", "faults").alias("faults"))
 
 
+def training_examples(spark, sf):
+    """Datasets are market segments, groups the orders of a customer, labels the orders above 300,000; the customers of nation 3 are locked."""
+    c = read(spark, sf, "customer").select(F.col("c_custkey").alias("grp"), F.col("c_mktsegment").alias("dataset"), F.col("c_nationkey").alias("nation"))
+    o = read(spark, sf, "orders").select(F.col("o_custkey").alias("grp"), F.col("o_orderkey").cast("string").alias("id"), F.col("o_totalprice").alias("score"), F.col("o_orderpriority").alias("name")).join(c, "grp")
+    photos = o.select("dataset", F.col("grp").cast("string").alias("grp"), "id", F.col("id").alias("stem"), "name", F.substring("name", 1, 1).cast("int").alias("rank"), "score")
+    labels = o.filter("score > 300000").select("dataset", F.col("id").alias("stem"))
+    locked = c.filter("nation = 3").select("dataset", F.col("grp").cast("string").alias("grp"))
+    groups = training.labelled_groups(photos, labels, locked)
+    out = training.examples(photos, labels, groups)
+    return out.select("dataset", "grp", "split", "permutation", F.array_join("candidates", ",").alias("candidates"), F.array_join("best", ",").alias("best"))
+
+
 _X = """x as (select l_orderkey as photo, l_suppkey as person, l_quantity / 10000 as area, 1 - 5 * l_discount as confidence, l_linenumber * 7.0 as roll, case l_returnflag when 'R' then 'Closed' when 'A' then 'Partial' else 'Open' end as eyes,
  1 - 10 * l_tax as op, case when l_linestatus = 'O' then l_quantity end as quality, l_extendedprice / 1000 as sharp, l_quantity::double as eye_sharp, l_tax * 500 as fine, l_tax * 10 as occlusion, l_discount * 300 - 15 as yaw, l_quantity * 2.0 as smile from lineitem),
 sx as (select * from x where (area >= 0.0006 and confidence >= 0.82) or (area >= 0.0010 and confidence >= 0.65) or (area >= 0.0025 and confidence >= 0.55)),
@@ -155,6 +167,15 @@ select budget, person from s group by 1, 2 having count(distinct photo) >= 2 or
 b as (select grp, folder, min((us, id)) as first, count(*) as n from f group by 1, 2),
 k as (select *, row_number() over (partition by grp order by first, folder) as stage, count(*) filter (folder <> 'root') over (partition by grp) as kinds, coalesce(sum(n) filter (folder <> 'root') over (partition by grp), 0) as nested, sum(n) over (partition by grp) as total from b)
 select f.grp, f.id, case when kinds >= 2 and nested >= greatest(2, round_even(0.8::double * total, 0)) then stage end as folder_stage from f join k using (grp, folder)""",
+    "training_examples": """with p as (select c_mktsegment as dataset, o_custkey::varchar as grp, o_orderkey::varchar as id, o_totalprice as score, o_orderpriority as name, o_orderpriority[1]::int as rank, o_totalprice > 300000 as y, c_nationkey = 3 as locked from orders join customer on c_custkey = o_custkey),
+g as (select dataset, grp, count(*) as n, count(*) filter (y) as k, bool_or(locked) as locked, ('0x' || sha256(dataset || '|' || grp)[1:16])::ubigint::double / 2::double ** 64 as h from p group by 1, 2 having count(*) >= 2),
+s as (select *, case when locked then 'test' when h < 0.15::double then 'validation' else 'train' end as split from g where k > 0),
+c as (select p.*, s.split, s.k, row_number() over (partition by p.dataset, p.grp order by y desc, rank, score desc, name, id) as r from p join s on s.dataset = p.dataset and s.grp = p.grp where s.split = 'test' or s.k = 1),
+d as (select *, sha256(dataset || '|' || grp || case when split = 'test' then '|holdout|' else '|' end || id) as place from c where r <= case when split = 'test' then greatest(4, k) else 4 end),
+e as (select dataset, grp, split, list(id order by place) as c, list(y order by place) as f from d group by 1, 2, 3),
+t as (select *, unnest(case when split = 'train' then [0, 1] else [0] end) as permutation from e),
+u as (select *, case when permutation = 1 then list_concat(c[2:], c[1:1]) else c end as cc, case when permutation = 1 then list_concat(f[2:], f[1:1]) else f end as ff from t)
+select dataset, grp, split, permutation, array_to_string(cc, ',') as candidates, array_to_string(list_transform(list_filter(list_zip(cc, ff), lambda z: z[2]), lambda z: z[1]), ',') as best from u""",
     "report_metrics": """with x as (select o_custkey as k, round_even(avg((o_orderstatus = 'F')::int::double), 4) as top1, round_even(avg((o_orderstatus <> 'P')::int::double), 4) as top2, round_even(max(o_totalprice) / 300000, 4) as f1, round_even(1 / count(*), 4) as dedup,
  count(*) filter (o_orderpriority = '1-URGENT') as closed, count(*) as need, count(*) filter (o_orderpriority = '5-LOW') * 2 as open from orders group by 1),
 y as (select x.*, c_mktsegment <> 'MACHINERY' as ok, f1 <= 1 as f, open <= need as c from x join customer on c_custkey = k)

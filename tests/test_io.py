@@ -227,3 +227,62 @@ def test_rating_features_that_are_not_finite(spark):
     assert (a["face_count"], a["largest_face_ratio"], a["mean_abs_yaw"], a["portrait_present"], a["person_count"], a["dof_portrait_quality"]) == (2.0, 4.0, 10.0, 1.0, 1.0, 80.0)
     assert (a["iqa_musiq"], a["iqa_qualiclip"], a["iqa_relative_musiq"], a["iqa_relative_qualiclip"], a["iqa_consensus"], a["iqa_disagreement"]) == (60.0, 50.0, 0.0, 100.0, 50.0, 100.0)
     assert got["e"]["x"] is None and len(got["c"]["x"]) == 37 and set(got["d"]["x"]) == {0.0}
+
+
+def test_training_set(spark, tmp_path):
+    """Records, manifest, held-out lists and counts against a plain version; a locked group that is missing is an error."""
+    import hashlib
+
+    from sievework.operators import training
+
+    data = [(f"d{g % 2}", f"g{g}", f"p{g}-{k}", f"S{g}-{k}", f"n{k % 2}", k % 3, float(10 * k % 7)) for g in range(40) for k in range(1 + g % 7)]
+    p = spark.createDataFrame(data, "dataset string, grp string, id string, stem string, name string, rank int, score double")
+    marked = {(g, k) for g in range(40) for k in range(1 + g % 7) if (g * 7 + k * 3) % 5 == 0 or (g % 4 == 0 and k == 1)}
+    labels = spark.createDataFrame([(f"d{g % 2}", f"s{g}-{k}") for g, k in marked], "dataset string, stem string")
+    groups_ = {g: [r for r in data if r[1] == f"g{g}"] for g in range(40)}
+    yes = lambda r: tuple(map(int, r[2][1:].split("-"))) in marked
+    tests = [g for g, rs in groups_.items() if len(rs) > 1 and any(map(yes, rs))][:3]
+    locked = spark.createDataFrame([(f"d{g % 2}", f"g{g}") for g in tests], "dataset string, grp string")
+    digest = lambda *x: hashlib.sha256("|".join(x).encode()).hexdigest()
+    want = {}
+    for g, rs in groups_.items():
+        hits = [r for r in rs if yes(r)]
+        if len(rs) < 2 or not hits:
+            continue
+        split = "test" if g in tests else "validation" if int(hashlib.sha256(f"d{g % 2}|g{g}".encode()).hexdigest()[:16], 16) / 2**64 < 0.3 else "train"
+        best_first = lambda r: (r[5] or 1_000_000, -r[6], r[4], r[2])
+        line = sorted(hits, key=best_first) + sorted((r for r in rs if not yes(r)), key=best_first)
+        if split != "test" and len(hits) > 1:
+            continue
+        line = line[: max(3, len(hits)) if split == "test" else 3]
+        line.sort(key=lambda r: digest(r[0], r[1], *(["holdout"] if split == "test" else []), r[2]))
+        for t in range(2 if split == "train" else 1):
+            now = line[t % len(line) :] + line[: t % len(line)]
+            want[f"g{g}", split, t] = ([r[2] for r in now], [r[2] for r in now if yes(r)])
+    out = str(tmp_path / "set")
+    training.write_training_set(p, labels, locked, F.concat_ws(" ", F.lit("best of"), F.array_join("candidates", " ")), out, 0.3, 3, 2)
+    got = {(r["grp"], r["split"], r["permutation"]): (r["candidates"], r["best"]) for part in ("manifest", "holdout") for r in spark.read.json(f"{out}/{part}").collect()}
+    assert got == want and {s for _, s, _ in want} == {"train", "validation", "test"}
+    records = [r["value"] for r in spark.read.text(f"{out}/train").collect()]
+    assert len(records) == sum(s == "train" for _, s, _ in want) and all("best of p" in r for r in records)
+    total = spark.read.json(f"{out}/summary").agg(F.sum("test"), F.sum("train")).first()
+    assert total[0] == 3 and 2 * total[1] == len(records)
+    with pytest.raises(ValueError):
+        training.write_training_set(p, labels, spark.createDataFrame([("d0", "nowhere")], "dataset string, grp string"), F.lit(""), str(tmp_path / "none"))
+
+
+def test_reports_at_fault(spark):
+    from sievework.sources import evaluations as ev
+
+    good = '{"group_evaluation": {"top1_exact_group_hit_rate": 0.5, "group_hit_at_2": 1}, "strict_ai_best": {"f1": 0.25}, "grouping_summary": {"top1_reduction_rate": 0}, "eye_evidence_evaluation": {"manual_with_decisive_closed": 2}, "engine": {"coverage_guard": {"required_cells": 8, "unresolved_cells": 2}}}'
+    flat = '{"summary": {"top1": 0.75, "top2": 0.9, "strict_f1": 0.5, "dedup": 0.1, "closed": 1}}'
+    texts = [("a", good), ("b", flat), ("c", good.replace("0.5", "1.5").replace('"f1": 0.25', '"f1": "x"')), ("d", "[1]"), ("e", "{nothing"), ("f", None), ("g", good.replace('"unresolved_cells": 2', '"unresolved_cells": 9').replace("closed\": 2", "closed\": -1"))]
+    d = spark.createDataFrame(texts, "name string, text string")
+    got = {r["name"]: r for r in ev.report_metrics(d, "name", "text").collect()}
+    assert {k: r["faults"] for k, r in got.items()} == {"a": [], "b": [], "c": ["top1", "strict_f1"], "d": ["not_an_object"], "e": ["not_an_object"], "f": ["not_an_object"], "g": ["coverage", "closed"]}
+    assert tuple(got["a"])[1:7] == (0.5, 1.0, 0.25, 0.0, 0.75, 2) and (got["b"]["coverage"], got["b"]["closed"]) == (1.0, 1) and got["c"]["top1"] is None and got["c"]["top2"] == 1.0
+    m = ev.report_metrics(d, "name", "text")
+    base, new = m.filter("name = 'a'").withColumn("name", F.lit("x")), m.filter("name in ('b', 'c')").withColumn("name", F.lit("x"))
+    assert [tuple(r) for r in ev.compared(base, new, "name").collect()] == [("x", 0.25, -0.1, 0.25, 0.1, 0.25, -1.0)]
+    spec = spark.createDataFrame([("a", 1), ("a", 1), ("", 2)], "name string, version int")
+    assert ev.named_once(spec) == ["version", "missing_name", "repeated_name"] and ev.named_once(spec.limit(1)) == []
