@@ -286,3 +286,53 @@ def test_reports_at_fault(spark):
     assert [tuple(r) for r in ev.compared(base, new, "name").collect()] == [("x", 0.25, -0.1, 0.25, 0.1, 0.25, -1.0)]
     spec = spark.createDataFrame([("a", 1), ("a", 1), ("", 2)], "name string, version int")
     assert ev.named_once(spec) == ["version", "missing_name", "repeated_name"] and ev.named_once(spec.limit(1)) == []
+
+
+def test_jobs(spark):
+    """Progress, refusal of a second job, cancelling between steps and inside a Spark stage, failure, and the fence."""
+    import threading
+    import time
+
+    from sievework.streaming import jobs
+
+    j = jobs.Jobs(spark)
+    gate, seen = threading.Event(), []
+
+    def counted(_):
+        seen.append(spark.range(10).count())
+
+    def held(_):
+        gate.wait(20)
+
+    first = j.start("first", [counted, held, counted])
+    while j.progress().done < 1:
+        time.sleep(0.05)
+    with pytest.raises(jobs.Busy):
+        j.start("second", [counted])
+    assert j.cancel(first) and j.progress().state == "cancelling" and not j.cancel("other")
+    gate.set()
+    ended = j.wait(20)
+    assert (ended.state, ended.done, seen) == ("cancelled", 1, [10])
+
+    def endless(_):
+        def slow(batches):
+            for b in batches:
+                time.sleep(60)
+                yield b
+
+        spark.range(4).mapInPandas(slow, "id long").count()
+
+    began = time.time()
+    third = j.start("third", [endless, counted])
+    time.sleep(3)
+    assert j.cancel(third)
+    assert j.wait(40).state == "cancelled" and time.time() - began < 40 and seen == [10]
+
+    def broken(_):
+        raise ValueError("no such thing")
+
+    j.start("fourth", [counted, broken, counted])
+    ended = j.wait(20)
+    assert (ended.state, ended.done, ended.error, seen) == ("failed", 1, "no such thing", [10, 10])
+    j.start("fifth", [counted])
+    assert j.wait(20) == jobs.Progress(j.progress().job, "fifth", "complete", 1, 1) and not j._move(first, "failed")
