@@ -5,10 +5,13 @@ Photos are orders (group = customer), faces line items, their poses vectors of t
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import features, matching, people, ranking, training
+from ..operators import engines, features, matching, people, ranking, training
 from . import proxies as P
 from .proxies import read, with_
 
@@ -124,6 +127,26 @@ def training_examples(spark, sf):
     return out.select("dataset", "grp", "split", "permutation", F.array_join("candidates", ",").alias("candidates"), F.array_join("best", ",").alias("best"))
 
 
+class TagEngine:
+    """Counts the elements of a page."""
+
+    def analyze(self, content):
+        found = Counter(re.findall(r"<([a-z][a-z0-9]*)", content))
+        yield from sorted(found.items())
+
+    def embed(self, contents):
+        return [[float(len(c)), float(c.count("<"))] for c in contents]
+
+    def signature(self):
+        return "tags:1"
+
+
+def page_elements(spark, sf):
+    """Elements of every page, by an engine over whole pages."""
+    pages = read(spark, sf, "pages").select("page_id", "html")
+    return engines.analyzed(pages, "html", TagEngine, "element string, n bigint").select("page_id", "element", "n")
+
+
 _X = """x as (select l_orderkey as photo, l_suppkey as person, l_quantity / 10000 as area, 1 - 5 * l_discount as confidence, l_linenumber * 7.0 as roll, case l_returnflag when 'R' then 'Closed' when 'A' then 'Partial' else 'Open' end as eyes,
  1 - 10 * l_tax as op, case when l_linestatus = 'O' then l_quantity end as quality, l_extendedprice / 1000 as sharp, l_quantity::double as eye_sharp, l_tax * 500 as fine, l_tax * 10 as occlusion, l_discount * 300 - 15 as yaw, l_quantity * 2.0 as smile from lineitem),
 sx as (select * from x where (area >= 0.0006 and confidence >= 0.82) or (area >= 0.0010 and confidence >= 0.65) or (area >= 0.0025 and confidence >= 0.55)),
@@ -167,6 +190,7 @@ select budget, person from s group by 1, 2 having count(distinct photo) >= 2 or
 b as (select grp, folder, min((us, id)) as first, count(*) as n from f group by 1, 2),
 k as (select *, row_number() over (partition by grp order by first, folder) as stage, count(*) filter (folder <> 'root') over (partition by grp) as kinds, coalesce(sum(n) filter (folder <> 'root') over (partition by grp), 0) as nested, sum(n) over (partition by grp) as total from b)
 select f.grp, f.id, case when kinds >= 2 and nested >= greatest(2, round_even(0.8::double * total, 0)) then stage end as folder_stage from f join k using (grp, folder)""",
+    "page_elements": "select page_id, element, count(*) as n from (select page_id, unnest(regexp_extract_all(html, '<([a-z][a-z0-9]*)', 1)) as element from pages) group by 1, 2",
     "training_examples": """with p as (select c_mktsegment as dataset, o_custkey::varchar as grp, o_orderkey::varchar as id, o_totalprice as score, o_orderpriority as name, o_orderpriority[1]::int as rank, o_totalprice > 300000 as y, c_nationkey = 3 as locked from orders join customer on c_custkey = o_custkey),
 g as (select dataset, grp, count(*) as n, count(*) filter (y) as k, bool_or(locked) as locked, ('0x' || sha256(dataset || '|' || grp)[1:16])::ubigint::double / 2::double ** 64 as h from p group by 1, 2 having count(*) >= 2),
 s as (select *, case when locked then 'test' when h < 0.15::double then 'validation' else 'train' end as split from g where k > 0),

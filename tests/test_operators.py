@@ -386,3 +386,14 @@ def test_delivery_reserve_same_as_plain(spark):
             out.append(best["id"])
             want[budget, len(out)] = best["id"]
     assert got == want and want
+
+
+def test_engines(spark):
+    from sievework.operators import engines
+    from sievework.plans.catalog_chain import TagEngine
+
+    d = spark.createDataFrame([(1, "<p><p><b>", "tags:1"), (2, "plain", "tags:0"), (3, None, None)], "id long, html string, made string")
+    got = lambda **k: sorted(tuple(r) for r in engines.analyzed(d, "html", TagEngine, "element string, n bigint", **k).select("id", F.coalesce("element", F.lit("")), "n").collect())
+    assert got() == [(1, "b", 1), (1, "p", 2)] and got(keep_empty=True) == [(1, "b", 1), (1, "p", 2), (2, "", None), (3, "", None)]
+    assert [r["embedding"] for r in engines.embedded(d, "html", TagEngine).orderBy("id").collect()] == [[9.0, 3.0], [5.0, 0.0], None]
+    assert tuple(engines.status(d, "made", TagEngine()).first()) == (3, 1, False) and engines.status(d.filter("id = 1"), "made", TagEngine()).first()["ready"]
