@@ -2,16 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def ready_to_checkpoint(spark: SparkSession) -> None:
+    """spark.checkpoint.dir is used as it is; where it is unset, a folder of our own is, in local mode only."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None):
+        return
+    if not context.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="sievework-"))
+
+
 def with_components(rows: DataFrame, links: DataFrame, key: str, name: str = "part", rounds: int = 40) -> DataFrame:
     """rows with the least key that links (left, right) lead to; rows without a link are their own component.
 
     Each round every node takes the least label of its neighbours, and labels take their own label's label; rounds
     follow the logarithm of the longest chain for the chains that near duplicates form. State is checkpointed.
     """
+    ready_to_checkpoint(rows.sparkSession)
     both = links.select("left", "right").union(links.select("right", "left")).filter("left != right").distinct().checkpoint()
     label = both.groupBy(F.col("left").alias("node")).agg(F.least(F.min("right"), F.first("left")).alias("label")).checkpoint()
     for _ in range(rounds):

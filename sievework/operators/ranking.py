@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graph import ready_to_checkpoint
+
 
 def temporal_order(t: str, sequence: str, name: str, key: str) -> list[Column]:
     """The canonical order: time (unknown last), sequence (-1 last), name without case, key."""
@@ -100,9 +101,11 @@ def running_total(rows: DataFrame, order: list[Column], value: Column, name: str
     """Sum of value over all rows up to each row in a total order, without gathering them in one task.
 
     Rows are sorted into partitions; totals of partitions (one number each) come to the driver, and each row adds the
-    total before its partition to the sum inside it. The sorted rows stay persisted while the result is in use.
+    total before its partition to the sum inside it. The sorted rows are checkpointed, so they outlive executors and are
+    cleaned with the result.
     """
-    held = rows.orderBy(*order).select("*", F.monotonically_increasing_id().alias("_at"), value.cast("long").alias("_v")).persist(StorageLevel.MEMORY_AND_DISK)
+    ready_to_checkpoint(rows.sparkSession)
+    held = rows.orderBy(*order).select("*", F.monotonically_increasing_id().alias("_at"), value.cast("long").alias("_v")).checkpoint()
     part = F.shiftright("_at", 33)
     totals = {r["p"]: r["n"] for r in held.groupBy(part.alias("p")).agg(F.sum("_v").alias("n")).collect()}
     before, upto = {}, 0

@@ -64,10 +64,15 @@ def cosine_pairs(spark, sf):
 def nearest_two_centroids(spark, sf):
     e = read(spark, sf, "embeddings").select("vec_id", "label", "embedding")
     mean = e.select("label", F.posexplode("embedding").alias("k", "v")).groupBy("label", "k").agg(F.avg(F.col("v").cast("double")).alias("v")).groupBy("label").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "v"))), lambda s: s["v"]).alias("c"))
-    cs = [(r["label"], r["c"]) for r in mean.orderBy("label").collect()]  # one row a class
-    table = F.array(*[F.struct(F.lit(k).alias("label"), F.array(*[F.lit(float(x)) for x in c]).alias("c")) for k, c in cs])
-    scored = e.select("vec_id", F.sort_array(F.transform(table, lambda s: F.struct(F.round(vectors.dot(F.col("embedding"), s["c"]), 6).alias("s"), (-s["label"]).alias("n"))), asc=False).alias("s"))
-    return scored.select("vec_id", (-F.col("s")[0]["n"]).alias("best"), F.col("s")[0]["s"].alias("score"), F.round(F.col("s")[0]["s"] - F.col("s")[1]["s"], 6).alias("margin"))
+    # class means in blocks of 256: a vector meets every block by an equi-join, and its two best of each block are merged
+    blocks = max(1, -(-mean.count() // 256))
+    block = F.pmod(F.xxhash64("label"), F.lit(blocks)).cast("int").alias("b")
+    packed = mean.select("label", "c", block).groupBy("b").agg(F.collect_list(F.struct("label", "c")).alias("cs"))
+    asked = e.select("vec_id", "embedding", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b")).join(packed, "b")
+    best = lambda a: F.slice(F.sort_array(a, asc=False), 1, 2)
+    two = asked.select("vec_id", best(F.transform("cs", lambda s: F.struct(F.round(vectors.dot(F.col("embedding"), s["c"]), 6).alias("s"), (-s["label"]).alias("n")))).alias("s"))
+    scored = two.groupBy("vec_id").agg(best(F.flatten(F.collect_list("s"))).alias("s"))
+    return scored.select("vec_id", (-F.col("s")[0]["n"]).alias("best"), F.col("s")[0]["s"].alias("score"), F.round(F.col("s")[0]["s"] - F.get("s", F.lit(1))["s"], 6).alias("margin"))
 
 
 def vector_norms(spark, sf):
