@@ -7,6 +7,7 @@ from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType
 
 from ..config import BLOCKING_ISSUES
 from ..functions.numbers import finite
@@ -69,6 +70,47 @@ def public_photo(metrics: Column, score: Column, confidence: Column) -> list[Col
     return [F.bround(score, 2).alias("score"), F.transform_values(metrics, lambda _, v: F.bround(v, 3)).alias("metrics"), F.bround(confidence, 4).alias("confidence")]
 
 
+# Decimal places of the numbers of a photo's parts as shown outside.
+PLACES = {
+    "face": {"confidence": 4, "bbox": 6, "area_ratio": 6, "open_probability": 4, "sharpness": 2, "smile_score": 2, "high_res_sharpness": 2, "eye_sharpness": 2, "yaw": 2, "pitch": 2, "roll": 2, "occlusion_risk": 4, "expression_confidence": 4, "expression_score": 2, "fiqa_score": 2},
+    "body": {"bbox": 6, "confidence": 4, "area_ratio": 6},
+    "pose": {"bbox": 6, "detection_confidence": 4, "presence_confidence": 4, "area_ratio": 6, "visibility": 4, "foreground_score": 4, "landmarks": 5},
+    "depth": {"subject_depth": 4, "background_depth": 4, "foreground_separation": 4, "subject_focus_score": 2, "background_blur_score": 2, "occlusion_risk": 4, "subject_confidence": 4},
+}
+#: vectors stay inside; what is shown is whether there is one
+INNER = {"face": {"embedding": None}, "body": {"embedding": "reid_available"}, "pose": {"descriptor": "world_3d_available"}, "depth": {"descriptor": None}}
+
+
+def _rounded(value: Column, kind: DataType, places: int) -> Column:
+    return F.transform(value, lambda v: _rounded(v, kind.elementType, places)) if isinstance(kind, ArrayType) else F.bround(value, places)
+
+
+def public_parts(rows: DataFrame, column: str, kind: str) -> DataFrame:
+    """rows with column (an array of structs, or one struct) as shown outside: kind is face, body, pose or depth.
+
+    Numbers are rounded to PLACES, half to even; vectors (INNER) give way to a flag; fields that are neither stay. Nulls stay null.
+    """
+    of = rows.schema[column].dataType
+    fields = (of.elementType if isinstance(of, ArrayType) else of).fields
+
+    def shown(part: Column) -> Column:
+        cols = []
+        for f in fields:
+            if f.name in INNER[kind]:
+                cols += [part[f.name].isNotNull().alias(flag)] if (flag := INNER[kind][f.name]) else []
+            else:
+                cols.append((_rounded(part[f.name], f.dataType, PLACES[kind][f.name]) if f.name in PLACES[kind] else part[f.name]).alias(f.name))
+        return F.when(part.isNotNull(), F.struct(*cols))
+
+    return rows.withColumn(column, F.transform(column, shown) if isinstance(of, ArrayType) else shown(F.col(column)))
+
+
+def stage_labels(rows: DataFrame, project: str, stage: str, label: str, order: list[str]) -> DataFrame:
+    """(project, stage, label): each stage once, with the label of its last row by order (its own id where that has none)."""
+    named = F.coalesce(F.nullif(F.col(label), F.lit("")), F.col(stage))
+    return rows.filter(F.coalesce(F.col(stage), F.lit("")) != "").groupBy(project, stage).agg(F.max_by(named, F.struct(*order)).alias("label"))
+
+
 def semantic_errors(rows: DataFrame) -> DataFrame:
     """Rows whose tier isn't the one of their stars."""
     from ..config import TIER_OF_STARS

@@ -213,4 +213,4 @@ def sound_decision(ids: Column, ranks: Column, best: Column, rejected: Column, c
     """Whether an outside ranking is whole: ids once each and just the candidates, ranks 1 to n, the best first, rejected ones known."""
     n = F.size(candidates)
     once = (F.size(F.array_distinct(ids)) == F.size(ids)) & (F.size(F.array_except(candidates, ids)) == 0) & (F.size(F.array_except(ids, candidates)) == 0)
-    return once & (n > 0) & (F.sort_array(ranks) == F.sequence(F.lit(1), F.greatest(n, F.lit(1)))) & (F.element_at(ids, F.array_position(ranks, F.lit(1)).cast("int")) == best) & (F.size(F.array_except(rejected, ids)) == 0)
+    return once & (n > 0) & (F.sort_array(ranks) == F.sequence(F.lit(1), F.greatest(n, F.lit(1)))) & (F.get(ids, (F.array_position(ranks, F.lit(1)) - 1).cast("int")) == best) & (F.size(F.array_except(rejected, ids)) == 0)
