@@ -138,3 +138,29 @@ def execute(spark: SparkSession, plan: str, catalogue: Catalogue, checkpoint: st
         if not ended or STATES[ended[-1]]:
             raise
     return ended[-1] if ended else "complete"
+
+
+def receipt(plan: DataFrame, catalogue: Catalogue) -> DataFrame:
+    """plan (PLAN) with final, the rating that the catalogue holds now, and what became of each item.
+
+    pending: its chunk wasn't begun; unsettled: begun, without an end; verified: written and still so; changed: written, and
+    changed by someone since; skipped: its chunk had drifted from the plan; restored: its chunk failed and was undone;
+    broken: its chunk failed and the old state isn't back.
+    """
+    state = catalogue.journal().groupBy("chunk").agg(F.max_by("state", "revision").alias("_state"))  # a row a chunk
+    now = catalogue.read().withColumnRenamed("rating", "final")
+    held = plan.join(state, "chunk", "left").join(now, "id", "left")
+    is_ = lambda c: F.col("final").eqNullSafe(F.col(c))
+    status = (
+        F.when(F.col("_state").isNull(), "pending").when(F.col("_state") == "started", "unsettled").when(F.col("_state") == "complete", F.when(is_("target"), "verified").otherwise("changed"))
+        .when(F.col("_state") == "replan_required", "skipped").when(is_("previous"), "restored").otherwise("broken")
+    )
+    return held.select("id", "chunk", "action", "previous", "target", "final", status.alias("status"))
+
+
+def receipt_phase(items: DataFrame) -> DataFrame:
+    """One row over receipt's items: phase (empty, begun, running, finished or error), items, verified, pending, wrong."""
+    n, wrong = F.count(F.lit(1)), F.count_if(F.col("status").isin("skipped", "restored", "broken"))
+    verified, waiting = F.count_if(F.col("status").isin("verified", "changed")), F.count_if(F.col("status") == "pending")
+    phase = F.when(n == 0, "empty").when(wrong > 0, "error").when(waiting == n, "begun").when(verified == n, "finished").otherwise("running")
+    return items.agg(phase.alias("phase"), n.alias("items"), verified.alias("verified"), waiting.alias("pending"), wrong.alias("wrong"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,6 +35,17 @@ def save_document(document: dict, path: str) -> None:
     os.replace(part, path)
 
 
+def write_results(parts: dict[str, DataFrame], path: str, project: str = "project", key: str = "id") -> None:
+    """The result of each project as JSON lines in a folder of its own: parts in the order given, each part's rows by key.
+
+    A line is {"part": name, "row": {...}}. Rows are dealt by ranges of (project, part, key), so a large project is many
+    files, whose names follow the order.
+    """
+    lines = [rows.select(F.col(project).cast("string").alias("project"), F.lit(n).alias("_part"), F.col(key).cast("string").alias("_key"), F.to_json(F.struct(F.lit(name).alias("part"), F.struct(*rows.columns).alias("row"))).alias("value")) for n, (name, rows) in enumerate(parts.items())]
+    whole = reduce(DataFrame.unionByName, lines).repartitionByRange("project", "_part", "_key").sortWithinPartitions("project", "_part", "_key")
+    whole.select("project", "value").write.mode("overwrite").partitionBy("project").text(path)
+
+
 def sheet_cells(rows: DataFrame, group: str, order: str, columns: int, per_page: int) -> DataFrame:
     """page, row and column of each member on its group's contact sheets."""
     from ..operators.ranking import chunked

@@ -10,6 +10,7 @@ from dataclasses import asdict, dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.delivery import plan_hash
 from ..operators.model import logistic
 from ..sinks.reports import save_document
 
@@ -59,6 +60,28 @@ def load_model_or_none(path: str, features: tuple[str, ...]) -> LogisticModel |
         return None
 
 
+def release(models: dict[str, LogisticModel], path: str, frozen: dict, tables: dict[str, DataFrame]) -> str:
+    """Write the models of all profiles with what they were made of, and return the document's digest; or refuse.
+
+    frozen: holdout_read and tuned_after_holdout, both of which must be False; tables, the digest of each training table;
+    configuration. The tables given must be those of frozen, with the same digests in any order of rows. Profiles come
+    from the narrowest to the widest, and each one's features begin with those of the one before.
+    """
+    for flag in ("holdout_read", "tuned_after_holdout"):
+        if frozen.get(flag) is not False:
+            raise ValueError(f"{flag} must be False in the frozen configuration")
+    found = {name: plan_hash(rows).first()["plan_hash"] for name, rows in tables.items()}
+    if found != frozen.get("tables"):
+        raise ValueError("the training tables aren't those of the frozen configuration")
+    features = [m.features for m in models.values()]
+    if not features or any(b[: len(a)] != a or len(b) <= len(a) for a, b in zip(features, features[1:], strict=False)):
+        raise ValueError("each profile must add features to the one before")
+    document = {"tables": found, "configuration": frozen.get("configuration", {}), "profiles": {n: asdict(m) | {"digest": m.digest()} for n, m in models.items()}}
+    digest = hashlib.sha256(json.dumps(document, sort_keys=True).encode()).hexdigest()
+    save_document(document | {"digest": digest}, path)
+    return digest
+
+
 def score_table(spark: SparkSession, path: str, dataset: str) -> DataFrame:
     """(photo_id, iqa) of one dataset from a JSON map dataset -> photo -> score."""
     raw = spark.read.option("wholetext", True).text(path).select(F.from_json("value", "map<string,map<string,double>>").alias("m"))
