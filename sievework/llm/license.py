@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,8 +50,18 @@ SHORT = (
     ("MIT-0", "MIT No Attribution", f"{_MIT.replace(', subject to the following conditions:', '.')}\n\n{_WARRANTY}"),
     ("Zlib", "zlib License", _ZLIB),
 )
-#: (licence, whole text), with and without its title.
-KNOWN = tuple((i, start + text) for i, title, text in SHORT for start in ("", f"{title}\n\n", f"The {title}\n\n"))
+
+
+def _forms(short: str, title: str, text: str) -> list[str]:
+    """The usual files of a short licence: with and without its title and short name, a reservation of rights, and list marks of any kind."""
+    starts = [""] + [f"{the}{title}{name}\n\n" for name in ("", f" ({short})") for the in ("", "The ")]
+    marks = [lambda m: m[0], lambda m: "* ", lambda m: f"({chr(96 + int(m[1]))}) "]
+    bodies = [re.sub(r"(?m)^([0-9])\. ", mark, text) for mark in marks]
+    return list(dict.fromkeys(start + rights + body for rights in ("", "All rights reserved.\n\n") for body in bodies for start in starts))
+
+
+#: (licence, whole text) of all forms of short licences.
+KNOWN = tuple((i, form) for i, title, text in SHORT for form in _forms(i, title, text))
 # Digests of the canonical forms of longer public licences (licence, SHA-256).
 DIGESTS = (
     ("Apache-2.0", "37599287c15c2f2ec060c3c3b55bdf69e3bc7a8aeeb9cd57e18800088789538a"),
@@ -116,11 +128,15 @@ FORMS = ("SPDX-License-Identifier: {}", "License: {}") + tuple(
 )
 NOTICES = tuple((i, form.replace("{}", name)) for i, names in NAMES for name in names for form in FORMS)
 _DECLARES = r"(?i)licen[cs]ed?|released under|distributed under|available under"
-# A copyright notice goes to the end of its line, or to the words with which a licence begins.
+# A copyright notice goes to the end of its line, or to the words with which a licence begins. A line that begins with the
+# holder and ends with a year is one as well.
 COPYRIGHT = (
     r"(?m)(?:copyright[ \t]*(?:\(c\)|©|[0-9]{4}|[\[{<](?:yyyy|year)[\]}>])|\(c\)[ \t]*(?:copyright[ \t]*)?[0-9]{4}|©)[^\n]*?"
     r"(permission is hereby|permission to use|redistribution and use|licensed under|(?:this|the) (?:software|program|library|work|file|code|project) is|$)"
+    r"|^[^\p{L}\p{N}\n]*copyright[ \t,:]+[^\n]{1,80}[ \t,(](?:19|20)[0-9]{2}(?:[ \t]*[-,][ \t]*(?:19|20)[0-9]{2})*[).]?(?:[ \t]+all rights reserved\.?)?[ \t\r]*$"
 )
+# What follows the licence's name in a line of a README: where to read it. Applied to a canonical line.
+POINTER = r" see (the )?(file )?license( .*)?$| see (the )?(file )?copying( .*)?$"
 
 
 def canonical(text: Column) -> Column:
@@ -162,7 +178,7 @@ def scan(docs: DataFrame, known: DataFrame | None = None, notices: DataFrame | N
     whole = held.select("doc_id", F.md5("_sw_text").alias("_sw_key"), F.sha2(canonical(F.col("_sw_text")), 256).alias("digest"))
     some = held.filter(F.col("_sw_text").rlike(_DECLARES)).select(F.md5("_sw_text").alias("_sw_key"), "_sw_text")
     lines = some.select("_sw_key", F.explode(F.split("_sw_text", "\n")).alias("line"))
-    lines = lines.filter(F.col("line").rlike(_DECLARES)).select("_sw_key", F.sha2(canonical(F.col("line")), 256).alias("digest"))
+    lines = lines.filter(F.col("line").rlike(_DECLARES)).select("_sw_key", F.sha2(F.regexp_replace(canonical(F.col("line")), POINTER, ""), 256).alias("digest"))
     said = lines.join(notices, "digest").groupBy("_sw_key").agg(F.array_join(F.sort_array(F.collect_set("license_id")), ",").alias("notices"))
     return whole.join(known, "digest", "left").join(said, "_sw_key", "left").select("doc_id", "digest", "license_id", "notices")
 
@@ -189,5 +205,5 @@ notice as (select digest, min(i) as license_id from ({known(NOTICES)}) group by
 w as (select doc_id, t, sha256({canon('t')}) as digest from d),
 lines as (select distinct t, unnest(string_split(t, chr(10))) as line from d where regexp_matches(t, {lit(_DECLARES)})),
 said as (select t, string_agg(license_id, ',' order by license_id) as notices from
-  (select distinct l.t, n.license_id from lines l join notice n on n.digest = sha256({canon('l.line')}) where regexp_matches(l.line, {lit(_DECLARES)})) group by t)
+  (select distinct l.t, n.license_id from lines l join notice n on n.digest = sha256(regexp_replace({canon('l.line')}, {lit(POINTER)}, '', 'g')) where regexp_matches(l.line, {lit(_DECLARES)})) group by t)
 select w.doc_id, w.digest, k.license_id, s.notices from w left join known k using (digest) left join said s on s.t = w.t"""

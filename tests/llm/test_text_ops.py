@@ -381,6 +381,27 @@ def test_license_same_as_sql(spark):
     assert differences(license.scan(table(spark, SF1, "documents")), connect(SF1), license.oracle()) == []
 
 
+def test_usual_licence_files(spark):
+    body = {i: t for i, _, t in license.SHORT}
+    bsd = body["BSD-3-Clause"]
+    starred = re.sub(r"(?m)^[0-9]\. ", "* ", bsd)
+    files = [
+        ("MIT", "The MIT License (MIT)\n\nCopyright (c) 2015 Jo Doe\n\n" + body["MIT"]), ("MIT", "MIT License\n\nCopyright Jo Doe 2020\n\n" + body["MIT"]), ("MIT", "Copyright, The Authors, 2012-2019.\r\n" + body["MIT"]),
+        ("BSD-3-Clause", "Copyright (c) 2011, Jo Doe\nAll rights reserved.\n\n" + bsd), ("BSD-3-Clause", "BSD 3-Clause License\n\nCopyright (c) 2011, Jo Doe\nAll rights reserved.\n\n" + starred),
+        ("BSD-2-Clause", "Copyright (c) 2011, Jo Doe. All rights reserved.\n\n" + re.sub(r"(?m)^([12])\. ", lambda m: f"({'ab'[int(m[1]) - 1]}) ", body["BSD-2-Clause"])), ("ISC", "ISC License (ISC)\nCopyright 2004 Jo\n\n" + body["ISC"]),
+        ("Zlib", "Copyright Jo 1999 All rights reserved.\n" + body["Zlib"]), ("0BSD", "BSD Zero Clause License\n\nCopyright Jo Doe (2020)\n" + body["0BSD"]), ("MIT-0", "MIT No Attribution\n\n" + body["MIT-0"]),
+        (None, "The MIT License (ISC)\n\n" + body["MIT"]), (None, "Copyright law of 1976 is long\n" + body["MIT"]), (None, "All rights reserved."),
+    ]
+    got = {r["doc_id"]: r["license_id"] for r in license.scan(docs(spark, [t for _, t in files])).collect()}
+    assert [got[i] for i in range(len(files))] == [i for i, _ in files]
+
+
+def test_licence_lines_that_point_to_a_file(spark):
+    lines = ["This project is licensed under the MIT License - see the [LICENSE](LICENSE) file for details.", "Licensed under the Apache License 2.0; see LICENSE", "Released under the ISC License, see the file COPYING.", "licensed under the MIT License or not"]
+    got = {r["doc_id"]: r["notices"] for r in license.scan(docs(spark, lines + ["\n".join(lines)])).collect()}
+    assert [got[i] for i in range(5)] == ["MIT", "Apache-2.0", "ISC", None, "Apache-2.0,ISC,MIT"]
+
+
 # ---- op7
 def best_segments(values):
     """Maximal scoring segments by the definition: take the best, then both sides."""
