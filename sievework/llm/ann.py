@@ -24,6 +24,8 @@ from .common import cut, hashed_sample
 
 SHARD_ROWS = 16_384
 MIN_SHARDS = 8
+WIDTH_QUERIES = 64
+SHARD_RECALL = 0.97
 
 
 class Graph:
@@ -166,12 +168,37 @@ class Graph:
         return np.take_along_axis(ids, o, 1), np.take_along_axis(score, o, 1)
 
     def search(self, q: np.ndarray, k: int, ef: int) -> tuple[np.ndarray, np.ndarray]:
-        """(row of x or -1, score) of the k nearest found for each query."""
+        """(row of x or -1, score) of the k nearest found for each query; with ef 0 all rows are scored."""
         if not self.sizes or not self.sizes[0]:
             return np.full((len(q), k), -1), np.full((len(q), k), -np.inf)
-        found, score = self._beam(np.ascontiguousarray(q, np.float32), 0, self.sizes[0], max(ef, k), self._entry(q, 0, self.sizes[0]))
+        q = np.ascontiguousarray(q, np.float32)
+        if ef:
+            found, score = self._beam(q, 0, self.sizes[0], max(ef, k), self._entry(q, 0, self.sizes[0]))
+        else:
+            every = q @ self.x.T
+            found = np.argsort(-every, 1, kind="stable")[:, :k]
+            score = np.take_along_axis(every, found, 1)
         return np.where(np.isfinite(score[:, :k]), self.order[found[:, :k]], -1), score[:, :k]
 
+    def width_for(self, q: np.ndarray, k: int, start: int, recall: float) -> int:
+        """The least of start, 2 start, ... with which a search finds recall of the k nearest of q; 0 where the graph never does.
+
+        Neighbours as near as the k-th count as found, whichever of them they are.
+        """
+        n = self.sizes[0] if self.sizes else 0
+        k = min(k, n)
+        if not n or not len(q):
+            return start
+        every = np.ascontiguousarray(q, np.float32) @ self.x.T
+        last = np.partition(every, n - k, 1)[:, n - k, None]
+        ef = start
+        while True:
+            if (self.search(q, k, ef)[1] >= last - 1e-6).mean() >= recall:
+                return ef
+            if ef >= n:
+                return 0
+            ef *= 2
+
 
 def _norm2(v: Column) -> Column:
     return F.aggregate(v, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
@@ -225,7 +252,7 @@ def probes_for(x: np.ndarray, longest: float, c: np.ndarray, recall: float, k: i
 
 
 def search(
-    table: DataFrame, queries: Column, k: int = 20, m: int = 16, ef_build: int = 64, ef: int = 192, shard_rows: int = SHARD_ROWS, min_shards: int = MIN_SHARDS, query_block: int = 65_536,
+    table: DataFrame, queries: Column, k: int = 20, m: int = 16, ef_build: int = 64, ef: int | None = None, shard_rows: int = SHARD_ROWS, min_shards: int = MIN_SHARDS, query_block: int = 65_536,
     probes: int | None = None, recall: float = 0.98, sample_rows: int = 20_000,
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest others found for every row where queries holds.
@@ -233,6 +260,9 @@ def search(
     Rows that don't take part (see usable) neither ask nor answer. Rows with equal vectors are all found, the smaller
     vec_id first; rows that repeat vec_id and vector count once; of a vec_id with several vectors the least vector (by
     array order) counts. Fewer than k others give fewer rows; an empty table gives none; other columns are left out.
+    Where ef, the width of a graph's search, isn't given, each shard takes its own: from 192 on it is doubled until sample
+    queries (64 of the shard's rows) find SHARD_RECALL of their nearest in the shard; a shard whose graph never does is scanned.
+    Rows with a null vec_id don't take part.
     Centroids and probes are fitted on about sample_rows vectors (documented bound), sample_rows / 8 centroids at most.
     """
     held = usable(table).groupBy("vec_id").agg(F.min(F.struct("v", "norm2")).alias("x"))
@@ -272,8 +302,10 @@ def search(
         group = group.assign(_least=[i[0] for i in group["ids"]]).sort_values("_least")
         x = np.stack(group["v"].to_numpy()).astype(np.float64)
         ids = group["ids"].to_numpy()
-        made = Graph(_one_norm(x, longest), m, ef_build).to_bytes(vectors=x, ids=np.concatenate(ids), counts=np.array([len(i) for i in ids]))
-        return pd.DataFrame({"home": group["home"].iloc[:1], "part": group["part"].iloc[:1], "graph": [made]})
+        made = Graph(_one_norm(x, longest), m, ef_build)
+        width = ef or made.width_for(_as_query(x[:: -(-len(x) // WIDTH_QUERIES)]), k + 1, 192, SHARD_RECALL)
+        flat = made.to_bytes(vectors=x, ids=np.concatenate(ids), counts=np.array([len(i) for i in ids]), width=np.array(width))
+        return pd.DataFrame({"home": group["home"].iloc[:1], "part": group["part"].iloc[:1], "graph": [flat]})
 
     graphs = cut(shards.groupBy("home", "part").applyInPandas(build, "home int, part int, graph binary"), "graphs")
     asks = held.filter(queries).select(F.col("vec_id").alias("query_id"), "v")
@@ -293,7 +325,7 @@ def search(
         for at in range(0, len(ask), 256):
             part = ask.iloc[at : at + 256]
             q = np.stack(part["v"].to_numpy()).astype(np.float64)
-            rows, _ = made.search(_as_query(q), min(k + 1, len(x)), ef)
+            rows, _ = made.search(_as_query(q), min(k + 1, len(x)), int(more["width"]))
             for query, vector, near in zip(part["query_id"], q, rows, strict=True):
                 near = near[near >= 0]
                 exact = [float(s) for s in (x[near] * vector).sum(1)]

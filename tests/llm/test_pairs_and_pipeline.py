@@ -5,6 +5,8 @@ import re
 
 import numpy as np
 
+from pyspark.sql import functions as F
+
 from sievework.llm import ann, line_dedup, ngram_join, pii, toxicity
 from sievework.llm.common import table
 from sievework.llm.components import connected_components
@@ -181,6 +183,30 @@ def test_ann(spark):
     assert ann.search(d.limit(0), ann.every_20th()).count() == 0
 
 
+def test_a_shard_widens_its_search_until_it_finds_enough():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(4000, 48)) * rng.uniform(0.2, 3, (4000, 1))
+    unit = ann._one_norm(x, float((x**2).sum(1).max()))
+    made, q = ann.Graph(unit, 16, 64), ann._as_query(rng.normal(size=(100, 48)))
+    width = made.width_for(ann._as_query(x[::63]), 21, 48, 0.97)
+    exact = np.argsort(-(q @ unit.T), 1)[:, :21]
+    share = lambda ef: np.mean([len(set(a) & set(b)) / 21 for a, b in zip(exact, made.search(q, 21, ef)[0], strict=True)])
+    assert width > 48 and share(width) >= 0.95 > share(48)
+    assert share(0) == 1.0
+    made.links = [np.full_like(v, -1) for v in made.links]  # a graph that leads nowhere
+    assert made.width_for(q[:4], 21, 48, 0.97) == 0
+
+
+def test_ann_one_shard_of_unequal_norms(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, [float(v) for v in x]) for i, x in enumerate(rng.normal(size=(4000, 48)) * rng.uniform(0.2, 3, (4000, 1)))] + [(None, [1.0] * 48)]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({"home": F.lit(1), "score": F.lit("x"), "v": F.lit(2)})
+    want, got = neighbours(rows[:-1]), {}
+    for r in ann.search(d, ann.every_20th(), min_shards=1).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    assert set(got) == set(want) and sum(len(got[q] & {i for _, i in want[q]}) for q in want) >= 0.95 * 20 * len(want)
+
+
 def test_ann_routes_to_near_shards(spark):
     """Vectors in clusters: few probes are enough, and the recall against all vectors holds."""
     rng = np.random.default_rng(2)
