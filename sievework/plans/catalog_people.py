@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import numbers, quality
 from ..operators import filters, folds, selection
+from ..operators.spread import spread
 from . import proxies as P
 from .proxies import read, with_
 
@@ -36,8 +37,17 @@ def eligible_people(spark, sf):
     return selection.eligible_people(f.filter(sig), "photo", "person", "area", rel)
 
 
+def _photo_faces(spark, sf, *facts):
+    """Faces with facts of their photos, and their number, in tasks of bounded size."""
+    f = P.faces(spark, sf)
+    n = f.count()
+    p = P.photos(spark, sf).select(F.col("id").alias("photo"), *facts)
+    return spread(f, n, "photo").join(spread(p, n, "photo"), "photo"), n
+
+
 def dominant_people(spark, sf):
-    f = P.faces(spark, sf).join(P.photos(spark, sf).select(F.col("id").alias("photo"), "grp"), "photo").select("grp", "photo", "person").distinct()
+    f, n = _photo_faces(spark, sf, "grp")
+    f = spread(f.select("grp", "photo", "person").distinct(), n, "grp")
     sizes = f.groupBy("grp").agg(F.countDistinct("photo").alias("n"))
     shown = f.groupBy("grp", "person").agg(F.count(F.lit(1)).alias("k")).join(sizes, "grp")
     dominant = F.col("k") >= F.greatest(F.lit(2), numbers.round_half_even(F.lit(0.45) * F.col("n")))
@@ -75,15 +85,15 @@ def generic_score(spark, sf):
 
 
 def coverage_cells(spark, sf):
-    shown = P.faces(spark, sf).join(P.photos(spark, sf).select(F.col("id").alias("photo"), "priority"), "photo")
+    shown, n = _photo_faces(spark, sf, "priority")
     chosen = P.photos(spark, sf).filter("score >= 90").select(F.col("id").alias("photo"))
-    return selection.coverage_cells(shown, "priority", "person", "photo", chosen)
+    return selection.coverage_cells(shown, "priority", "person", "photo", chosen, n)
 
 
 def coverage_greedy(spark, sf):
-    shown = P.faces(spark, sf).join(P.photos(spark, sf).select(F.col("id").alias("photo"), "grp", "score"), "photo")
+    shown, n = _photo_faces(spark, sf, "grp", "score")
     cells = shown.groupBy("grp", "person", "photo").agg(F.max("score").alias("quality"))
-    return selection.coverage_picks(cells, "grp", "person", "photo", "quality")
+    return selection.coverage_picks(cells, "grp", "person", "photo", "quality", count=n)
 
 
 def _ranked_photos(spark, sf):

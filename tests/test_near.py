@@ -75,3 +75,16 @@ def test_pairs_that_no_rule_accepts_are_left_out(spark):
     kept = near.packed_rules(d, 45.0, preset("balanced"), [F.col("t"), F.col("id")]).select(F.sum(F.size("k"))).first()[0]
     assert (kept or 0) < 1000
     assert decide(d.drop("sure")).photos.select("grp").distinct().count() == 300
+
+
+@pytest.mark.parametrize("name", ["dominant_people", "coverage_cells", "coverage_greedy"])
+def test_tasks_of_bounded_size(spark, monkeypatch, name):
+    """Their tasks grew with the table, as Spark's fixed number of partitions was all there was; now rows a task are bounded."""
+    from sievework.operators import spread
+    from sievework.plans import catalog
+
+    sf = "/root/testdata/sf0.001"
+    monkeypatch.setattr(spread, "ROWS", 100)
+    n = -(-spark.read.parquet(f"{sf}/lineitem.parquet").count() // 100)
+    plan = catalog.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert n > 40 and plan.count(f", {n}), REPARTITION_BY_NUM") >= 3
