@@ -105,7 +105,7 @@ def _ranked_photos(spark, sf):
 
 
 def primary_budget(spark, sf):
-    return selection.primary_selection(_ranked_photos(spark, sf), "budget")
+    return selection.primary_selection(_ranked_photos(spark, sf), "budget", part="grp", count=P.photos(spark, sf).count())
 
 
 def delivery_reserve(spark, sf):
