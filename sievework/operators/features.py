@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numbers import finite
+from ..functions.numbers import finite, looked_up
 from . import filters, ranking
 
 #: The features of the base profile, in order, and those that the wider profile adds.
@@ -62,24 +62,32 @@ def rating_features(rows: DataFrame, faces: DataFrame, budget: str, group: str,
     reason is scores_incomplete where the base profile stands in for the wider one, else empty.
     """
     m = F.coalesce("metrics", F.create_map().cast("map<string,double>"))
-    none = {k: F.lit(0.0) for k in FACE_FEATURES}
+    none = F.create_map(*[x for k in FACE_FEATURES for x in (F.lit(k), F.lit(0.0))])
     told = face_metrics(faces).select(F.col("photo").alias("id"), F.col("m").alias("_faces"))
+    names = (*BASE_FEATURES, *scores)
     held = rows.select("id", budget, group, m.alias("m"), place.alias("_place")).join(told, "id", "left")
-    own = F.coalesce("_faces", F.create_map(*[x for k, v in none.items() for x in (F.lit(k), v)]))
-    held = held.select("id", budget, group, "_place", F.map_concat(F.map_filter("m", lambda k, _: ~k.isin(*none)), own).alias("m"))
-    value = lambda name: F.coalesce(F.col("m")[name], F.lit(0.0))
-    subject = F.coalesce(*[F.col("m")[k] for k in ("subject_sharpness_score", "motion_blur_score", "sharpness_score")], F.lit(0.0))
+    # after the join, so that the maps are made before and not once a lookup
+    held = held.select("id", budget, group, "_place", looked_up(F.col("m"), names).alias("_raw"), F.coalesce("_faces", none).alias("_own"))
+    raw = lambda name: F.col("_own")[name] if name in FACE_FEATURES else F.col("_raw")[names.index(name)]
+    value = lambda name: F.coalesce(raw(name), F.lit(0.0))
+    subject = F.coalesce(*[raw(k) for k in ("subject_sharpness_score", "motion_blur_score", "sharpness_score")], F.lit(0.0))
     deep = (value("portrait_present") > 0) & (value("face_quality_score") >= 70) & (value("depth_background_blur_score") >= 60)
     sharp = F.when(deep, F.greatest(subject, F.least(value("face_quality_score"), F.lit(100.0)))).otherwise(subject)
-    musiq, clip = (finite(F.col("m")[s]) for s in scores)
-    held = held.select("*", sharp.alias("_sharp"), musiq.alias("_musiq"), clip.alias("_clip"))
+    musiq, clip = (finite(raw(s)) for s in scores)
+    told_by_faces = [names.index(k) for k in FACE_FEATURES]
+
+    def placed(v: Column, k: Column) -> Column:
+        own = F.col("_own")[F.array(*map(F.lit, names))[k]]
+        return F.when(k == names.index("dof_portrait_quality"), F.col("_sharp")).when(k.isin(*told_by_faces), own).otherwise(F.coalesce(v, F.lit(0.0)))
+
+    held = held.select("id", budget, group, "_place", "_raw", "_own", sharp.alias("_sharp"), musiq.alias("_musiq"), clip.alias("_clip"))
+    held = held.select("id", budget, group, "_place", "_musiq", "_clip", F.transform(F.slice("_raw", 1, len(BASE_FEATURES)), placed).alias("_base"))
     unit = Window.partitionBy(budget)
     held = held.withColumn("_whole", F.min((F.col("_musiq").isNotNull() & F.col("_clip").isNotNull()).cast("int")).over(unit) == 1)
     relative = lambda c: 100 * ranking.value_percentile([group, budget], c, F.col("_place"))
     held = held.select("*", relative("_musiq").alias("_rm"), relative("_clip").alias("_rc"))
-    base = F.array(*[F.col("_sharp") if k == "dof_portrait_quality" else value(k) for k in BASE_FEATURES])
     more = F.array(F.col("_musiq"), 100 * F.col("_clip"), F.col("_rm"), F.col("_rc"), (F.col("_rm") + F.col("_rc")) / 2, F.abs(F.col("_rm") - F.col("_rc")))
-    held = held.select("id", budget, "_whole", F.when(F.col("_whole"), F.concat(base, more)).otherwise(base).alias("x"))
+    held = held.select("id", budget, "_whole", F.when(F.col("_whole"), F.concat("_base", more)).otherwise(F.col("_base")).alias("x"))
     sound = F.min(F.forall("x", lambda v: finite(v).isNotNull()).cast("int")).over(unit) == 1
     held = held.withColumn("_sound", sound)
     profile = F.when(~F.col("_sound"), "stable").when(F.col("_whole"), "iqa").otherwise("base")

@@ -47,7 +47,7 @@ def _ranked(spark, sf):
     rows = people.with_expected(_photos(spark, sf), "grp")
     names = ("faced", "closed", "partial", "least_open", "least_sharp")
     rows = rows.join(people.face_facts(_faces(spark, sf)).withColumnRenamed("photo", "id"), "id", "left")
-    m = F.coalesce("metrics", F.create_map().cast("map<string,double>"))
+    rows, m = people.ranked_metrics(rows)
     keys = people.ranking_keys(m, F.col("score"), F.col("people"), F.col("expected"), F.col("issues"), {n: F.col(n) for n in names})
     rounded = {k: F.round(v.cast("double") + 1e-9, 6) for k, v in keys.items()}
     return rows.select("id", "grp", "us", "priority", "status", "price", "metrics", F.struct(*[v.alias(k) for k, v in rounded.items()]).alias("k"))
