@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import TIER_OF_STARS
+from .spread import spread
+
 
 def _none() -> Column:
     return F.array().cast("array<string>")
@@ -90,7 +92,7 @@ class Corrected:
     projects: DataFrame
 
 
-def correct_identities(faces: DataFrame, photos: DataFrame, projects: DataFrame, requests: DataFrame, merges: DataFrame, splits: DataFrame) -> Corrected:
+def correct_identities(faces: DataFrame, photos: DataFrame, projects: DataFrame, requests: DataFrame, merges: DataFrame, splits: DataFrame, count: int | None = None) -> Corrected:
     """Identity corrections of projects whose revision is the one the request was made against; the others change nothing.
 
     faces: project, photo, face_index, person; photos: project, id, group_id, person_ids, coverage_keys, coverage_protected;
@@ -98,23 +100,27 @@ def correct_identities(faces: DataFrame, photos: DataFrame, projects: DataFrame,
     several the least counts); merges: project, person, new_person; splits: project, photo, face_index, new_person, of which
     the least new person counts. A split goes before a merge. Where a correction applies, people of photos and groups are
     counted anew, coverage is emptied and unknown (null) until the next scan, and the revision rises by one.
+    count: rows of faces, for tasks of bounded size.
     """
+    deal = lambda t, *k: t if count is None else spread(t, count, *k)
     asked = requests.groupBy("project").agg(F.min("revision").alias("_asked"))
     state = projects.join(asked, "project", "left")
     fits = F.coalesce(F.col("_asked") == F.coalesce("identity_revision", F.lit(0)), F.lit(False))
     outcome = F.when(F.col("_asked").isNull(), "kept").when(fits, "applied").otherwise("conflict")
     renewed = {"identity_revision": F.coalesce("identity_revision", F.lit(0)) + 1, "rescan_required": F.lit(True), "required_cells": F.lit(None), "unresolved_cells": F.lit(None)}
     told = state.select(*[F.when(fits, renewed[c]).otherwise(F.col(c)).alias(c) if c in renewed else F.col(c) for c in projects.columns], outcome.alias("outcome"))
-    open_ = state.filter(fits).select("project", F.lit(True).alias("_open"))  # a row a project
+    open_ = F.broadcast(state.filter(fits).select("project", F.lit(True).alias("_open")))  # a row a project: rows aren't dealt by it
     one = lambda t, k: t.groupBy(*k).agg(F.min("new_person").alias("_to"))
     m = one(merges, ["project", "person"]).withColumnRenamed("_to", "_merged")
     s = one(splits, ["project", "photo", "face_index"]).withColumnRenamed("_to", "_split")
-    held = faces.join(open_, "project", "left").join(s, ["project", "photo", "face_index"], "left").join(m, ["project", "person"], "left")
+    place = ["project", "photo", "face_index"]
+    held = deal(faces.join(open_, "project", "left"), *place).join(deal(s, *place), place, "left")
+    held = deal(held, "project", "person").join(deal(m, "project", "person"), ["project", "person"], "left")
     person = F.when(F.col("_open"), F.coalesce("_split", "_merged", "person")).otherwise(F.col("person")).alias("person")
     moved = held.select(*[person if c == "person" else F.col(c) for c in faces.columns])
-    seen = moved.groupBy("project", F.col("photo").alias("id")).agg(F.array_compact(F.sort_array(F.collect_set("person"))).alias("_people"))
-    now = photos.join(open_, "project", "left").join(seen, ["project", "id"], "left")
+    seen = deal(moved.select("project", F.col("photo").alias("id"), "person"), "project", "id").groupBy("project", "id").agg(F.array_compact(F.sort_array(F.collect_set("person"))).alias("_people"))
+    now = deal(photos, "project", "id").join(open_, "project", "left").join(seen, ["project", "id"], "left")
     anew = {"person_ids": F.coalesce("_people", _none()), "coverage_keys": _none(), "coverage_protected": F.lit(False)}
     after = now.select(*[F.when(F.col("_open"), anew[c]).otherwise(F.col(c)).alias(c) if c in anew else F.col(c) for c in photos.columns])
-    people = after.select("project", "group_id", F.explode("person_ids").alias("person")).distinct()
+    people = deal(after.select("project", "group_id", F.explode("person_ids").alias("person")), "project", "group_id").distinct()
     return Corrected(moved, after, people, told)

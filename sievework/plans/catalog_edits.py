@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..config import TIER_OF_STARS
 from ..operators import checks, edits, external, filters, folds, ranking
+from ..operators.spread import spread
 from . import proxies as P
 from .proxies import read, with_
 
@@ -57,13 +58,15 @@ def project_summary(spark, sf):
 def _corrected(spark, sf):
     photos = _photos(spark, sf).withColumns({"person_ids": F.array().cast("array<string>"), "coverage_keys": F.array("status")})
     x = read(spark, sf, "lineitem")
-    faces = x.select(F.col("l_orderkey").alias("photo"), F.col("l_linenumber").alias("face_index"), F.col("l_suppkey").cast("string").alias("person")).join(photos.select(F.col("id").alias("photo"), "project"), "photo")
+    n = x.count()
+    known = spread(photos.select(F.col("id").alias("photo"), "project"), n, "photo")
+    faces = spread(x.select(F.col("l_orderkey").alias("photo"), F.col("l_linenumber").alias("face_index"), F.col("l_suppkey").cast("string").alias("person")), n, "photo").join(known, "photo")
     asked = photos.select("project", F.length("project").alias("revision")).filter("revision < 10").distinct()
     merged = read(spark, sf, "supplier").filter("s_acctbal < 3000").select(F.col("s_suppkey").cast("string").alias("person"), F.concat(F.lit("n"), F.col("s_nationkey").cast("string")).alias("new_person"))
     merges = faces.select("project", "person").distinct().join(merged, "person")
     moved = x.filter("l_quantity > 45").select(F.col("l_orderkey").alias("photo"), F.col("l_linenumber").alias("face_index"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("new_person"))
-    splits = moved.join(photos.select(F.col("id").alias("photo"), "project"), "photo")
-    return edits.correct_identities(faces, photos, _projects(photos), asked, merges, splits)
+    splits = spread(moved, n, "photo").join(known, "photo")
+    return edits.correct_identities(faces, photos, _projects(photos), asked, merges, splits, n)
 
 
 def corrected_photos(spark, sf):
