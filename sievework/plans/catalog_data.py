@@ -90,9 +90,9 @@ def near_duplicate_pairs(spark, sf):
 
 def fingerprint_clusters(spark, sf):
     d = read(spark, sf, "documents").select("doc_id", "source", F.sha2("text", 256).alias("fp"))
-    by = d.groupBy("fp").agg(F.min_by("source", "doc_id").alias("owner"), F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("members"))
+    by = d.groupBy("fp").agg(F.min_by("source", F.when(F.col("source").isNotNull(), F.col("doc_id"))).alias("owner"), F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("members"))
     numbered = ranking.ranked(by, ["owner"], [F.col("first")], name="number")
-    return numbered.select(F.format_string("%s:strict-%04d", "owner", F.col("number")).alias("cluster"), "first", "members")
+    return numbered.select(F.concat("owner", F.format_string(":strict-%04d", F.col("number"))).alias("cluster"), "first", "members")
 
 
 def duplicate_leaks(spark, sf):
